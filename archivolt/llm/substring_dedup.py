@@ -163,7 +163,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     answers = table(dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_resolve, "path long, least long, mask long"))
     free_shuffles(docs.sparkSession)
     places = base.mapInArrow(_emit_places, "path long, doc_id long, key long, start int, n int")
-    whole = F.when(F.col("n") >= LONGEST, F.lit(-1).cast("long")).otherwise(F.expr("shiftleft(1L, n) - 1L"))
+    whole = F.expr(f"shiftrightunsigned(-1L, {LONGEST} - n)")
     spans = places.join(answers, "path").withColumn("mask", F.when(F.col("doc_id") > F.col("least"), whole).otherwise(F.col("mask"))).filter("mask <> 0")
     return spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "mask")).alias("s")).select("doc_id", "key", F.col("s.start").alias("starts"), F.col("s.mask").alias("masks"))
 

@@ -42,6 +42,12 @@ def test_passages(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
 
 
+def test_every_length_of_a_run(spark):
+    """One word over and over: paths of all lengths up to the longest, and longer ones."""
+    rows = [(d, " ".join(["w"] * n)) for d, n in enumerate([200, 76, 75, 74, 77, 13, 12, 140, 141])]
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_odd(odd, none):
     check(odd)
     assert op.deduplicate(none).count() == 0
