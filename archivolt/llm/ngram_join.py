@@ -100,7 +100,7 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     classes = table(signs.filter("bands is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("bands").alias("bands")))
     pieces = classes.select("node", F.explode("bands").alias("band"))
     found = table(candidate_clusters(pieces, block).join(classes.select("node", "rep", "weight"), "node"))
-    texts = base.join(found.withColumnRenamed("rep", "doc_id"), ["doc_id", "node"]).drop("doc_id")
+    texts = base.join(found.withColumnRenamed("rep", "doc_id").hint("merge"), ["doc_id", "node"]).drop("doc_id")
     checked = table(block_pairs(texts).groupBy("cluster", "bi", "bj").applyInPandas(_verifier(n, threshold), "node long, links long, root long"))
     groups = components(checked.filter("root <> node").select(F.col("root").alias("a"), F.col("node").alias("b")))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
