@@ -161,7 +161,7 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     owners = recipes.select("doc_id", "content", F.posexplode("ids").alias("seq", "id")).groupBy("id").agg(F.min(F.struct("doc_id", "content", "seq")).alias("o"))
     own = owners.groupBy(F.col("o.doc_id").alias("doc_id"), F.col("o.content").alias("content")).agg(F.collect_list("o.seq").alias("own"))
     raw = base.mapInArrow(_squeezed, "doc_id long, content binary, z binary").dropDuplicates(["doc_id", "content"])
-    kept = raw.join(own, ["doc_id", "content"]).select("content", "z", "own")
+    kept = raw.join(own.hint("merge"), ["doc_id", "content"]).select("content", "z", "own")
     stored = table(kept.mapInArrow(_stored, "content binary, whole boolean, seqs array<int>, ids array<binary>, zs array<binary>"))
     free_shuffles(docs.sparkSession)
     return recipes, stored
@@ -174,8 +174,8 @@ def read_back(recipes: DataFrame, stored: DataFrame) -> DataFrame:
     wants = table(lists.select("content", F.posexplode("ids").alias("seq", "id")))
     holders = stored.select(F.col("content").alias("holder"), F.explode("ids").alias("id"))
     asked = holders.join(wants.select("id").distinct(), "id").groupBy("holder").agg(F.collect_list("id").alias("wanted"))
-    loose = stored.join(asked.withColumnRenamed("holder", "content"), "content").select("whole", "wanted", "ids", "zs").mapInArrow(_loose, "id binary, z binary")
-    parts = wants.join(loose, "id").groupBy("content").agg(F.collect_list(F.struct("seq", "z")).alias("parts"))
+    loose = stored.join(asked.withColumnRenamed("holder", "content").hint("merge"), "content").select("whole", "wanted", "ids", "zs").mapInArrow(_loose, "id binary, z binary")
+    parts = wants.join(loose.hint("merge"), "id").groupBy("content").agg(F.collect_list(F.struct("seq", "z")).alias("parts"))
     return whole.unionByName(parts.mapInArrow(_read_lists, READ))
 
 

@@ -101,7 +101,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes a placeholder over every kept span; all documents stay. Overlapping spans get one placeholder."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = judged(docs).filter("size(spans) > 0").groupBy("doc_id", "key").agg(F.first("spans").alias("__spans"))
-    rows = docs.withColumn("__key", text_key()).join(found.select("doc_id", F.col("key").alias("__key"), "__spans"), ["doc_id", "__key"], "left")
+    rows = docs.withColumn("__key", text_key()).join(found.select("doc_id", F.col("key").alias("__key"), "__spans").hint("merge"), ["doc_id", "__key"], "left")
 
     def cut(acc: Column, s: Column) -> Column:
         gap = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[secret]"))
