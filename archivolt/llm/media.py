@@ -83,7 +83,7 @@ def _recipes(batches):
 
 
 def _squeezed(batches):
-    pack = zstandard.ZstdCompressor(level=1)
+    pack = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         sha, raw = [], []
         for t in batch.column("text").cast(pa.large_binary()).to_pylist():
@@ -95,16 +95,16 @@ def _squeezed(batches):
 def _stored(batches):
     pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
     for batch in batches:
-        content, seqs, ids, zs, all_own = [], [], [], [], []
+        content, whole, lent, ids, zs = [], [], [], [], []
         for sha, z, own in zip(batch.column("content").to_pylist(), batch.column("z").to_pylist(), batch.column("own").to_pylist()):
-            parts, own = chunks(payload_of(unpack.decompress(z))), sorted(set(own))
+            parts, own = chunks(payload_of(unpack.decompress(z))), {x["seq"]: x["lent"] for x in own}
             content.append(sha)
-            seqs.append(own)
-            ids.append([chunk_id(parts[k]) for k in own])
-            all_own.append(len(own) == len(parts))
+            whole.append(len(own) == len(parts))
+            ids.append([chunk_id(parts[k]) for k in sorted(own)])
+            lent.append([i for k, i in zip(sorted(own), ids[-1]) if own[k]])
             # neighbouring chunks share one frame where a document stores them all
-            zs.append([pack.compress(b"".join(parts))] if all_own[-1] else [pack.compress(parts[k]) for k in own])
-        yield pa.RecordBatch.from_arrays([pa.array(content, pa.binary()), pa.array(all_own), pa.array(seqs, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.binary())), pa.array(zs, pa.list_(pa.binary()))], names=["content", "whole", "seqs", "ids", "zs"])
+            zs.append([pack.compress(b"".join(parts))] if whole[-1] else [pack.compress(parts[k]) for k in sorted(own)])
+        yield pa.RecordBatch.from_arrays([pa.array(content, pa.binary()), pa.array(whole, pa.bool_()), pa.array(lent, pa.list_(pa.binary())), pa.array(ids, pa.list_(pa.binary())), pa.array(zs, pa.list_(pa.binary()))], names=["content", "whole", "lent", "ids", "zs"])
 
 
 READ = "content binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -136,33 +136,41 @@ def _read_lists(batches):
 
 
 def _loose(batches):
-    """Single chunks of stored rows: those of rows stored whole are cut out again."""
+    """Single chunks that other texts use too; those of rows stored whole are cut out again."""
     pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
     for batch in batches:
         got = []
-        for whole, wanted, ids, zs in zip(*(batch.column(c).to_pylist() for c in ("whole", "wanted", "ids", "zs"))):
-            wanted = set(wanted)
+        for whole, lent, ids, zs in zip(*(batch.column(c).to_pylist() for c in ("whole", "lent", "ids", "zs"))):
+            lent = set(lent)
             if whole:
-                parts = chunks(unpack.decompress(zs[0]))
-                got += [(i, pack.compress(c)) for i, c in zip(ids, parts) if i in wanted]
+                got += [(i, pack.compress(c)) for i, c in zip(ids, chunks(unpack.decompress(zs[0]))) if i in lent]
             else:
-                got += [(i, z) for i, z in zip(ids, zs) if i in wanted]
+                got += [(i, z) for i, z in zip(ids, zs) if i in lent]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.binary()), pa.array([x[1] for x in got], pa.binary())], names=["id", "z"])
 
 
+def _own(batches):
+    """The chunks that texts not stored whole store themselves, by their text."""
+    for batch in batches:
+        got = [(c, i, z) for c, ids, zs in zip(*(batch.column(k).to_pylist() for k in ("content", "ids", "zs"))) for i, z in zip(ids, zs)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.binary()) for k in range(3)], names=["content", "id", "z"])
+
+
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(recipes, chunk store), both written tables of the shared folder.
 
     recipes: doc_id, content (SHA-256 of the payload), n_bytes, ids (ordered chunk digests) per row.
-    store: content, whole, seqs, ids, zs: the chunks that a text stores, compressed; one frame if it stores all.
+    store: content, whole, lent, ids, zs: the chunks that a text stores, compressed, one frame if it stores all;
+    lent: those of them that other texts use.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     recipes = table(base.mapInArrow(_recipes, "doc_id long, content binary, n_bytes long, ids array<binary>"))
-    owners = recipes.select("doc_id", "content", F.posexplode("ids").alias("seq", "id")).groupBy("id").agg(F.min(F.struct("doc_id", "content", "seq")).alias("o"))
-    own = owners.groupBy(F.col("o.doc_id").alias("doc_id"), F.col("o.content").alias("content")).agg(F.collect_list("o.seq").alias("own"))
+    uses = recipes.select("doc_id", "content", F.posexplode("ids").alias("seq", "id"))
+    owners = uses.groupBy("id").agg(F.min(F.struct("doc_id", "content", "seq")).alias("o"), (F.min("content") != F.max("content")).alias("lent"))
+    own = owners.groupBy(F.col("o.doc_id").alias("doc_id"), F.col("o.content").alias("content")).agg(F.collect_list(F.struct("o.seq", "lent")).alias("own"))
     raw = base.mapInArrow(_squeezed, "doc_id long, content binary, z binary").dropDuplicates(["doc_id", "content"])
     kept = raw.join(own.hint("merge"), ["doc_id", "content"]).select("content", "z", "own")
-    stored = table(kept.mapInArrow(_stored, "content binary, whole boolean, seqs array<int>, ids array<binary>, zs array<binary>"))
+    stored = table(kept.mapInArrow(_stored, "content binary, whole boolean, lent array<binary>, ids array<binary>, zs array<binary>"))
     free_shuffles(docs.sparkSession)
     return recipes, stored
 
@@ -172,10 +180,11 @@ def read_back(recipes: DataFrame, stored: DataFrame) -> DataFrame:
     whole = stored.filter("whole").select("content", "zs").mapInArrow(_read_whole, READ)
     lists = recipes.groupBy("content").agg(F.first("ids").alias("ids")).join(stored.filter("whole").select("content"), "content", "left_anti")
     wants = table(lists.select("content", F.posexplode("ids").alias("seq", "id")))
-    holders = stored.select(F.col("content").alias("holder"), F.explode("ids").alias("id"))
-    asked = holders.join(wants.select("id").distinct(), "id").groupBy("holder").agg(F.collect_list("id").alias("wanted"))
-    loose = stored.join(asked.withColumnRenamed("holder", "content").hint("merge"), "content").select("whole", "wanted", "ids", "zs").mapInArrow(_loose, "id binary, z binary")
-    parts = wants.join(loose.hint("merge"), "id").groupBy("content").agg(F.collect_list(F.struct("seq", "z")).alias("parts"))
+    partly = stored.filter("not whole").select("content", "ids", "zs").mapInArrow(_own, "content binary, id binary, z binary")
+    mine = wants.join(partly, ["content", "id"]).select("content", "seq", "z")
+    loose = stored.filter("size(lent) > 0").select("whole", "lent", "ids", "zs").mapInArrow(_loose, "id binary, z binary")
+    away = wants.join(partly.select("content", "id"), ["content", "id"], "left_anti").join(loose.hint("merge"), "id").select("content", "seq", "z")
+    parts = mine.unionByName(away).groupBy("content").agg(F.collect_list(F.struct("seq", "z")).alias("parts"))
     return whole.unionByName(parts.mapInArrow(_read_lists, READ))
 
 

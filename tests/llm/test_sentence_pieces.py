@@ -9,24 +9,6 @@ from archivolt.llm import sentence_pieces as op
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
 
-def as_unigram():
-    """The library's own shortest path over the same pieces: the model with its type set to unigram."""
-    raw = open(PATH, "rb").read()
-
-    def varint(n):
-        out = b""
-        while n > 127:
-            out, n = out + bytes([n & 127 | 128]), n >> 7
-        return out + bytes([n])
-
-    out = b""
-    for field, value in op._fields(raw):
-        if field == 2:
-            value += varint(3 << 3) + varint(1)  # the last value of a field counts
-        out += varint(field << 3 | 2) + varint(len(value)) + value
-    return sentencepiece.SentencePieceProcessor(model_proto=out)
-
-
 def run(texts):
     t = op.transducer()
     raw = [(" " + x.replace("▁", " ")).encode() if x else b"" for x in texts]
@@ -52,14 +34,29 @@ def test_least_weight_and_round_trip(texts):
         assert weight(t, ids, r) == cost == weight(t, alone, r)
 
 
-def test_library_agrees(docs):
-    # short lines of known characters: the library adds up weights in single precision
-    texts = [x[:200] for r in docs.limit(60).collect() for x in r.text.split("\n")] + ["a" * 200]
-    model = as_unigram()
-    t, raw, got = run(texts)
-    for x, r, ids in zip(texts, raw, got):  # of paths of equal weight, each may take another
-        theirs = weight(t, model.encode(x), r)
-        assert abs(weight(t, ids, r) - theirs) <= 1e-6 * theirs
+def least(t, raw):
+    """The least weight over all ways to write raw as pieces and unknown characters."""
+    if not raw:
+        return 0.0
+    n = next(k for k in range(1, 5) if k == len(raw) or raw[k] & 0xC0 != 0x80)
+    ways = [t.unknown + least(t, raw[n:])] if raw[:n] not in t.arcs else []
+    return min(ways + [t.arcs[raw[:k]][1] + least(t, raw[k:]) for k in range(1, len(raw) + 1) if raw[:k] in t.arcs])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("theani \né☃", min_size=1, max_size=9))
+def test_all_ways(text):
+    t, raw, got = run([text])
+    assert weight(t, got[0], raw[0]) == least(t, raw[0])
+
+
+def test_pieces_are_the_librarys(docs):
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    t = op.transducer()
+    assert [model.id_to_piece(k).replace("▁", " ").encode() for k in range(300, 32000)] == t.pieces[300:]
+    for r in docs.limit(40).collect():  # the library reads our ids as the same text
+        ids = run([r.text])[2][0]
+        assert model.decode(ids) == r.text == t.decode(model.encode(r.text))
 
 
 def test_odd(odd, none):
