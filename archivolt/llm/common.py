@@ -41,9 +41,12 @@ def drop_table(df: DataFrame) -> None:
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of finished jobs now, not at its next periodic collection."""
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def crc_of_id(column: str = "doc_id"):
