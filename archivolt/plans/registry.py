@@ -9,19 +9,10 @@ from pyspark.sql import functions as F
 
 from archivolt.operators import columns as c
 from archivolt.operators import tables as t
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _tasks(spark, sf_dir):
-    d = _read(spark, sf_dir, "documents")
-    path = F.concat(F.lit("/in/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return d.select(F.col("doc_id").alias("id"), F.col("source").alias("batch_id"), path.alias("file_path"), F.col("text").alias("full_text"), "lang", "n_chars")
-
-
-TASKS = "(SELECT doc_id AS id, source AS batch_id, '/in/' || source || '/' || doc_id || '.txt' AS file_path, text AS full_text, lang, n_chars FROM documents)"
+from archivolt.plans import texts
+from archivolt.plans.data import TASKS
+from archivolt.plans.data import read as _read
+from archivolt.plans.data import tasks as _tasks
 
 
 def p03(s, d):
@@ -156,6 +147,8 @@ ALL: dict[str, tuple[Callable, str]] = {
     "A-batch_rollup": (_rollup, f"SELECT batch_id, count(*) AS tasks, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) FILTER (lang = 'en') AS english FROM {TASKS} GROUP BY batch_id"),
 }
 
+ALL |= texts.QUERIES
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in ALL.items()}

@@ -6,7 +6,7 @@ import pytest
 from archivolt.plans import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("customer", "part", "orders", "lineitem", "documents", "labels")
+TABLES = ("customer", "part", "orders", "lineitem", "documents", "labels", "pages", "events", "embeddings", "conversations", "benchmark")
 
 
 @pytest.fixture(scope="module")
