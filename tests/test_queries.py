@@ -17,7 +17,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", registry.queries())
+@pytest.mark.parametrize("name", registry.oracle_sql())
 def test_query(spark, duck, name):
     df = registry.queries()[name](spark, SF)
     order = sorted(df.columns)
