@@ -74,7 +74,8 @@ def scored(pages: DataFrame, exact_title: bool = False) -> DataFrame:
     gap = F.greatest(F.lit(1), F.col("r.page_no") - F.col("l.page_no"))
     title = F.when((F.col("l.title_norm") == "") | (F.col("r.title_norm") == ""), 0.0)
     title = title.otherwise((F.col("l.title_norm") == F.col("r.title_norm")).cast("double")) if exact_title else F.round(gestalt(F.col("l.title_norm"), F.col("r.title_norm")), 4)
-    p = p.select("batch_id", "prefix", "l", "r", gap.alias("gap"), F.coalesce("r.visual", F.lit(0.5)).alias("v"), F.coalesce(x.jaccard(x.grams(F.left("l.signature", F.lit(3000))), x.grams(F.left("r.signature", F.lit(3000)))), F.lit(0.0)).alias("t"), title.alias("h"), F.coalesce(x.jaccard(F.col("l.entities"), F.col("r.entities")), F.lit(0.0)).alias("e"), _field_overlap("l", "r").alias("f"))
+    p = p.select("*", x.grams(F.left("l.signature", F.lit(3000))).alias("gl"), x.grams(F.left("r.signature", F.lit(3000))).alias("gr"))
+    p = p.select("batch_id", "prefix", "l", "r", gap.alias("gap"), F.coalesce("r.visual", F.lit(0.5)).alias("v"), F.coalesce(x.jaccard(F.col("gl"), F.col("gr")), F.lit(0.0)).alias("t"), title.alias("h"), F.coalesce(x.jaccard(F.col("l.entities"), F.col("r.entities")), F.lit(0.0)).alias("e"), _field_overlap("l", "r").alias("f"))
     fl, fr = F.coalesce("l.family", F.lit("")), F.coalesce("r.family", F.lit(""))
     same = (fl != "") & (fl == fr)
     cont, near, att = same & fl.isin(*CONTINUING), F.col("gap") == 1, F.col("r.attachment")
