@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from .common import free_shuffles, table
 UNIT = 576
 #: Bounds and mean of a chunk's bytes; the hash covers 32 bytes.
 LEAST, MEAN_BITS, MOST = 512, 11, 16384
+#: The texts are dealt to the store in so many parts, one after the other: the shuffle of one part is on disk at a time.
+PASSES = 2
 GEAR = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -89,7 +92,7 @@ def _squeezed(batches):
         for t in batch.column("text").cast(pa.large_binary()).to_pylist():
             sha.append(hashlib.sha256(payload_of(t)).digest())
             raw.append(pack.compress(t))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sha, pa.binary()), pa.array(raw, pa.binary())], names=["doc_id", "content", "z"])
+        yield pa.RecordBatch.from_arrays([pa.array(sha, pa.binary()), pa.array(raw, pa.binary())], names=["content", "z"])
 
 
 def _stored(batches):
@@ -167,11 +170,15 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     recipes = table(base.mapInArrow(_recipes, "doc_id long, content binary, n_bytes long, ids array<binary>"))
     uses = recipes.select("doc_id", "content", F.posexplode("ids").alias("seq", "id"))
     owners = uses.groupBy("id").agg(F.min(F.struct("doc_id", "content", "seq")).alias("o"), (F.min("content") != F.max("content")).alias("lent"))
-    own = owners.groupBy(F.col("o.doc_id").alias("doc_id"), F.col("o.content").alias("content")).agg(F.collect_list(F.struct("o.seq", "lent")).alias("own"))
-    raw = base.mapInArrow(_squeezed, "doc_id long, content binary, z binary").dropDuplicates(["doc_id", "content"])
-    kept = raw.join(own.hint("merge"), ["doc_id", "content"]).select("content", "z", "own")
-    stored = table(kept.mapInArrow(_stored, "content binary, whole boolean, lent array<binary>, ids array<binary>, zs array<binary>"))
-    free_shuffles(docs.sparkSession)
+    own = table(owners.groupBy(F.col("o.content").alias("content")).agg(F.collect_list(F.struct("o.seq", "lent")).alias("own")))
+    parts = []
+    for k in range(PASSES):
+        part = base.filter(F.pmod(F.xxhash64("text"), F.lit(PASSES)) == k).select("text")
+        raw = part.mapInArrow(_squeezed, "content binary, z binary").dropDuplicates(["content"])
+        kept = raw.join(own.hint("merge"), "content").select("content", "z", "own")
+        parts.append(table(kept.mapInArrow(_stored, "content binary, whole boolean, lent array<binary>, ids array<binary>, zs array<binary>")))
+        free_shuffles(docs.sparkSession)
+    stored = reduce(DataFrame.unionByName, parts)
     return recipes, stored
 
 

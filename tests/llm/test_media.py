@@ -53,3 +53,8 @@ def test_gear_hash_is_rolling():
     for k, b in enumerate(data):
         slow = (slow * 2 + int(op.GEAR[b])) % 2**32
         assert h[k] == slow
+
+
+def test_null_ids(spark):
+    df = spark.createDataFrame([(None, "shared text"), (None, None), (3, "shared text"), (None, "own " * 3000)], "doc_id long, text string")
+    assert sorted(map(tuple, op.media(df).collect()), key=str) == sorted((brute(r.doc_id, r.text) for r in df.collect()), key=str)
