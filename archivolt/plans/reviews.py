@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from archivolt.functions import fields as x
+from archivolt.functions import layout as y
 from archivolt.operators import review as r
 from archivolt.plans.data import TASKS, tasks
 
@@ -58,6 +59,21 @@ def readers(s, d):
     return t.select("id", field.alias("field"), r.corrected(field, F.when(F.col("id") % 7 == 0, "fixed").otherwise(" ")).alias("corrected"), *(c.alias(n) for n, c in r.two_confidences(F.col("x"), F.col("y")).items()))
 
 
+def excerpts(s, d):
+    extra = y.candidates_text(F.when(F.col("id") % 3 == 1, F.array("batch_id", "lang", "batch_id")), F.when(F.col("id") % 4 == 1, F.array(F.lit(" x "))))
+    return tasks(s, d).select("id", F.md5(extra.cast("binary")).alias("extra"), F.md5(y.excerpt(F.col("full_text"), extra, 2000).cast("binary")).alias("excerpt"))
+
+
+def gathered(s, d):
+    lines = F.split(F.coalesce("full_text", F.lit("")), "\n")
+    places = F.array((F.col("id") % 5).cast("int"), F.lit(0), (F.col("id") % 3).cast("int"), F.lit(-1), F.lit(100000))
+    return tasks(s, d).select("id", F.md5(F.array_join(y.gathered(lines, places), "|").cast("binary")).alias("lines"))
+
+
+def spilled(s, d):
+    return tasks(s, d).select("id", *(c.alias(n) for n, c in y.spilled(F.col("full_text"), 4096).items()))
+
+
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 LINES = f"list_filter(list_transform(string_split({{}}, chr(10)), lambda v: {STRIP.format('v')}), lambda v: v <> '')"
 
@@ -108,8 +124,25 @@ SELECT id, field, CASE WHEN id % 7 = 0 THEN 'fixed' ELSE field END AS corrected,
 FROM (SELECT *, CASE WHEN a <> '' AND b <> '' AND a <> b AND x < y THEN b WHEN a <> '' THEN a ELSE b END AS field
   FROM (SELECT id, CASE WHEN id % 3 > 0 THEN coalesce(lang, '') ELSE '' END AS a, CASE WHEN id % 5 > 0 THEN coalesce(batch_id, '') ELSE '' END AS b, {CONFIDENCE} AS x, {OTHER} AS y FROM {TASKS}))
 """
+EXCERPT_SQL = rf"""
+WITH a AS (SELECT id, array_to_string({LINES.format("coalesce(full_text, '')")}, chr(10)) AS c, concat_ws(chr(10) || chr(10),
+    CASE WHEN id % 3 = 1 AND coalesce(batch_id, lang) IS NOT NULL THEN '{y.TITLES}' || chr(10) || concat_ws(chr(10), '- ' || batch_id, '- ' || lang) END, CASE WHEN id % 4 = 1 THEN '{y.NUMBERS}' || chr(10) || '- x' END) AS e FROM {TASKS}),
+b AS (SELECT *, greatest(2000 - length(e) - 260, 360) AS r FROM a),
+s AS (SELECT *, greatest(CAST(floor(r * 0.45::DOUBLE) AS BIGINT), 200) AS f, greatest(CAST(floor(r * 0.2::DOUBLE) AS BIGINT), 120) AS m, greatest(CAST(floor(r * 0.35::DOUBLE) AS BIGINT), 200) AS t FROM b),
+p AS (SELECT *, {STRIP.format(f"'{y.PARTS[0]}' || chr(10) || left(c, f) || chr(10) || chr(10) || '{y.PARTS[1]}' || chr(10) || substring(c, greatest(length(c) // 2 - m // 2, 0) + 1, m) || chr(10) || chr(10) || '{y.PARTS[2]}' || chr(10) || right(c, t)")} AS x FROM s)
+SELECT id, md5(e) AS extra, md5(CASE WHEN length(c) <= 2000 AND e = '' THEN c ELSE left(CASE WHEN e = '' THEN x ELSE e || chr(10) || chr(10) || '{y.WHOLE}' || chr(10) || x END, 2000) END) AS excerpt FROM p
+"""
+GATHERED_SQL = f"""
+SELECT id, md5(l[a + 1] || CASE WHEN a <> 0 AND len(l) > 0 THEN '|' || l[1] ELSE '' END || CASE WHEN b <> 0 AND b <> a AND b < len(l) THEN '|' || l[b + 1] ELSE '' END) AS lines
+FROM (SELECT id, string_split(coalesce(full_text, ''), chr(10)) AS l, id % 5 AS a, id % 3 AS b FROM {TASKS}) WHERE a < len(l)
+UNION ALL SELECT id, md5(l[1] || CASE WHEN b <> 0 AND b < len(l) THEN '|' || l[b + 1] ELSE '' END)
+FROM (SELECT id, string_split(coalesce(full_text, ''), chr(10)) AS l, id % 5 AS a, id % 3 AS b FROM {TASKS}) WHERE a >= len(l)
+"""
 
 QUERIES = {
+    "C-35_excerpts": (excerpts, EXCERPT_SQL),
+    "J-15_gathered_lines": (gathered, GATHERED_SQL),
+    "K-08_spilled_results": (spilled, f"SELECT id, coalesce(strlen(full_text), 0) > 4096 AS apart, CASE WHEN strlen(full_text) > 4096 THEN sha256(full_text) END AS sha256 FROM {TASKS}"),
     "C-19_archive_number": (archive_numbers, f"SELECT id, {NUMBER_SQL} AS archive_no FROM (SELECT id, coalesce({STEM_SQL}, '') AS stem FROM {TASKS})"),
     "C-29b_legacy_fields": (legacy, LEGACY_SQL),
     "C-32_C-33_C-34_markdown": (markdown, MARKDOWN_SQL),
