@@ -24,10 +24,10 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def path_ids(anchor: np.ndarray, edges: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit id of each path: its anchor and the 32-bit hashes of its edges, in order."""
+    """A 64-bit id of each path: its anchor and the 64-bit hashes of its edges, in order."""
     count = np.diff(np.r_[first, len(edges)])
     place = np.arange(len(edges), dtype=np.uint64) - np.repeat(first, count).astype(np.uint64)
-    return mix(np.add.reduceat(mix(edges.astype(np.uint64) + place * _STEP), first) + anchor * np.uint64(3) + count.astype(np.uint64))
+    return mix(np.add.reduceat(mix(edges + place * _STEP), first) + anchor * np.uint64(3) + count.astype(np.uint64))
 
 
 def paths(column: pa.Array, window: int = WINDOW, anchor: int = ANCHOR):
@@ -57,7 +57,7 @@ def paths(column: pa.Array, window: int = WINDOW, anchor: int = ANCHOR):
         first = np.flatnonzero(new)
         base = np.searchsorted(rows, np.arange(len(offsets)))
         row = rows[at[first]]
-        yield i + row, low[first], (edges & np.uint64(0xFFFFFFFF)).astype(np.uint32), first, at[first] - base[row]
+        yield i + row, low[first], edges, first, at[first] - base[row]
 
 
 def _lists(edges: np.ndarray, first: np.ndarray, take: np.ndarray) -> pa.Array:
@@ -65,7 +65,7 @@ def _lists(edges: np.ndarray, first: np.ndarray, take: np.ndarray) -> pa.Array:
     bounds = np.r_[first, len(edges)]
     sizes = (bounds[1:] - bounds[:-1])[take]
     at = np.repeat(bounds[:-1][take] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-    return pa.Array.from_buffers(pa.binary(), len(take), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes) * 4].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(edges[at]))])
+    return pa.Array.from_buffers(pa.binary(), len(take), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes) * 8].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(edges[at]))])
 
 
 def _emit_paths(batches):
@@ -98,8 +98,8 @@ class _Held:
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> _Held:
         column = batch.column("edges").combine_chunks() if isinstance(batch.column("edges"), pa.ChunkedArray) else batch.column("edges")
-        bounds = np.frombuffer(column.buffers()[1], np.int32, len(column) + column.offset + 1)[column.offset :] // 4
-        edges = np.frombuffer(column.buffers()[2], np.uint32)[bounds[0] : bounds[-1]]
+        bounds = np.frombuffer(column.buffers()[1], np.int32, len(column) + column.offset + 1)[column.offset :] // 8
+        edges = np.frombuffer(column.buffers()[2], np.uint64)[bounds[0] : bounds[-1]]
         return cls(batch.column("anchor").to_numpy().view(np.uint64), batch.column("doc_id").to_numpy(), batch.column("many").to_numpy(zero_copy_only=False), edges, (bounds[:-1] - bounds[0]).astype(np.int64))
 
     def pick(self, take: np.ndarray) -> _Held:
@@ -128,7 +128,7 @@ class _Held:
         """For each path: its smallest doc_id, and a bit for each edge that a still smaller doc_id has."""
         n = np.diff(np.r_[self.first, len(self.edges)])
         doc = np.repeat(self.doc, n)
-        key = mix(np.repeat(self.anchor, n) * np.uint64(5) ^ mix(self.edges.astype(np.uint64) + _STEP))
+        key = mix(np.repeat(self.anchor, n) * np.uint64(5) ^ mix(self.edges + _STEP))
         order = np.argsort(key, kind="stable")
         head = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
         low = np.empty(len(key), np.int64)
