@@ -85,30 +85,42 @@ def _verifier(n: int, threshold: float):
     return verify
 
 
-def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """(doc_id, class_id, n_links) for each row of docs (doc_id, text).
+def _node():
+    return F.xxhash64(F.md5(F.lower(F.coalesce("text", F.lit(""))).cast("binary")))
 
-    class_id: smallest doc_id of the group linked by Jaccard >= threshold over lower-cased word n-grams.
-    n_links: other rows linked directly, copies included. A text without words (or null) links with
-    nothing and is its own class; fewer than n words make one n-gram. Rows that repeat a doc_id count as
-    rows of their own. An empty table gives no rows; other columns are not read.
+
+def _classes(docs: DataFrame, n: int, threshold: float, rows: int, recall: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """Signed rows (doc_id, node, bands), and for each distinct text (node, rep, class_id, keep, n_links).
+
+    rep: smallest doc_id of the text. keep: the text of the group that stays, with the smallest doc_id; null ids come last.
     """
     bands = band_count(threshold, rows, recall)
-    base = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
-    base = base.withColumn("node", F.xxhash64(F.md5(F.col("t").cast("binary"))))
+    base = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"), _node().alias("node"))
     signs = table(base.mapInArrow(_signer(n, bands, rows), "doc_id long, node long, bands array<long>"))
     classes = table(signs.filter("bands is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("bands").alias("bands")))
     pieces = classes.select("node", F.explode("bands").alias("band"))
     found = table(candidate_clusters(pieces, block).join(classes.select("node", "rep", "weight"), "node"))
-    texts = base.join(found.withColumnRenamed("rep", "doc_id").hint("merge"), ["doc_id", "node"]).drop("doc_id")
+    wanted = found.withColumnRenamed("node", "own").hint("merge")
+    texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("node") == F.col("own"))).drop("doc_id", "rep", "own")
     checked = table(block_pairs(texts).groupBy("cluster", "bi", "bj").applyInPandas(_verifier(n, threshold), "node long, links long, root long"))
     groups = components(checked.filter("root <> node").select(F.col("root").alias("a"), F.col("node").alias("b")))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     per_class = classes.select("node", "rep", "weight").join(groups, "node", "left").join(links, "node", "left")
     per_class = table(per_class.select("node", "rep", F.coalesce("comp", "node").alias("comp"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    lowest = per_class.groupBy("comp").agg(F.min("rep").alias("class_id"))
-    per_class = per_class.join(lowest, "comp").select("node", "class_id", "n_links")
-    full = signs.filter("bands is not null").select("doc_id", "node").join(per_class, "node").select("doc_id", "class_id", "n_links")
+    first = F.min(F.struct(F.col("rep").isNull().alias("late"), "rep", "node"))
+    lowest = per_class.groupBy("comp").agg(first.alias("first")).select("comp", F.col("first.rep").alias("class_id"), F.col("first.node").alias("keep"))
+    return signs, per_class.join(lowest, "comp").select("node", "rep", "class_id", "keep", "n_links")
+
+def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """(doc_id, class_id, n_links) for each row of docs (doc_id, text).
+
+    class_id: smallest doc_id of the group linked by Jaccard >= threshold over lower-cased word n-grams.
+    n_links: other rows linked directly, copies included. A text without words (or null) links with
+    nothing and is its own class; fewer than n words make one n-gram. Rows that repeat a doc_id count as
+    rows of their own. An empty table gives no rows; other columns are not read.
+    """
+    signs, per_class = _classes(docs, n, threshold, rows, recall, block)
+    full = signs.filter("bands is not null").select("doc_id", "node").join(per_class.select("node", "class_id", "n_links"), "node").select("doc_id", "class_id", "n_links")
     return full.unionByName(signs.filter("bands is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
@@ -117,6 +129,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group."""
-    kept = near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Keeps one row of each group, with the smallest doc_id; rows that repeat both doc_id and text are one.
+
+    Rows that share only the doc_id, or have none, are judged by their texts. Texts without words stay; those without a
+    doc_id stay row by row.
+    """
+    signs, per_class = _classes(docs, N, THRESHOLD, ROWS, RECALL, BLOCK)
+    kept = per_class.filter("node = keep").select(F.col("rep").alias("__id"), F.col("node").alias("__own"), F.lit(False).alias("__bare"))
+    bare = signs.filter("bands is null").select(F.col("doc_id").alias("__id"), F.col("node").alias("__own"), F.lit(True).alias("__bare")).distinct()
+    rows = docs.withColumn("__node", _node()).join(kept.unionByName(bare), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__own")))
+    rows = rows.withColumn("__row", F.when(F.col("__bare") & F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["doc_id", "__node", "__row"]).select(*docs.columns)
