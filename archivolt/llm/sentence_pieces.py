@@ -1,17 +1,21 @@
 """Operator 2: SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The model's normaliser (identity, dummy prefix, escaped spaces), its pieces and the byte fallback are
-compiled into one transducer: a start state, an arc for each piece (weight: minus its score) and, where no
-piece covers just the next character, a path of byte pieces. Composing it with an input gives a lattice;
-the path of least total weight (tropical semiring) is the encoding. No piece holds a space after another
-character, so lattices split there, equal segments are composed once, and all segments of a run of texts
-are relaxed together, position by position.
+The model's normaliser (identity; blanks as its flags say, escaped), its pieces and the byte fallback are compiled into
+one transducer: a state for each last piece, an arc for each piece that may follow it and, where no piece is just the
+next character, a path of byte pieces. Composing it with an input gives a lattice; its path of least weight in the
+tropical semiring is the encoding.
+
+Weights are those of the model's own kind. Unigram: an arc costs minus its score. Merge models (BPE): a piece may follow
+another (weight 0) if merging the characters of both gives the two again, else the weight is infinite. A sequence of
+pieces is the model's encoding if and only if each two neighbours pass that test, so every prefix of an input has one
+path of finite weight, and the lattice keeps one state a position.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import struct
 import zlib
 
@@ -20,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, span_hashes
-
-#: Below the lowest score: what a character outside the pieces costs.
+#: What a character outside the pieces costs below the lowest score (unigram).
 PENALTY = 10.0
-#: Segments of more bytes are relaxed one by one.
-TOGETHER = 64
+#: Segments that a worker remembers with their ids (the last so many, and as many before), and the longest of them in bytes.
+REMEMBERED, LONGEST = 1 << 17, 64
+#: Pairs of pieces of which a worker remembers whether one follows the other.
+PAIRS = 1 << 21
+UNIGRAM, BPE = 1, 2
 
 
 def _fields(raw: bytes):
@@ -54,208 +59,165 @@ def _fields(raw: bytes):
         yield key >> 3, value
 
 
+def _char(lead: int) -> int:
+    return 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+
+
 class Transducer:
-    """Piece arcs keyed by their bytes (spaces for the escape sign), and the bytes' pieces."""
+    """Arcs keyed by the bytes of their pieces (a space for the escape sign), the bytes' own pieces, and the normaliser's flags."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             model = list(_fields(f.read()))
         self.pieces: list[bytes] = []
-        self.byte_ids = np.full(256, -1, np.int64)
-        arcs: dict[bytes, tuple[int, float]] = {}
-        scores = []
+        self.scores: list[float] = []
+        self.arcs: dict[bytes, int] = {}
+        self.bytes: dict[int, int] = {}
+        self.kind, self.prefix, self.squeeze = UNIGRAM, True, True
         for field, value in model:
-            if field == 3:
+            if field == 1:
+                self._piece(dict(_fields(value)))
+            elif field == 2:
+                self.kind = dict(_fields(value)).get(3, UNIGRAM)
+            elif field == 3:
                 spec = dict(_fields(value))
-                if spec.get(2) or spec.get(4, 1) or not spec.get(3, 1):
-                    raise ValueError("only an identity normaliser with a dummy prefix that keeps spaces is compiled")
-            if field != 1:
-                continue
-            piece = dict(_fields(value))
-            score, kind, k = struct.unpack("<f", piece.get(2, b"\0\0\0\0"))[0], piece.get(3, 1), len(self.pieces)
-            text = piece[1].decode().replace("▁", " ").encode()
-            if kind == 1:
-                arcs[text] = (k, -score)
-                scores.append(score)
-            elif kind == 6:
-                self.byte_ids[int(piece[1][3:5], 16)] = k
-                text = bytes([int(piece[1][3:5], 16)])
-            else:
-                text = b""
-            self.pieces.append(text)
-        self.arcs, self.unknown = arcs, PENALTY - min(scores)
-        self.longest = max(map(len, arcs))
-        self.lengths = sorted({len(a) for a in arcs})
-        flat = np.frombuffer(b"".join(arcs), np.uint8)
-        ends = np.cumsum([len(a) for a in arcs])
-        self.hash = span_hashes(flat, np.r_[0, ends[:-1]], ends)
-        self.weight = np.array([w for _, w in arcs.values()])
-        self.id = np.array([k for k, _ in arcs.values()], np.int64)
-        self._place()
-
-    def _place(self, bits: int = 17) -> None:
-        """Two-choice hash table from span hash to arc."""
-        shifts = [np.uint64(64 - bits), np.uint64(20)]
-        self.slots = [np.full(1 << bits, -1, np.int32) for _ in shifts]
-        self.where = lambda h, t: (h >> shifts[t]) & np.uint64((1 << bits) - 1)
-        for k in range(len(self.hash)):
-            t = 0
-            for _ in range(500):
-                at = int(self.where(self.hash[k : k + 1], t)[0])
-                k, self.slots[t][at] = int(self.slots[t][at]), k
-                if k < 0:
-                    break
-                t = 0 if self.slots[0][int(self.where(self.hash[k : k + 1], 0)[0])] < 0 else 1 - t
-            else:
-                raise ValueError("the pieces don't fit the table")
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Arc of each span hash, or -1."""
-        out = self.slots[0][self.where(h, 0)]
-        miss = self.hash[out] != h
-        other = self.slots[1][self.where(h[miss], 1)]
-        other[self.hash[other] != h[miss]] = -1
-        out[miss] = other
+                self.prefix, self.squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
+                if spec.get(2) or not spec.get(5, 1):
+                    raise ValueError("a normaliser with a character map, or one that does not escape blanks, is not compiled")
+        if self.kind not in (UNIGRAM, BPE):
+            raise ValueError("only unigram and merge models are compiled")
+        self.starts = {p[:n] for p in self.arcs for n in range(1, len(p) + 1)}
+        self.unknown = PENALTY - min((self.scores[k] for k in self.arcs.values()), default=0.0)
+        #: Lattices split where no arc can cross: before a run of blanks, unless a piece holds a blank after another character.
+        self.segment = None if any(b" " in p.lstrip(b" ") for p in self.arcs) else re.compile(rb" +[^ ]*|[^ ]+")
+        self.known: dict[int, bool] = {}
+        self.seen: dict[bytes, tuple[int, ...]] = {}
+        self.before = self.seen
+
+    def _piece(self, piece: dict) -> None:
+        k, kind, raw = len(self.pieces), piece.get(3, 1), piece[1].decode().replace("▁", " ").encode()
+        self.scores.append(struct.unpack("<f", piece.get(2, b"\0\0\0\0"))[0])
+        if kind == 1:
+            self.arcs[raw] = k
+        elif kind == 6:
+            self.bytes[int(piece[1][3:5], 16)] = k
+            raw = bytes([int(piece[1][3:5], 16)])
+        else:
+            raw = b""
+        self.pieces.append(raw)
+
+    def _merged(self, raw: bytes) -> list[bytes]:
+        """What merging the characters leaves: of all neighbours that make a piece, the best piece first, then the first place."""
+        parts, i = [], 0
+        while i < len(raw):
+            parts.append(raw[i : i + _char(raw[i])])
+            i += len(parts[-1])
+        while True:
+            best, at = -np.inf, -1
+            for j in range(len(parts) - 1):
+                k = self.arcs.get(parts[j] + parts[j + 1])
+                if k is not None and self.scores[k] > best:
+                    best, at = self.scores[k], j
+            if at < 0:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def follows(self, left: int, right: int) -> bool:
+        """Whether the arc of `right` may come after that of `left`, or (left: -1) at the start or after bytes."""
+        key = left << 32 | right
+        ok = self.known.get(key)
+        if ok is None:
+            own = [self.pieces[right]] if left < 0 else [self.pieces[left], self.pieces[right]]
+            if len(self.known) >= PAIRS:
+                self.known.clear()
+            ok = self.known[key] = self._merged(b"".join(own)) == own
+        return ok
+
+    def _arcs_at(self, raw: bytes, i: int) -> list[int]:
+        """The pieces that begin at place i, the shortest first."""
+        out, size, n = [], 1, len(raw)
+        while i + size <= n and (piece := raw[i : i + size]) in self.starts:
+            k = self.arcs.get(piece)
+            if k is not None:
+                out.append(k)
+            size += 1
         return out
 
-    def best(self, raw: bytes) -> tuple[list[int], float]:
-        """Ids and weight of the least path over one input, by relaxing its lattice from left to right."""
-        cost, back = [0.0] + [np.inf] * len(raw), [0] * (len(raw) + 1)
-        for i in range(len(raw)):
-            if raw[i] & 0xC0 == 0x80:
-                continue
-            n = _char(raw[i])
-            for size in self.lengths:
-                if i + size > len(raw):
+    def best(self, raw: bytes) -> tuple[int, ...]:
+        """The ids of the least path over one input."""
+        return self._finite(raw) if self.kind == BPE else self._least(raw)
+
+    def _finite(self, raw: bytes) -> tuple[int, ...]:
+        """Merge models: the one path of finite weight, by search from the longest arcs on; places that lead nowhere are left out once found."""
+        n, path, i, dead = len(raw), [], 0, set()
+        ways = self._arcs_at(raw, 0)
+        while i < n:
+            u = path[-1][1] if path else -1
+            while ways:
+                k = ways.pop()
+                if i + len(self.pieces[k]) not in dead and self.follows(u, k):
+                    path.append((i, k, ways))
+                    i += len(self.pieces[k])
                     break
-                if (arc := self.arcs.get(raw[i : i + size])) and cost[i] + arc[1] < cost[i + size]:
-                    cost[i + size], back[i + size] = cost[i] + arc[1], size
-            if raw[i : i + n] not in self.arcs and cost[i] + self.unknown < cost[i + n]:
-                cost[i + n], back[i + n] = cost[i] + self.unknown, -n
-        ids, i = [], len(raw)
-        while i:
-            n = back[i]
-            if n > 0:
-                ids.append(self.arcs[raw[i - n : i]][0])
             else:
-                ids += [int(self.byte_ids[b]) for b in reversed(raw[i + n : i])]
-            i -= abs(n)
-        return ids[::-1], cost[-1]
-
-    def together(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of many short segments, flat, and how many each has."""
-        order = np.argsort(starts - ends, kind="stable")
-        starts, size = starts[order], (ends - starts)[order]
-        n, width = len(size), int(size[0])
-        more = np.searchsorted(-size, -np.arange(width + 1), "right")  # segments of at least so many bytes
-        cost = np.full((width + 1, n), np.inf)
-        cost[0] = 0
-        step, emitted = np.zeros((width + 1, n), np.int16), np.zeros((width + 1, n), np.int32)
-        for i in range(width):
-            live = more[i + 1]
-            at = starts[:live] + i
-            lead = np.flatnonzero((buf[at] & 0xC0) != 0x80)
-            at = at[lead]
-            own, here, chars = cost[i, lead], size[lead], CHAR[buf[at]]
-            alone = np.zeros(len(lead), bool)
-            for k in self.lengths:
-                if i + k > width:
-                    break
-                fit = np.searchsorted(lead, more[i + k])
-                arc = self.find(span_hashes_at(self.sums, self.down, at[:fit], k))
-                ok = np.flatnonzero(arc >= 0)
-                alone[ok[chars[ok] == k]] = True
-                to, new = lead[ok], own[ok] + self.weight[arc[ok]]
-                win = new < cost[i + k, to]
-                to = to[win]
-                cost[i + k, to], step[i + k, to], emitted[i + k, to] = new[win], k, arc[ok][win]
-            for k in (1, 2, 3, 4):
-                fall = np.flatnonzero(~alone & (chars == k) & (here >= i + k))
-                if len(fall):
-                    to, new = lead[fall], own[fall] + self.unknown
-                    win = new < cost[i + k, to]
-                    to = to[win]
-                    cost[i + k, to], step[i + k, to] = new[win], -k
-        place, count, taken = size.copy(), np.zeros(n, np.int64), []
-        active = np.arange(n)
-        while len(active):
-            p = place[active]
-            k = step[p, active].astype(np.int64)
-            arc = k > 0
-            taken.append((active[arc], self.id[emitted[p[arc], active[arc]]], count[active[arc]]))
-            for j in range(1, 5):
-                fall = active[(k < 0) & (-k >= j)]
-                taken.append((fall, self.byte_ids[buf[starts[fall] + place[fall] - j]], count[fall] + j - 1))
-            count[active] += np.where(arc, 1, -k)
-            place[active] -= abs(k)
-            active = active[place[active] > 0]
-        back = np.empty(n, np.int64)
-        back[order] = np.arange(n)
-        counts = count[back]
-        first = np.r_[0, np.cumsum(counts)]
-        ids = np.empty(first[-1], np.int64)
-        for seg, value, reverse in taken:
-            ids[first[order[seg]] + count[seg] - 1 - reverse] = value
-        return ids, counts
-
-    def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts of a slice (each begins with the dummy prefix), and the end of each text's ids."""
-        from .common import BYTE, _powers
-
-        if not len(buf):
-            return np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-        up, self.down = _powers(max(20, int(len(buf)).bit_length()))
-        self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(BYTE[buf] * up[: len(buf)], out=self.sums[1:])
-        space = buf == 32
-        cut = space.copy()
-        cut[1:] &= ~space[:-1]
-        cut[offsets[:-1][offsets[:-1] < len(buf)]] = True
-        starts = np.flatnonzero(cut)
-        ends = np.r_[starts[1:], len(buf)]
-        keys = span_hashes_of(self.sums, self.down, starts, ends)
-        _, one, which = np.unique(keys, return_index=True, return_inverse=True)
-        short = (ends - starts)[one] <= TOGETHER
-        counts, lists = np.zeros(len(one), np.int64), [None] * len(one)
-        flat = np.zeros(0, np.int64)
-        if short.any():
-            flat, counts[short] = self.together(buf, starts[one[short]], ends[one[short]])
-        extra, at = [], len(flat)
-        base = np.zeros(len(one), np.int64)
-        base[short] = np.r_[0, np.cumsum(counts[short])[:-1]] if short.any() else 0
-        for k in np.flatnonzero(~short):
-            ids, _ = self.best(buf[starts[one[k]] : ends[one[k]]].tobytes())
-            base[k], counts[k] = at, len(ids)
-            extra.append(np.array(ids, np.int64))
-            at += len(ids)
-        flat = np.concatenate([flat, *extra])
-        n = counts[which]
-        end = np.cumsum(n)
-        ids = flat[np.repeat(base[which] - (end - n), n) + np.arange(int(end[-1]))]
-        segment = np.searchsorted(starts, offsets[1:], "left")
-        return ids, np.r_[0, end][segment]
+                size = min(_char(raw[i]), n - i)
+                if i + size not in dead and raw[i : i + size] not in self.arcs:
+                    path.append((i, -1, []))
+                    i += size
+                else:
+                    dead.add(i)
+                    i, _, ways = path.pop()
+                    continue
+            ways = self._arcs_at(raw, i)
+        ids: list[int] = []
+        for j, (i, k, _) in enumerate(path):
+            ids += [k] if k >= 0 else [self.bytes[b] for b in raw[i : path[j + 1][0] if j + 1 < len(path) else n]]
+        return tuple(ids)
+
+    def _least(self, raw: bytes) -> tuple[int, ...]:
+        """Unigram models: the lattice is relaxed from left to right."""
+        n = len(raw)
+        cost, back, last = [0.0] + [np.inf] * n, [0] * (n + 1), [-1] * (n + 1)
+        for i in range(n):
+            if cost[i] == np.inf:
+                continue
+            size = min(_char(raw[i]), n - i)
+            ways = [(cost[i] - self.scores[k], len(self.pieces[k]), k) for k in self._arcs_at(raw, i)]
+            for new, size, k in ways if raw[i : i + size] in self.arcs else [*ways, (cost[i] + self.unknown, size, -1)]:
+                if new < cost[i + size]:
+                    cost[i + size], back[i + size], last[i + size] = new, size, k
+        ids, i = [], n
+        while i:
+            size = back[i]
+            ids += [last[i]] if last[i] >= 0 else [self.bytes[b] for b in reversed(raw[i - size : i])]
+            i -= size
+        return tuple(reversed(ids))
+
+    def encode(self, text: str | None) -> list[int]:
+        """The ids of a whole text; none of a null or empty one."""
+        raw, out = self.normal(text), []
+        for s in self.segment.findall(raw) if self.segment else [raw] * bool(raw):
+            ids = self.seen.get(s)
+            if ids is None:
+                ids = self.before.get(s) or self.best(s)
+                if len(s) <= LONGEST:
+                    if len(self.seen) >= REMEMBERED:
+                        self.before, self.seen = self.seen, {}
+                    self.seen[s] = ids
+            out += ids
+        return out
+
+    def normal(self, text: str | None) -> bytes:
+        """What the lattice is made of: blanks as the flags say, the escape sign as a blank."""
+        text = (text or "").replace("▁", " ")
+        if self.squeeze:
+            text = re.sub(" +", " ", text).strip(" ")
+        return (" " * (self.prefix and text != "") + text).encode("utf-8", "surrogatepass")
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that are not UTF-8 become replacement characters."""
-        raw = b"".join(self.pieces[k] for k in ids)
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
-
-
-def _char(lead: int) -> int:
-    return 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-
-
-CHAR = np.array([_char(c) for c in range(256)], np.int64)
-
-
-def span_hashes_of(sums, down, starts, ends):
-    from .common import mix
-
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
-def span_hashes_at(sums, down, starts, size):
-    return span_hashes_of(sums, down, starts, starts + size)
+        raw = b"".join(self.pieces[k] for k in ids or ())
+        return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=2)
@@ -265,24 +227,21 @@ def transducer(path: str | None = None) -> Transducer:
     return Transducer(path or public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def escaped(text):
-    """What the transducer reads: a dummy prefix before a text that isn't empty; the escape sign is a space."""
-    text = F.coalesce(text, F.lit(""))
-    return F.when(text == "", "").otherwise(F.concat(F.lit(" "), F.replace(text, F.lit("▁"), F.lit(" "))))
-
-
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, ids: array<int>) for each row; a null or empty text has no ids. Texts are never cut."""
+    """(doc_id, ids: array<int>) for each row; a null or empty text has no ids. Texts are never cut.
+
+    Rows that repeat a doc_id, or have none, are rows of their own; other columns are not read.
+    """
 
     def run(batches):
         t = transducer(vocabulary)
         for batch in batches:
-            for i, j, buf, offsets in slices(batch.column("text"), 2 << 20):
-                ids, ends = t.encode(buf, offsets)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists], names=["doc_id", "ids"])
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                ids = [t.encode(x) for x in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", escaped(F.col("text")).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -291,32 +250,29 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches):
         t = transducer(vocabulary)
         for batch in batches:
-            texts = [t.decode(ids or ()) for ids in batch.column("ids").to_pylist()]
+            texts = [t.decode(ids) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
 def digest(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Per row: doc_id, n_ids, ids_crc32 (unsigned, little-endian 32-bit ids), decoded_sha256, round_trip."""
+    """Per row: doc_id, n_ids, ids_crc32 (unsigned, little-endian 32-bit ids), decoded_sha256, round_trip (decoding gives the normalised text)."""
+    names = ["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"]
 
     def run(batches):
         t = transducer(vocabulary)
-        table = np.array(t.pieces, object)
         for batch in batches:
-            for i, j, buf, offsets in slices(batch.column("text"), 2 << 20):
-                ids, ends = t.encode(buf, offsets)
-                starts, raw = np.r_[0, ends[:-1]], ids.astype("<u4")
-                crc, sha, same = [], [], []
-                for k, (a, b) in enumerate(zip(starts, ends)):
-                    crc.append(zlib.crc32(raw[a:b].tobytes()))
-                    back = b"".join(table[ids[a:b]])
-                    sha.append(hashlib.sha256(back[1:]).hexdigest())
-                    same.append(back == buf[offsets[k] : offsets[k + 1]].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array((ends - starts).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(sha), pa.array(same)], names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"])
-
-    rows = docs.select("doc_id", escaped(F.col("text")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+            n, crc, sha, same = [], [], [], []
+            for text in batch.column("text"):
+                text = text.as_py()
+                ids, back = t.encode(text), t.normal(text)[t.prefix :]
+                decoded = t.decode(ids).encode()
+                n.append(len(ids)), crc.append(zlib.crc32(np.array(ids, "<u4").tobytes()))
+                sha.append(hashlib.sha256(decoded).hexdigest()), same.append(decoded == back)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha), pa.array(same)], names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
