@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share. A local session without one (tests) gets a temporary one; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="archivolt-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,6 +32,11 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str = "__rid") -> DataFrame:
+    """A written table of df with a number of its own for each row: what is joined on it can't mix up or lose rows, whatever ids they hold."""
+    return table(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table of table() that nothing needs any more."""
     spark = df.sparkSession
@@ -166,8 +173,3 @@ def shingles(column: pa.Array, n: int = 5) -> Iterator[tuple[int, int, np.ndarra
 
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
-
-
-def text_key():
-    """Tells apart rows that repeat a doc_id with another text."""
-    return F.xxhash64(F.col("text"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, shingles, signed, table
+from .common import mix, numbered, shingles, signed, table
 from .groups import Forest, block_pairs, candidate_clusters, components, set_overlaps
 
 N, THRESHOLD = 5, 0.8
@@ -21,6 +21,7 @@ ROWS = 6
 #: Bands for a recall of 0.999 at the threshold: 1 - (1 - 0.8^6)^24.
 RECALL = 0.999
 BLOCK = 512
+KEYS = ("rid", "doc_id", "digest")
 
 
 def band_count(threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -50,7 +51,7 @@ def _signer(n: int, bands: int, rows: int):
                     out[at, b] = h
             flat = pa.array(signed(out).ravel(), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands), flat, mask=pa.array(~has))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), lists], names=["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEYS), lists], names=[*KEYS, "bands"])
 
     return sign
 
@@ -85,42 +86,41 @@ def _verifier(n: int, threshold: float):
     return verify
 
 
-def _node():
-    return F.xxhash64(F.md5(F.lower(F.coalesce("text", F.lit(""))).cast("binary")))
+def _classes(base: DataFrame, n: int, threshold: float, rows: int, recall: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """Signed rows (rid, doc_id, digest, bands), and for each distinct text (digest, rid, class_id, keep, n_links).
 
-
-def _classes(docs: DataFrame, n: int, threshold: float, rows: int, recall: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """Signed rows (doc_id, node, bands), and for each distinct text (node, rep, class_id, keep, n_links).
-
-    rep: smallest doc_id of the text. keep: the text of the group that stays, with the smallest doc_id; null ids come last.
+    base: rid, doc_id, t. A text is told apart by its 128-bit digest and numbered by the first row that has it.
+    keep: the row of the group that stays, with the smallest doc_id; null ids come last, ties by rid.
     """
     bands = band_count(threshold, rows, recall)
-    base = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"), _node().alias("node"))
-    signs = table(base.mapInArrow(_signer(n, bands, rows), "doc_id long, node long, bands array<long>"))
-    classes = table(signs.filter("bands is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("bands").alias("bands")))
+    keyed = base.select("rid", "doc_id", F.unhex(F.md5(F.col("t").cast("binary"))).alias("digest"), "t")
+    signs = table(keyed.mapInArrow(_signer(n, bands, rows), f"rid long, doc_id {dict(base.dtypes)['doc_id']}, digest binary, bands array<long>"))
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "rid")
+    classes = signs.filter("bands is not null").groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("weight"), F.first("bands").alias("bands"))
+    classes = table(classes.withColumn("node", F.col("first.rid")))
     pieces = classes.select("node", F.explode("bands").alias("band"))
-    found = table(candidate_clusters(pieces, block).join(classes.select("node", "rep", "weight"), "node"))
-    wanted = found.withColumnRenamed("node", "own").hint("merge")
-    texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("node") == F.col("own"))).drop("doc_id", "rep", "own")
+    found = table(candidate_clusters(pieces, block).join(classes.select("node", "weight"), "node"))
+    texts = base.select(F.col("rid").alias("node"), "t").join(found.hint("merge"), "node")
     checked = table(block_pairs(texts).groupBy("cluster", "bi", "bj").applyInPandas(_verifier(n, threshold), "node long, links long, root long"))
     groups = components(checked.filter("root <> node").select(F.col("root").alias("a"), F.col("node").alias("b")))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    per_class = classes.select("node", "rep", "weight").join(groups, "node", "left").join(links, "node", "left")
-    per_class = table(per_class.select("node", "rep", F.coalesce("comp", "node").alias("comp"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    first = F.min(F.struct(F.col("rep").isNull().alias("late"), "rep", "node"))
-    lowest = per_class.groupBy("comp").agg(first.alias("first")).select("comp", F.col("first.rep").alias("class_id"), F.col("first.node").alias("keep"))
-    return signs, per_class.join(lowest, "comp").select("node", "rep", "class_id", "keep", "n_links")
+    per_class = classes.select("digest", "node", "first", "weight").join(groups, "node", "left").join(links, "node", "left")
+    per_class = table(per_class.select("digest", "first", F.coalesce("comp", "node").alias("comp"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    lowest = per_class.groupBy("comp").agg(F.min("first").alias("of")).select("comp", F.col("of.doc_id").alias("class_id"), F.col("of.rid").alias("keep"))
+    return signs, per_class.join(lowest, "comp").select("digest", F.col("first.rid").alias("rid"), "class_id", "keep", "n_links")
+
 
 def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id, n_links) for each row of docs (doc_id, text).
 
-    class_id: smallest doc_id of the group linked by Jaccard >= threshold over lower-cased word n-grams.
-    n_links: other rows linked directly, copies included. A text without words (or null) links with
-    nothing and is its own class; fewer than n words make one n-gram. Rows that repeat a doc_id count as
-    rows of their own. An empty table gives no rows; other columns are not read.
+    class_id: smallest doc_id of the group linked by Jaccard >= threshold over lower-cased word n-grams; null only if no
+    row of the group has one. n_links: other rows linked directly, copies included. A text without words (or null) links
+    with nothing and is its own class; fewer than n words make one n-gram. Rows that repeat a doc_id, or have none, count
+    as rows of their own. An empty table gives no rows; other columns are not read.
     """
-    signs, per_class = _classes(docs, n, threshold, rows, recall, block)
-    full = signs.filter("bands is not null").select("doc_id", "node").join(per_class.select("node", "class_id", "n_links"), "node").select("doc_id", "class_id", "n_links")
+    base = numbered(docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t")), "rid")
+    signs, per_class = _classes(base, n, threshold, rows, recall, block)
+    full = signs.filter("bands is not null").select("doc_id", "digest").join(per_class.select("digest", "class_id", "n_links"), "digest").select("doc_id", "class_id", "n_links")
     return full.unionByName(signs.filter("bands is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
@@ -129,14 +129,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group, with the smallest doc_id; rows that repeat both doc_id and text are one.
+    """Keeps one row of each group, that of the smallest doc_id (null ids come last); a row without words stays.
 
-    Rows that share only the doc_id, or have none, are judged by their texts. Texts without words stay; those without a
-    doc_id stay row by row.
+    Groups are made of rows, by their texts alone: rows that share a doc_id, or have none, are lost only as near copies.
     """
-    signs, per_class = _classes(docs, N, THRESHOLD, ROWS, RECALL, BLOCK)
-    kept = per_class.filter("node = keep").select(F.col("rep").alias("__id"), F.col("node").alias("__own"), F.lit(False).alias("__bare"))
-    bare = signs.filter("bands is null").select(F.col("doc_id").alias("__id"), F.col("node").alias("__own"), F.lit(True).alias("__bare")).distinct()
-    rows = docs.withColumn("__node", _node()).join(kept.unionByName(bare), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__own")))
-    rows = rows.withColumn("__row", F.when(F.col("__bare") & F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    return rows.dropDuplicates(["doc_id", "__node", "__row"]).select(*docs.columns)
+    rows = numbered(docs)
+    base = rows.select(F.col("__rid").alias("rid"), "doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
+    signs, per_class = _classes(base, N, THRESHOLD, ROWS, RECALL, BLOCK)
+    kept = per_class.filter("rid = keep").select(F.col("rid").alias("__rid"))
+    bare = signs.filter("bands is null").select(F.col("rid").alias("__rid"))
+    return rows.join(kept.unionByName(bare), "__rid", "left_semi").select(*docs.columns)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_key
+from .common import numbered, table
 
 #: Kind, pattern, and the least length of what must be that long (the value for assign, else the match).
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 PATTERNS = {"assign": (ASSIGN, 12), "access": (r"AKIA[A-Z0-9]{14,}", 18), "hex": (r"[0-9a-f]{16,}", 16), "opaque": (r"[A-Za-z0-9+/_-]{24,}", 24)}
 BASE = ("assign", "access", "hex")
-#: A value held by so many owners is a copied example.
-COPIED_OWNERS = 3
+#: A value held by so many owners, or by so many repositories, is a copied example.
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 25
 
 
 def _spans(text: Column, kind: str) -> Column:
@@ -35,30 +35,33 @@ def _spans(text: Column, kind: str) -> Column:
 
 
 def find(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """(doc_id, key, owner, repository, base, opaque): the spans of each row; key is a hash of its text.
+    """(doc_id, owner, repository, base, opaque), and rid where docs has it: the spans of each row.
 
     A null text is empty. An opaque span is a long mixed-case run with digits that no base span overlaps.
     """
+    rid = [c for c in ("rid",) if c in docs.columns]
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text_key().alias("key"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), *(_spans(text, k).alias(k) for k in PATTERNS))
+    rows = docs.select(*rid, "doc_id", F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), *(_spans(text, k).alias(k) for k in PATTERNS))
     base = F.array_sort(F.concat(*BASE))
     mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]")
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     rows = rows.withColumn("base", base).withColumn("opaque", F.filter("opaque", lambda s: mixed(s) & free(s)))
-    return rows.select("doc_id", "key", "owner", "repository", "base", "opaque")
+    return rows.select(*rid, "doc_id", "owner", "repository", "base", "opaque")
 
 
 def ownership(found: DataFrame) -> DataFrame:
     """(value_hash, n_repositories, n_owners, n_spans, verdict) of every candidate value of the corpus.
 
-    Null owners and repositories are not counted. Distinct pairs are aggregated first, so a value that a
-    third of the corpus holds reaches each reducer as few rows.
+    copied: many owners, or many repositories of whatever owners; shared: two owners; live: one owner; unowned: a value of
+    few repositories, none of which has an owner. Null owners and repositories are not counted. Distinct pairs are
+    aggregated first, so a value that a third of the corpus holds reaches each reducer as few rows.
     """
     each = found.select("owner", "repository", F.explode(F.concat("base", "opaque")).alias("s")).select("owner", "repository", F.sha2(F.col("s.value"), 256).alias("value_hash"))
     each = each.groupBy("value_hash", "owner", "repository").agg(F.count("*").alias("n"))
     each = each.groupBy("value_hash", "owner").agg(F.count("repository").alias("repositories"), F.sum("n").alias("n"))
     each = each.groupBy("value_hash").agg(F.sum("repositories").alias("n_repositories"), F.count("owner").alias("n_owners"), F.sum("n").alias("n_spans"))
-    verdict = F.when(F.col("n_owners") >= COPIED_OWNERS, "copied").when(F.col("n_owners") == 2, "shared").otherwise("live")
+    copied = (F.col("n_owners") >= COPIED_OWNERS) | (F.col("n_repositories") >= COPIED_REPOSITORIES)
+    verdict = F.when(copied, "copied").when(F.col("n_owners") == 2, "shared").when(F.col("n_owners") == 1, "live").otherwise("unowned")
     return each.withColumn("verdict", verdict)
 
 
@@ -68,29 +71,39 @@ def _joined(spans: Column) -> Column:
 
 
 def judged(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """The written table of find() with a row number, its kept spans (spans) and counts of base spans by verdict."""
-    found = table(find(docs, owner, repository).withColumn("rid", F.monotonically_increasing_id()))
-    verdicts = ownership(found).select("value_hash", "verdict")
+    """The written table of find() with its kept spans (spans), counts of base spans by verdict, and the widest spread of a value.
+
+    rid: the row's number; taken from docs where it has one.
+    """
+    found = find(docs, owner, repository)
+    found = table(found if "rid" in docs.columns else found.withColumn("rid", F.monotonically_increasing_id()))
+    verdicts = ownership(found).select("value_hash", "verdict", "n_owners", "n_repositories")
     spans = found.select("rid", F.explode(F.concat("base", "opaque")).alias("s")).withColumn("value_hash", F.sha2(F.col("s.value"), 256))
+    # few rows of the verdicts' side a value; a value that many texts hold is a skewed key of the other side, which Spark splits
     each = spans.join(verdicts, "value_hash")
     is_base = F.col("s.rank") < len(BASE)
     per_row = each.groupBy("rid").agg(
         F.array_sort(F.collect_list(F.when(is_base | (F.col("verdict") != "copied"), F.col("s")))).alias("spans"),
-        F.count(F.when(is_base & (F.col("verdict") == "live"), 1)).alias("n_live"),
+        F.count(F.when(is_base & F.col("verdict").isin("live", "unowned"), 1)).alias("n_live"),
         F.count(F.when(is_base & (F.col("verdict") == "copied"), 1)).alias("n_copied"),
+        F.max("n_owners").alias("most_owners"),
+        F.max("n_repositories").alias("most_repositories"),
     )
-    return found.join(per_row, "rid", "left").select("doc_id", "key", "base", "spans", F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return found.join(per_row, "rid", "left").select("rid", "doc_id", "base", "spans", *map(count, ("n_live", "n_copied", "most_owners", "most_repositories")))
 
 
 def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """One row per row of docs: the contract's columns, then n_live and n_copied (base spans by verdict).
+    """One row per row of docs: the contract's columns, then n_live and n_copied (base spans by verdict), most_owners and
+    most_repositories (of the row's most widely held value).
 
-    Base spans always stay. The corpus-wide count adds an opaque span where its value is not copied
-    between owners. Spans are code points, end exclusive; empty and null texts have none.
+    Base spans always stay. The corpus-wide count adds an opaque span where its value is not copied. Spans are code
+    points, end exclusive; empty and null texts have none. Rows that repeat a doc_id, or have none, are rows of their own.
     """
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    rows = judged(docs, owner, repository)
-    return rows.select("doc_id", *(count(k) for k in BASE), F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), F.coalesce(_joined(F.col("spans")), F.lit("")).alias("spans"), "n_live", "n_copied")
+    rows = judged(docs.select(*dict.fromkeys(("doc_id", "text", owner, repository))), owner, repository)
+    digest, spans = F.sha2(_joined(F.col("base")).cast("binary"), 256), F.coalesce(_joined(F.col("spans")), F.lit(""))
+    return rows.select("doc_id", *(count(k) for k in BASE), digest.alias("base_sha256"), spans.alias("spans"), "n_live", "n_copied", "most_owners", "most_repositories")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,10 +111,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes a placeholder over every kept span; all documents stay. Overlapping spans get one placeholder."""
+    """Writes a placeholder over every kept span; all documents stay, whatever their ids. Overlapping spans get one placeholder."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = judged(docs).filter("size(spans) > 0").groupBy("doc_id", "key").agg(F.first("spans").alias("__spans"))
-    rows = docs.withColumn("__key", text_key()).join(found.select("doc_id", F.col("key").alias("__key"), "__spans").hint("merge"), ["doc_id", "__key"], "left")
+    rows = numbered(docs)
+    found = judged(rows.select(F.col("__rid").alias("rid"), "doc_id", "text", "source")).filter("size(spans) > 0")
+    rows = rows.join(found.select(F.col("rid").alias("__rid"), F.col("spans").alias("__spans")), "__rid", "left")
 
     def cut(acc: Column, s: Column) -> Column:
         gap = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[secret]"))

@@ -11,7 +11,6 @@ from archivolt.llm import packing
 
 def reference_ids(texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids + [0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -38,6 +37,11 @@ def test_documents(docs):
     check(docs)
 
 
+def test_ids_of_all_documents(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert [packing.token_ids(t).tolist() for t in texts] == reference_ids(texts)
+
+
 def test_odd(odd, none):
     check(odd.dropDuplicates(["doc_id"]))
     assert packing.pack(odd).selectExpr("sum(length)").first()[0] == sum(map(len, reference_ids([r.text for r in odd.collect()])))

@@ -50,3 +50,20 @@ def test_stage_cuts_and_keeps(spark):
     df = spark.createDataFrame([(1, "a token=abcdefghijklm b"), (2, "clean"), (3, None)], "doc_id long, text string").selectExpr("*", "'s' AS source")
     got = {r.doc_id: r.text for r in secrets.stage(spark, df, "").collect()}
     assert got == {1: "a [secret] b", 2: "clean", 3: None}
+
+
+def test_stage_cuts_rows_without_ids_and_rows_that_share_one(spark):
+    rows = [(None, "token=abcdefghijklmnop x"), (None, "token=abcdefghijklmnop x"), (4, "token=abcdefghijklmnop y"), (4, "clean"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' AS source", "1 AS spans", "2 AS rid", "3 AS base")
+    got = secrets.stage(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(str((r.doc_id, r.text)) for r in got.collect()) == sorted(map(str, [(None, "[secret] x"), (None, "[secret] x"), (4, "[secret] y"), (4, "clean"), (None, None)]))
+
+
+def test_verdicts(spark):
+    rows = [(k, "token=aaaaaaaaaaaa", "s1") for k in range(30)] + [(40, "token=bbbbbbbbbbbb", None), (41, "token=cccccccccccc", "s1"), (42, "token=dddddddddddd", "s1"), (43, "token=dddddddddddd", "s2")]
+    found = secrets.find(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = sorted((r.n_repositories, r.n_owners, r.verdict) for r in secrets.ownership(found).collect())
+    assert got == [(1, 0, "unowned"), (1, 1, "live"), (2, 2, "shared"), (30, 1, "copied")]
+    judged = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).filter("doc_id = 3").first()
+    assert (judged.most_owners, judged.most_repositories, judged.n_copied, judged.n_live) == (1, 30, 1, 0)
