@@ -173,3 +173,9 @@ def shingles(column: pa.Array, n: int = 5) -> Iterator[tuple[int, int, np.ndarra
 
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
+
+
+def document_key():
+    """128 bits for rows (doc_id, text): rows that agree in both share it, nulls included."""
+    told = [F.col(c).isNull().cast("string") for c in ("doc_id", "text")]
+    return F.unhex(F.md5(F.concat_ws(":", *told, F.col("doc_id").cast("string"), "text").cast("binary")))

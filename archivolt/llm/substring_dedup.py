@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, mix, ngram_hashes, signed, slices, span_hashes, table, text_key, words
+from .common import document_key, free_shuffles, mix, ngram_hashes, signed, slices, span_hashes, table, words
 
 WINDOW, ANCHOR = 13, 5
 #: Most windows of one path: a bit of a long marks each.
@@ -157,15 +157,15 @@ def _resolve(batches):
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, starts: array<int>, masks: array<long>): first word of each run of windows, a bit for each repeated one."""
-    base = docs.select("doc_id", text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    """(key, starts: array<int>, masks: array<long>): first word of each run of windows, a bit for each repeated one."""
+    base = docs.filter("doc_id is not null").select("doc_id", document_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = base.select("doc_id", "text").mapInArrow(_emit_paths, "anchor long, doc_id long, many boolean, edges binary")
     answers = table(dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_resolve, "path long, least long, mask long"))
     free_shuffles(docs.sparkSession)
-    places = base.mapInArrow(_emit_places, "path long, doc_id long, key long, start int, n int")
+    places = base.mapInArrow(_emit_places, "path long, doc_id long, key binary, start int, n int")
     whole = F.expr(f"shiftrightunsigned(-1L, {LONGEST} - n)")
     spans = places.join(answers, "path").withColumn("mask", F.when(F.col("doc_id") > F.col("least"), whole).otherwise(F.col("mask"))).filter("mask <> 0")
-    return spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "mask")).alias("s")).select("doc_id", "key", F.col("s.start").alias("starts"), F.col("s.mask").alias("masks"))
+    return spans.groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("s")).select("key", F.col("s.start").alias("starts"), F.col("s.mask").alias("masks"))
 
 
 def removed_words(n: int, starts, masks, window: int = WINDOW) -> np.ndarray:
@@ -199,12 +199,12 @@ def _cut(batches):
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 (kept words joined by a space).
 
-    A word goes if a window of 13 words over it also starts in a document with a smaller doc_id. Null
-    texts have no words. Rows that share a doc_id never remove from each other.
+    A word goes if a window of 13 words over it also starts in a document with a smaller doc_id. Null texts have no words.
+    Rows that share a doc_id never remove from each other; a row without one keeps all its words and removes none.
     """
     gone = table(repeated_windows(docs))
     free_shuffles(docs.sparkSession)
-    rows = docs.select("doc_id", text_key().alias("key"), "text").join(gone, ["doc_id", "key"], "left").select("doc_id", "text", "starts", "masks")
+    rows = docs.select("doc_id", document_key().alias("key"), "text").join(gone, "key", "left").select("doc_id", "text", "starts", "masks")
     return rows.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
