@@ -10,30 +10,67 @@ from archivolt.llm import toxicity as tox
 SF = "/root/testdata/sf0.01"
 
 
-def test_presence_is_the_set_of_hashed_grams():
-    texts = ["Abc  abd!", "", "é x", "zz" * 300]
-    rows = np.concatenate([r for _, r in lang.presence(pa.array(texts, pa.large_string()))])
-    for t, row in zip(texts, rows):
-        raw = lang.FOLD[np.frombuffer(t.encode(), np.uint8)].tobytes()
-        while b"  " in raw:
-            raw = raw.replace(b"  ", b" ")
-        slots = {((int.from_bytes(raw[i : i + n], "big") + (n << 40)) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - lang.BITS) for n in lang.SIZES for i in range(len(raw) - n + 1)}
-        assert set(np.flatnonzero(row)) == slots
-
-
-def test_scores_are_the_kernel_expansion():
-    texts, langs = ["the cat and the dog", "der hund und die katze", "the mouse in the house", "die maus in dem haus"], ["en", "de", "en", "de"]
-    model = lang.Model(texts, langs, landmarks=2)
-    x = np.concatenate([r for _, r in lang.presence(pa.array(texts, pa.large_string()))]).astype(float)
-    own = np.sqrt(x.sum(1))
-    kernel = x @ x.T / own[:, None] / own[None, :]
-    value, vector = np.linalg.eigh(kernel)
-    phi = kernel @ (vector / np.sqrt(value))
-    y = np.where(np.array(langs)[:, None] == np.array(["de", "en"]), 1.0, -1.0)
-    w = np.linalg.solve(phi.T @ phi + lang.RIDGE * np.eye(4), phi.T @ y)
-    raw = x @ model.weights / own[:, None]
-    assert np.allclose(raw, phi @ w, atol=1e-3)
-    assert model.predict(pa.array(["the house", "das haus und", "12 !"], pa.large_string()))[0] == ["en", "de", "und"]
+def grams_of(text):
+    raw = lang.FOLD[np.frombuffer(text.lower().encode(), np.uint8)].tobytes()
+    while b"  " in raw:
+        raw = raw.replace(b"  ", b" ")
+    return {raw[i : i + n] for n in lang.SIZES for i in range(len(raw) - n + 1)}
+
+
+def test_presence_is_the_set_of_grams():
+    texts = ["abc  abd!", "", "é x", "zz" * 300, "  ", " a"]
+    for i, n, rows, grams in lang.presence(pa.array(texts, pa.large_string())):
+        got = [{(int(g) & 0xFFFFFFFF).to_bytes(int(g) >> 32, "big") for g in grams[rows == k]} for k in range(n)]
+        assert got == [grams_of(t) for t in texts[i : i + n]]
+
+
+def test_places():
+    grams = np.unique(np.random.default_rng(1).integers(0, 2**35, 5000, dtype=np.uint64))
+    places = lang.Places(grams)
+    assert (places.find(grams) == np.arange(len(grams))).all() and (places.find(grams + np.uint64(1 << 36)) == -1).all()
+    assert lang.Places(grams[:0]).find(grams[:3]).tolist() == [-1, -1, -1]
+
+
+def plain_model(texts, langs, landmarks):
+    """Kernel, map and regression on sets of bytes: scores of a text by class."""
+    sets, classes = [grams_of(t) for t in texts], sorted(set(langs))
+    marks = [k for k in range(len(texts)) if langs[:k].count(langs[k]) < landmarks]
+    kernel = lambda a, b: len(a & b) / np.sqrt(max(1, len(a)) * max(1, len(b)))
+    full = np.array([[kernel(a, sets[m]) for m in marks] for a in sets])
+    value, vector = np.linalg.eigh(full[marks])
+    root = vector / np.sqrt(np.maximum(value, 1e-8))
+    phi = full @ root
+    y = np.array([[1.0 if x == c else -1.0 for c in classes] for x in langs])
+    share = np.array([[len(langs) / len(classes) / langs.count(x)] for x in langs])
+    w = np.linalg.solve(phi.T @ (share * phi) + lang.RIDGE * np.eye(len(marks)), phi.T @ (share * y))
+    return classes, lambda t: np.array([kernel(grams_of(t), sets[m]) for m in marks]) @ root @ w
+
+
+def test_query_against_a_plain_version(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    train = lang.sample(docs)
+    classes, plain = plain_model([r.t for r in train], [r.lang for r in train], lang.LANDMARKS)
+    got = {r.doc_id: r for r in lang.query(spark, sf).collect()}
+    import zlib
+
+    for r in rows:
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+            continue
+        s = plain(r.text)
+        p = np.exp(4 * (s - s.max()))
+        assert got[r.doc_id].score == pytest.approx(p.max() / p.sum(), abs=2e-3)
+        assert got[r.doc_id].lang_pred == classes[int(s.argmax())] or np.sort(s)[-1] - np.sort(s)[-2] < 1e-3
+
+
+def test_all_languages_are_learned_and_the_sample_is_bounded(spark):
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)} " * 20, f"l{k % 100}") for k in range(2000)] + [(5, "same text", "l0")] * 500 + [(None, "x", "l1")]
+    got = lang.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len({r.lang for r in got}) == 100 and len(got) <= lang.SAMPLE
+    assert max(sum(r.lang == x for r in got) for x in ("l0", "l1")) <= lang.SAMPLE // 100
 
 
 def test_language_held_out(spark):
