@@ -1,99 +1,73 @@
-"""Operator 9: toxicity by a bidirectional gated recurrent network with attention pooling.
+"""Operator 9: toxicity by a bidirectional gated recurrent network with attention pooling over word and character inputs.
 
-Inputs of each word: what training labels say of the word and of its character 4-grams (smoothed log-odds),
-and its shape. The network reads windows of 32 words that overlap by half; a document's score is that of
-its most toxic window, calibrated. Everything is trained in numpy on a bounded sample of labelled rows.
+A word enters as a learned embedding (words of several sample texts; all others share one) and as what a convolution over
+the learned embeddings of its characters finds anywhere in it. The network reads windows of 32 words that overlap by half;
+a document's score is that of its most toxic window, calibrated. All of it is trained together, in numpy, on a bounded
+sample of labelled rows. What the sample's labels say of single words is where the first component of their embeddings
+begins, and chooses the windows that the first epochs learn from.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, mix, slices, span_hashes, words
-
-#: Bounds of the fit: rows of each label, and characters of such a text.
-PER_LABEL, MOST_CHARS = 1200, 12000
-LENGTH, STRIDE, HIDDEN, ATTEND, INPUTS = 32, 16, 8, 8, 7
-EPOCHS, BATCH, RATE = 10, 256, 0.02
+from .common import bounded_sample, crc_of_id, slices, span_hashes, words
+
+#: Bounds of the fit: rows of each label, and characters that are read of such a text. All texts are scored whole.
+PER_LABEL, MOST_CHARS = 1000, 8000
+LENGTH, STRIDE, HIDDEN, ATTEND = 32, 16, 8, 8
+#: Sample texts that a word of its own must occur in; sizes of word and character embeddings, and of what characters give a word.
+LEAST_TEXTS, WORD, CHAR, FILTERS = 3, 8, 6, 8
+INPUTS = WORD + FILTERS
+#: Epochs; after each `RANKED` of them windows are ranked anew. Share of words that train without their own embedding.
+EPOCHS, RANKED, PASSES, BATCH, RATE, DROPPED = 12, 3, 2, 256, 0.01, 0.45
+#: Each so many texts of the sample one is kept for the calibration and not learned from (of small samples none).
+KEPT = 5
 SMOOTH = 4.0
 #: Bytes: ASCII letters lower, digits and other letters as they are, the rest a space.
 FOLD = np.array([c if c >= 128 or chr(c).isdigit() else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256)], np.uint8)
+FIRST, LAST = 1, 2
 
 
-def _grams(buf, starts, ends):
-    """Character 4-grams of words with marks at both ends: (values, first of each word, number of each word)."""
-    size = ends - starts
-    wide = size + 2
-    at = np.r_[0, np.cumsum(wide)]
-    flat = np.zeros(at[-1], np.uint32)
-    inner = np.repeat(at[:-1] + 1 - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))
-    flat[inner] = buf[np.repeat(starts - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))]
-    flat[at[:-1]], flat[at[1:] - 1] = 1, 2
-    count = np.maximum(wide - 3, 0)
-    first = np.r_[0, np.cumsum(count)]
-    pos = np.repeat(at[:-1] - first[:-1], count) + np.arange(int(first[-1]))
-    return flat[pos] | flat[pos + 1] << 8 | flat[pos + 2] << 16 | flat[pos + 3] << 24, first[:-1], count
-
-
-class Counts:
-    """In how many toxic and other texts of the sample each key is."""
-
-    def __init__(self, keys: np.ndarray, labels: np.ndarray, texts: np.ndarray):
-        self.keys, ids = np.unique(keys, return_inverse=True)
-        self.toxic = np.bincount(ids, weights=labels, minlength=len(self.keys))
-        self.other = np.bincount(ids, weights=1 - labels, minlength=len(self.keys))
-        self.totals = np.maximum(texts, 1.0)
-        often = self.toxic + self.other > 1
-        self.keys, self.toxic, self.other = self.keys[often], self.toxic[often], self.other[often]
-
-    def odds(self, keys: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds of each key, and whether it is known; `without` leaves one text of that label out of the counts."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        known = self.keys[at] == keys
-        t, o = np.where(known, self.toxic[at], 0.0), np.where(known, self.other[at], 0.0)
-        if without is not None:
-            t, o = np.maximum(t - (without == 1), 0), np.maximum(o - (without == 0), 0)
-        share = self.totals / self.totals.sum()
-        out = np.log((t + SMOOTH * share[1]) / self.totals[1]) - np.log((o + SMOOTH * share[0]) / self.totals[0])
-        return np.clip(out, -4, 4).astype(np.float32), known
-
+def odds(keys: np.ndarray, labels: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (text, word) pairs: the words, in how many texts each is, and its smoothed log-odds."""
+    known, ids = np.unique(keys, return_inverse=True)
+    toxic = np.bincount(ids, weights=labels, minlength=len(known))
+    other = np.bincount(ids, weights=1 - labels, minlength=len(known))
+    totals = np.maximum(totals, 1.0)
+    share = totals / totals.sum()
+    value = np.log((toxic + SMOOTH * share[1]) / totals[1]) - np.log((other + SMOOTH * share[0]) / totals[0])
+    return known, toxic + other, np.clip(value, -4, 4)
 
-class Reader:
-    """Texts to word inputs; words: known word hashes, grams: known character 4-grams."""
 
-    def __init__(self, words_: Counts | None = None, grams: Counts | None = None):
-        self.words, self.grams = words_, grams
+class Words:
+    """The distinct words of a slice: hash, characters between two marks, and where each occurs (which, rows)."""
 
-    @staticmethod
-    def split(buf, offsets):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
         folded = FOLD[buf]
-        starts, ends, rows = words(folded, offsets)
-        h = span_hashes(folded, starts, ends)
-        _, one, which = np.unique(h, return_index=True, return_inverse=True)
-        return folded, starts[one], ends[one], h[one], which, rows
-
-    def inputs(self, folded, starts, ends, hashes, without=None):
-        x = np.zeros((len(starts), INPUTS), np.float32)
-        if not len(starts):
-            return x
-        odds, known = self.words.odds(hashes, without)
-        x[:, 0], x[:, 1] = odds / 2, known
-        values, first, count = _grams(folded, starts, ends)
-        g, _ = self.grams.odds(values, without)
-        some = np.flatnonzero(count > 0)
-        if len(some):
-            at = first[some]
-            x[some, 2] = np.maximum.reduceat(g, at) / 2
-            x[some, 3] = np.minimum.reduceat(g, at) / 2
-            x[some, 4] = np.add.reduceat(g, at) / count[some]
-        x[:, 5] = np.log1p(ends - starts) / 3
-        x[:, 6] = folded[starts] >= 128
-        return x
+        starts, ends, self.rows = words(folded, offsets)
+        _, one, self.which = np.unique(span_hashes(folded, starts, ends), return_index=True, return_inverse=True)
+        starts, ends = starts[one], ends[one]
+        self.hash = span_hashes(folded, starts, ends)
+        size = ends - starts
+        self.first = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64) if len(size) else np.zeros(0, np.int64)
+        self.size = size
+        inner = np.repeat(starts - self.first, size) + np.arange(int(size.sum()))
+        at = np.arange(len(inner))
+        before, after = folded[np.maximum(inner - 1, 0)], folded[np.minimum(inner + 1, len(folded) - 1)] if len(folded) else folded
+        before[at[self.first] if len(size) else at] = FIRST
+        if len(size):
+            after[self.first + size - 1] = LAST
+        self.chars = np.stack([before, folded[inner], after]) if len(inner) else np.zeros((3, 0), np.uint8)
+
+    def take(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Characters, first character and size of some words."""
+        size = self.size[chosen]
+        first = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64)
+        return self.chars[:, np.repeat(self.first[chosen] - first, size) + np.arange(int(size.sum()))], first, size
 
 
 def windows(rows: np.ndarray, n_rows: int):
@@ -111,16 +85,40 @@ def _sigmoid(x):
 
 
 class Network:
-    def __init__(self, seed: int = 5):
+    def __init__(self, words: int = 0, seed: int = 5):
         rng = np.random.default_rng(seed)
         draw = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.p = {f"{k}{d}": v for d in "fb" for k, v in (("W", draw(INPUTS, 3 * HIDDEN)), ("U", draw(HIDDEN, 3 * HIDDEN)), ("b", np.zeros(3 * HIDDEN, np.float32)))}
+        self.p = {"E": (0.1 * rng.standard_normal((words + 1, WORD))).astype(np.float32), "C": (0.5 * rng.standard_normal((256, CHAR))).astype(np.float32)}
+        self.p |= {f"K{k}": draw(3 * CHAR, FILTERS)[:CHAR] for k in range(3)} | {"k": np.zeros(FILTERS, np.float32)}
+        self.p |= {f"{k}{d}": v for d in "fb" for k, v in (("W", draw(INPUTS, 3 * HIDDEN)), ("U", draw(HIDDEN, 3 * HIDDEN)), ("b", np.zeros(3 * HIDDEN, np.float32)))}
         self.p |= {"A": draw(2 * HIDDEN, ATTEND), "a": np.zeros(ATTEND, np.float32), "v": draw(ATTEND), "w": draw(2 * HIDDEN), "c": np.zeros(1, np.float32)}
 
+    def embed(self, ids: np.ndarray, chars: np.ndarray, first: np.ndarray, size: np.ndarray, keep: bool = False):
+        """Inputs of words: their embeddings (ids; 0 for all that have none) and the best response of each filter in their characters."""
+        p = self.p
+        z = sum((p["C"] @ p[f"K{k}"])[chars[k]] for k in range(3)) + p["k"]
+        best = np.maximum.reduceat(z, first, axis=0) if len(first) else np.zeros((0, FILTERS), np.float32)
+        x = np.concatenate([p["E"][ids], np.tanh(best)], axis=1).astype(p["E"].dtype)
+        return (x, (ids, chars, first, size, z, best, x)) if keep else x
+
+    def embed_gradients(self, gx: np.ndarray, tape) -> dict[str, np.ndarray]:
+        p, (ids, chars, first, size, z, best, x) = self.p, tape
+        g = {"E": np.zeros_like(p["E"]), "C": np.zeros_like(p["C"])}
+        np.add.at(g["E"], ids, gx[:, :WORD])
+        slope = gx[:, WORD:] * (1 - x[:, WORD:] ** 2)
+        won = z == np.repeat(best, size, axis=0)
+        dz = won * np.repeat(slope / np.add.reduceat(won, first, axis=0), size, axis=0)
+        g["k"] = dz.sum(0)
+        for k in range(3):
+            by_char = np.stack([np.bincount(chars[k], weights=dz[:, f], minlength=256) for f in range(FILTERS)], axis=1).astype(p["C"].dtype)
+            g[f"K{k}"] = p["C"].T @ by_char
+            g["C"] += by_char @ p[f"K{k}"].T
+        return g
+
     def _scan(self, d: str, gates: np.ndarray, place: np.ndarray, mask: np.ndarray, keep: bool):
         """Hidden states (LENGTH, windows, HIDDEN) of one direction; gates: input parts of each word, place: word of each step."""
-        h = np.zeros((place.shape[1], HIDDEN), np.float32)
-        out, tape = np.empty((LENGTH, *h.shape), np.float32), []
+        h = np.zeros((place.shape[1], HIDDEN), gates.dtype)
+        out, tape = np.empty((LENGTH, *h.shape), gates.dtype), []
         u, k = self.p["U" + d], HIDDEN
         for t in range(LENGTH) if d == "f" else range(LENGTH - 1, -1, -1):
             x, hu, m = gates[place[t]], h @ u, mask[t][:, None]
@@ -133,12 +131,9 @@ class Network:
             h = out[t] = new
         return out, tape
 
-    def forward(self, x: np.ndarray, first: np.ndarray, size: np.ndarray, keep: bool = False):
-        """Logits of windows over the words' inputs x."""
+    def forward(self, x: np.ndarray, place: np.ndarray, mask: np.ndarray, keep: bool = False):
+        """Logits of windows; x: inputs of distinct words, place (LENGTH, windows): the word at each step."""
         p = self.p
-        steps = np.arange(LENGTH)[:, None]
-        mask = (steps < size[None, :]).astype(np.float32)
-        place = np.minimum(first[None, :] + steps, len(x) - 1)
         scans = [self._scan(d, x @ p["W" + d] + p["b" + d], place, mask, keep) for d in "fb"]
         h = np.concatenate([s[0] for s in scans], axis=2)
         e = np.tanh(h @ p["A"] + p["a"])
@@ -147,12 +142,12 @@ class Network:
         alpha /= alpha.sum(0)
         pooled = (alpha[:, :, None] * h).sum(0)
         logit = pooled @ p["w"] + p["c"][0]
-        return (logit, (place, scans, h, e, alpha, pooled)) if keep else logit
+        return (logit, (x, place, scans, h, e, alpha, pooled)) if keep else logit
 
-    def gradients(self, x, first, size, slope, tape):
-        """Gradients of sum(slope * logit)."""
-        p, (place, scans, h, e, alpha, pooled) = self.p, tape
-        g = {"w": pooled.T @ slope, "c": np.array([slope.sum()], np.float32)}
+    def gradients(self, slope, tape):
+        """Gradients of sum(slope * logit), and those of the words' inputs."""
+        p, (x, place, scans, h, e, alpha, pooled) = self.p, tape
+        g = {"w": pooled.T @ slope, "c": np.array([slope.sum()], p["c"].dtype)}
         dp = slope[:, None] * p["w"]
         dh = alpha[:, :, None] * dp
         ds = alpha * ((h * dp).sum(2) - (pooled * dp).sum(1))
@@ -161,94 +156,98 @@ class Network:
         g["A"] = np.einsum("tbi,tbj->ij", h, de)
         g["a"] = de.sum((0, 1))
         dh = dh + de @ p["A"].T
-        k = HIDDEN
+        k, gx = HIDDEN, np.zeros_like(x)
         for d, (_, steps), part in zip("fb", scans, (dh[:, :, :k], dh[:, :, k:])):
             u, carry = p["U" + d], 0.0
-            gw, gu, gb = np.zeros_like(p["W" + d]), np.zeros_like(u), np.zeros_like(p["b" + d])
+            gates, gu = np.zeros((len(x), 3 * k), x.dtype), np.zeros_like(u)
             for t, before, z, r, n, hun, m in reversed(steps):
                 dn_ = part[t] + carry
                 dn = dn_ * m * (1 - z) * (1 - n * n)
                 dz = -dn_ * m * (n - before) * z * (1 - z)
                 dr = dn * hun * r * (1 - r)
-                gate = np.concatenate([dz, dr, dn], axis=1)
+                np.add.at(gates, place[t], np.concatenate([dz, dr, dn], axis=1))
                 hidden = np.concatenate([dz, dr, dn * r], axis=1)
-                gw += x[place[t]].T @ gate
-                gb += gate.sum(0)
                 gu += before.T @ hidden
                 carry = dn_ * (1 - m * (1 - z)) + hidden @ u.T
-            g |= {"W" + d: gw, "U" + d: gu, "b" + d: gb}
-        return g
+            g |= {"W" + d: x.T @ gates, "U" + d: gu, "b" + d: gates.sum(0)}
+            gx += gates @ p["W" + d].T
+        return g, gx
+
+    def logits(self, x, which, first, size, step: int = 4096) -> np.ndarray:
+        """Logits of windows over occurrences: first occurrence and number of words of each."""
+        parts = [self.forward(x, *steps_of(which, first[k : k + step], size[k : k + step])) for k in range(0, len(first), step)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.float32)
 
-    def logits(self, x, first, size, step: int = 4096) -> np.ndarray:
-        return np.concatenate([self.forward(x, first[k : k + step], size[k : k + step]) for k in range(0, len(first), step)]) if len(first) else np.zeros(0, np.float32)
+
+def steps_of(which: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(LENGTH, windows): the word at each step of each window, and 1 where there is one."""
+    steps = np.arange(LENGTH)[:, None]
+    return which[np.minimum(first[None, :] + steps, len(which) - 1)], (steps < size[None, :]).astype(np.float32)
 
 
 class Model:
-    """Counts, network and calibration of a sample (texts lower-cased; labels 0 or 1)."""
+    """Vocabulary, network and calibration of a sample (texts lower-cased; labels 0 or 1)."""
 
     def __init__(self, texts: list[str], labels: list[int], share: float | None = None, epochs: int = EPOCHS, seed: int = 5):
         """share: the share of toxic rows among all labelled ones; by default that of the sample."""
         y = np.array(labels, np.int64)
         self.prior = float(np.clip(y.mean() if share is None else share, 1e-4, 1 - 1e-4)) if len(y) else 0.5
-        self.reader, self.net, self.scale, self.shift = Reader(), Network(seed), 1.0, 0.0
-        self.trained = len(set(labels)) == 2
-        word, gram, parts = [], [], []
-        at = 0
-        for i, j, buf, offsets in slices(pa.array(texts, pa.large_string()), 1 << 20):
-            folded, starts, ends, hashes, which, rows = Reader.split(buf, offsets)
-            pair = np.unique(rows.astype(np.int64) * len(starts) + which) if len(starts) else np.zeros(0, np.int64)
-            row, one = (pair // len(starts), pair % len(starts)) if len(starts) else (pair, pair)
-            word.append((hashes[one], y[i + row]))
-            values, first, count = _grams(folded, starts, ends)
-            n = count[one]
-            pos = np.repeat(first[one] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum())) if len(one) else np.zeros(0, np.int64)
-            both = np.unique(np.repeat(row, n).astype(np.uint64) << np.uint64(32) | values[pos].astype(np.uint64))
-            gram.append(((both & np.uint64(0xFFFFFFFF)).astype(np.uint32), y[i + (both >> np.uint64(32)).astype(np.int64)]))
-            parts.append((i, j, folded, starts, ends, hashes, which, rows))
-        totals = np.array([(y == 0).sum(), (y == 1).sum()], float)
-        stack = lambda xs, k, kind: np.concatenate([x[k] for x in xs]).astype(kind) if xs else np.zeros(0, kind)
-        self.reader.words = Counts(stack(word, 0, np.uint64), stack(word, 1, float), totals)
-        self.reader.grams = Counts(stack(gram, 0, np.uint32), stack(gram, 1, float), totals)
+        self.scale, self.shift, self.keys = 1.0, 0.0, np.zeros(0, np.uint64)
+        raw = "".join(texts).encode()
+        offsets = np.r_[0, np.cumsum([len(t.encode()) for t in texts])].astype(np.int64)
+        w = Words(np.frombuffer(raw, np.uint8), offsets)
+        self.trained = len(set(labels)) == 2 and len(w.rows) > 0
         if not self.trained:
             return
-        x, row, first, size = [], [], [], []
-        for i, j, folded, starts, ends, hashes, which, rows in parts:
-            left = [self.reader.inputs(folded, starts, ends, hashes, k) for k in (0, 1)]
-            own = np.where((y[i + rows] == 1)[:, None], left[1][which], left[0][which])
-            r, f, s = windows(rows, j - i)
-            x.append(own)
-            row.append(r + i)
-            first.append(f + at)
-            size.append(s)
-            at += len(own)
-        x, row, first, size = (np.concatenate(k) for k in (x, row, first, size))
-        self._train(x, row, first, size, y, epochs, seed)
-
-    def _train(self, x, row, first, size, y, epochs, seed):
-        rng, moments = np.random.default_rng(seed), {k: [0.0, 0.0] for k in self.net.p}
-        total = np.r_[0, np.cumsum(np.maximum(x[:, 0], 0) + np.maximum(x[:, 2], 0))]
-        rank, step = total[first + size] - total[first], 0
+        pair = np.unique(w.rows * len(w.hash) + w.which)
+        row, word = pair // len(w.hash), pair % len(w.hash)
+        _, n, value = odds(word, y[row], np.array([(y == 0).sum(), (y == 1).sum()], float))
+        self.keys = np.sort(w.hash[n >= LEAST_TEXTS])
+        self.net = Network(len(self.keys), seed)
+        often = n >= LEAST_TEXTS
+        self.net.p["E"][1:, 0] = value[often][np.argsort(w.hash[often])] / 2
+        self._train(w, np.where(n >= LEAST_TEXTS, value, 0.0), y, epochs, seed)
+
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word's embedding; 0 if it has none of its own."""
+        if not len(self.keys):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, at + 1, 0)
+
+    def _train(self, w: Words, value: np.ndarray, y: np.ndarray, epochs: int, seed: int) -> None:
+        rng, moments, step = np.random.default_rng(seed), {k: [0.0, 0.0] for k in self.net.p}, 0
+        row, first, size = windows(w.rows, len(y))
+        ids = self.ids(w.hash)
+        total = np.r_[0, np.cumsum(np.maximum(value[w.which], 0))]
+        rank = total[first + size] - total[first]
         starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        for _ in range(epochs):
-            order = np.lexsort((-rank, row))
-            top = order[starts]
+        learns = (np.arange(len(starts)) % KEPT != 0) | (len(starts) < 20 * KEPT)
+        for epoch in range(epochs):
+            top = np.lexsort((-rank, row))[starts][learns]
             other = starts + (rng.random(len(starts)) * np.diff(np.r_[starts, len(row)])).astype(np.int64)
-            chosen = np.unique(np.r_[top, other[y[row[starts]] == 0]])
-            for _ in range(max(1, 8 * BATCH // max(len(chosen), 1))):
+            chosen = np.unique(np.r_[top, other[learns & (y[row[starts]] == 0)]])
+            for _ in range(max(PASSES, 8 * BATCH // max(len(chosen), 1))):
                 rng.shuffle(chosen)
                 for k in range(0, len(chosen), BATCH):
-                    w = chosen[k : k + BATCH]
-                    goal = y[row[w]].astype(np.float32)
-                    logit, tape = self.net.forward(x, first[w], size[w], keep=True)
-                    g = self.net.gradients(x, first[w], size[w], (_sigmoid(logit) - goal).astype(np.float32) / len(w), tape)
+                    b = chosen[k : k + BATCH]
+                    place, mask = steps_of(w.which, first[b], size[b])
+                    used, place = np.unique(place, return_inverse=True)
+                    own = np.where(rng.random(len(used)) < DROPPED, 0, ids[used])
+                    x, made = self.net.embed(own, *w.take(used), keep=True)
+                    logit, tape = self.net.forward(x, place.reshape(mask.shape), mask, keep=True)
+                    g, gx = self.net.gradients((_sigmoid(logit) - y[row[b]]).astype(np.float32) / len(b), tape)
+                    g |= self.net.embed_gradients(gx, made)
                     step += 1
-                    for name, value in self.net.p.items():
+                    for name, v in self.net.p.items():
                         m = moments[name]
                         m[0] = 0.9 * m[0] + 0.1 * g[name]
                         m[1] = 0.99 * m[1] + 0.01 * g[name] ** 2
-                        value -= RATE * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-6)
-            rank = self.net.logits(x, first, size)
-        self._calibrate(np.maximum.reduceat(rank, starts).astype(float), y[row[starts]])
+                        v -= RATE * ((m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-6))
+            if epoch % RANKED == RANKED - 1 or epoch == epochs - 1:
+                rank = self.net.logits(self.net.embed(ids, w.chars, w.first, w.size), w.which, first, size)
+        judges = ~learns if not learns.all() else learns
+        self._calibrate(np.maximum.reduceat(rank, starts).astype(float)[judges], y[row[starts]][judges])
 
     def _calibrate(self, s, y):
         """Logistic regression of the label on the largest logit, with a little ridge; labels weigh as in all labelled rows."""
@@ -270,32 +269,39 @@ class Model:
         if not self.trained:
             return out
         for i, j, buf, offsets in slices(column):
-            folded, starts, ends, hashes, which, rows = Reader.split(buf, offsets)
-            if not len(rows):
+            w = Words(buf, offsets)
+            if not len(w.rows):
                 continue
-            x = self.reader.inputs(folded, starts, ends, hashes)[which]
-            row, first, size = windows(rows, j - i)
+            row, first, size = windows(w.rows, j - i)
             head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            best = np.maximum.reduceat(self.net.logits(x, first, size), head)
+            x = self.net.embed(self.ids(w.hash), w.chars, w.first, w.size)
+            best = np.maximum.reduceat(self.net.logits(x, w.which, first, size), head)
             out[i + row[head]] = _sigmoid(np.clip(self.scale * best.astype(float) + self.shift, -30, 30))
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
-    """Fits on at most per_label rows of each label, those of smallest id hash, among ids with crc32 mod 5 not 0."""
-    known = labels.filter(F.col("toxic").isin(0, 1) & (F.pmod(crc_of_id(), F.lit(5)) != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")))
+def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[list, float]:
+    """At most per_label rows (t, toxic) of each label, those of smallest hash among ids with crc32 mod 5 not 0, and the share of toxic rows.
+
+    A doc_id with two labels has the greater one. Rows that repeat a doc_id and text count once; t is cut to MOST_CHARS.
+    """
+    known = labels.filter(F.col("toxic").isin(0, 1) & (F.pmod(crc_of_id(), F.lit(5)) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = bounded_sample(known.withColumn("h", F.xxhash64("doc_id")), "toxic", per_label)
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.pmod(crc_of_id(), F.lit(5)) != 0))
     # at most 2 * per_label ids: small enough to send to all
-    chosen = ranked.filter(F.col("rank") <= per_label).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= MOST_CHARS) & (F.pmod(crc_of_id(), F.lit(5)) != 0))
-    got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.lower("text").alias("t"), "toxic").distinct().collect()
-    got = sorted(got, key=lambda r: (r.doc_id, r.t))
+    texts = rows.join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").select("toxic", F.xxhash64("doc_id", "text").alias("h"), F.lower(F.left("text", F.lit(MOST_CHARS))).alias("t"))
+    got = bounded_sample(texts, "toxic", per_label).collect()
     count = dict(known.groupBy("toxic").count().collect())
-    return Model([r.t for r in got], [r.toxic for r in got], count.get(1, 0) / max(1, sum(count.values())))
+    return sorted(got, key=lambda r: (r.h, r.t)), count.get(1, 0) / max(1, sum(count.values()))
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
+    got, share = sample(docs, labels, per_label)
+    return Model([r.t for r in got], [r.toxic for r in got], share)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column toxic_score (double) appended; one row per row, null and empty texts included."""
+    """docs with a column toxic_score (double) appended; one row per row, null and empty texts and repeated or null ids included."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"_{k}" for k in range(len(docs.columns))]
     rows = docs.toDF(*names).withColumn("low", F.lower(F.coalesce(names[docs.columns.index("text")], F.lit(""))))
@@ -309,9 +315,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """held_out is false for a row without doc_id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    out = score(docs, model).select("doc_id", (F.pmod(crc_of_id(), F.lit(5)) == 0).alias("held_out"), F.col("toxic_score").alias("score"))
+    held_out = F.coalesce(F.pmod(crc_of_id(), F.lit(5)) == 0, F.lit(False))
+    out = score(docs, model).select("doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -87,22 +87,68 @@ def test_language_odd(spark, odd, none):
 
 
 def test_gradients():
+    """Of all parameters, through pooling, both directions, embeddings and the convolution over characters."""
     rng = np.random.default_rng(1)
-    net = tox.Network()
+    net = tox.Network(4)
     net.p = {k: v.astype(np.float64) + (0.1 if v.ndim == 1 else 0) for k, v in net.p.items()}
-    x = rng.standard_normal((50, tox.INPUTS))
-    first, size = np.array([0, 10, 30]), np.array([32, 20, 1])
+    text = " ".join("".join(rng.choice(list("abcdé"), rng.integers(1, 7))) for _ in range(60)).encode()
+    w = tox.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    ids = np.arange(len(w.hash)) % 5
+    place, mask = tox.steps_of(w.which, np.array([0, 10, 30]), np.array([32, 20, 1]))
     slope = np.array([1.0, -2.0, 0.5])
-    _, tape = net.forward(x, first, size, keep=True)
-    got = net.gradients(x, first, size, slope, tape)
-    for name, value in net.p.items():
-        for at in [tuple(rng.integers(0, s) for s in value.shape) for _ in range(4)]:
-            old, ends = value[at], []
-            for e in (1e-3, -1e-3):
-                value[at] = old + e
-                ends.append(float((slope * net.forward(x, first, size)).sum()))
-            value[at] = old
-            assert got[name][at] == pytest.approx((ends[0] - ends[1]) / 2e-3, rel=0.05, abs=2e-3), name
+    value = lambda: float((slope * net.forward(net.embed(ids, w.chars, w.first, w.size), place, mask)).sum())
+    x, made = net.embed(ids, w.chars, w.first, w.size, keep=True)
+    _, tape = net.forward(x, place, mask, keep=True)
+    got, gx = net.gradients(slope, tape)
+    got |= net.embed_gradients(gx, made)
+    assert set(got) == set(net.p)
+    for name, v in net.p.items():
+        for at in [tuple(rng.integers(0, s) if name != "C" else (97 + rng.integers(0, 4) if k == 0 else rng.integers(0, s)) for k, s in enumerate(v.shape)) for _ in range(4)]:
+            old, ends = v[at], []
+            for e in (1e-4, -1e-4):
+                v[at] = old + e
+                ends.append(value())
+            v[at] = old
+            assert got[name][at] == pytest.approx((ends[0] - ends[1]) / 2e-4, rel=0.05, abs=2e-3), name
+
+
+def plain_score(model, text):
+    """The network word by word and window by window."""
+    p, sig = {k: v.astype(float) for k, v in model.net.p.items()}, lambda v: 1 / (1 + np.exp(-v))
+    parts = tox.FOLD[np.frombuffer(text.lower().encode(), np.uint8)].tobytes().split()
+    if not parts:
+        return min(model.prior, 0.49)
+    inputs = []
+    for word in parts:
+        h = tox.span_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0]
+        own = int(np.flatnonzero(model.keys == h)[0]) + 1 if h in model.keys else 0
+        marked = bytes([tox.FIRST]) + word + bytes([tox.LAST])
+        z = [sum(p["C"][marked[i + k]] @ p[f"K{k}"] for k in range(3)) + p["k"] for i in range(len(word))]
+        inputs.append(np.r_[p["E"][own], np.tanh(np.max(z, axis=0))])
+    best, at, k = -np.inf, 0, tox.HIDDEN
+    while True:
+        win, states = inputs[at : at + tox.LENGTH], []
+        for d, order in (("f", range(len(win))), ("b", range(len(win) - 1, -1, -1))):
+            h, own = np.zeros(k), [None] * len(win)
+            for t in order:
+                g, u = win[t] @ p["W" + d] + p["b" + d], h @ p["U" + d]
+                z, r = sig(g[:k] + u[:k]), sig(g[k : 2 * k] + u[k : 2 * k])
+                h = own[t] = h + (1 - z) * (np.tanh(g[2 * k :] + r * u[2 * k :]) - h)
+            states.append(own)
+        hs = [np.r_[a, b] for a, b in zip(*states)]
+        s = np.array([np.tanh(h @ p["A"] + p["a"]) @ p["v"] for h in hs])
+        alpha = np.exp(s - s.max())
+        best = max(best, sum(a * h for a, h in zip(alpha / alpha.sum(), hs)) @ p["w"] + p["c"][0])
+        if at + tox.LENGTH >= len(inputs):
+            return sig(np.clip(model.scale * best + model.shift, -30, 30))
+        at += tox.STRIDE
+
+
+def test_scores_against_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = tox.fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    for r in tox.score(docs.select("doc_id", "text").filter("length(text) < 3000"), model).limit(25).collect():
+        assert r.toxic_score == pytest.approx(plain_score(model, r.text or ""), abs=2e-3)
 
 
 def test_windows_cover_every_word():
@@ -128,3 +174,10 @@ def test_toxicity_odd(spark, odd, none):
     assert out.count() == odd.count() and out.filter("toxic_score is null or toxic_score < 0 or toxic_score > 1").count() == 0
     assert tox.score(none, model).count() == 0
     assert tox.score(odd, tox.fit(none, labels)).filter("toxic_score >= 0.5").count() == 0
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k % 50, f"text {k % 7} " + "x" * 20000) for k in range(500)] + [(None, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 50, k % 2) for k in range(100)], "doc_id long, toxic int")
+    got, share = tox.sample(docs, labels, per_label=5)
+    assert len(got) == 10 and {len(r.t) for r in got} == {tox.MOST_CHARS} and share == 0.5
