@@ -23,9 +23,9 @@ LENGTH, STRIDE, HIDDEN, ATTEND = 32, 16, 8, 8
 LEAST_TEXTS, WORD, CHAR, FILTERS = 3, 8, 6, 8
 INPUTS = WORD + FILTERS
 #: Epochs; after each `RANKED` of them windows are ranked anew. Share of words that train without their own embedding.
-EPOCHS, RANKED, PASSES, BATCH, RATE, DROPPED = 12, 3, 2, 256, 0.01, 0.45
+EPOCHS, RANKED, PASSES, BATCH, RATE, DROPPED = 12, 3, 2, 256, 0.02, 0.3
 #: Each so many texts of the sample one is kept for the calibration and not learned from (of small samples none).
-KEPT = 5
+KEPT = 3
 SMOOTH = 4.0
 #: Bytes: ASCII letters lower, digits and other letters as they are, the rest a space.
 FOLD = np.array([c if c >= 128 or chr(c).isdigit() else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256)], np.uint8)
