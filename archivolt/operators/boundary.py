@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from archivolt.functions import text as x
 from archivolt.operators.retrieval import gestalt
+from archivolt.operators.sequences import smoothed
 
 # Thresholds of a score, families whose pages continue, and the longest segment.
 MERGE, AMBIGUOUS, SPLIT, BASELINE = 0.72, 0.46, 0.34, 0.58
+BIAS = 0.18
 CONTINUING = ("budget", "contract", "drawing", "minutes")
 LONGEST = 10
 # Patterns and words by which a page continues one before, begins an attachment or ends a document.
@@ -92,6 +94,31 @@ def scored(pages: DataFrame, exact_title: bool = False) -> DataFrame:
     return out.withColumn("strong_split", (F.col("score") <= SPLIT) | F.col("ends")).drop("ends").withColumn("merge", F.col("score") >= MERGE).withColumn("ambiguous", F.col("score").between(AMBIGUOUS, MERGE) & ~F.col("merge"))
 
 
+def with_bias(pages: DataFrame, priors: DataFrame) -> DataFrame:
+    """G-04 (A.2): adds bias to the pages of a sequence: what feedback says of the change from the page before to this one.
+
+    priors: kind, left_family, right_family, page_gap, bias, as rollups.with_bias gives them; few rows, one a family and gap.
+    """
+    w = Window.partitionBy("batch_id", "prefix").orderBy("page_no", "id")
+    gap = F.greatest(F.lit(1), F.col("page_no") - F.lag("page_no").over(w)).cast("long")
+    rows = pages.withColumn("__gap", gap).withColumn("__left", F.lag(F.coalesce("family", F.lit(""))).over(w))
+    right = F.coalesce("family", F.lit(""))
+    kind = F.when((F.col("__left") != "") & (F.col("__left") == right), "family").when((F.col("__left") != "") & (right != ""), "transition")
+    own = priors.filter("kind <> 'gap'").select(F.col("kind").alias("__kind"), F.col("left_family").alias("__left"), F.col("right_family").alias("__right"), F.col("page_gap").cast("long").alias("__gap"), F.col("bias").alias("__own"))
+    any_ = priors.filter("kind = 'gap'").select(F.col("page_gap").cast("long").alias("__gap"), F.col("bias").alias("__any"))
+    rows = rows.withColumn("__kind", kind).withColumn("__right", right).join(own, ["__kind", "__left", "__right", "__gap"], "left").join(any_, "__gap", "left")
+    total = F.coalesce("__own", F.lit(0.0)) + F.coalesce("__any", F.lit(0.0))
+    out = rows.withColumn("bias", F.when(F.col("__gap").isNotNull(), F.round(F.greatest(F.lit(-BIAS), F.least(F.lit(BIAS), total)), 4)))
+    return out.drop("__gap", "__left", "__right", "__kind", "__own", "__any")
+
+
+def decided(decisions: DataFrame) -> DataFrame:
+    """G-05: the scores after smoothing (W-02), with merge and ambiguous made anew from them."""
+    rows = smoothed(decisions, ["batch_id", "prefix"], "left_page")
+    rows = rows.withColumn("score", F.col("smoothed")).drop("smoothed")
+    return rows.withColumn("merge", F.col("score") >= MERGE).withColumn("ambiguous", F.col("score").between(AMBIGUOUS, MERGE) & ~F.col("merge"))
+
+
 def gains(pages: list[dict]) -> list[list[float]]:
     """A.4: gain[end][k] of the segment of k + 1 pages that ends at `end`. A page's score is that with the page before."""
     out = []

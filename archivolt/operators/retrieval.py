@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from archivolt.functions.text import chunks, tokens, word_characters
 
 
+#: Fixed value: of how many of the newest records a lexical search reads.
+NEWEST = 25000
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -40,8 +44,12 @@ def gestalt(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
-def lexical(rows: DataFrame, key: str, text: str, query: str, k: int, fuzzy: bool = True) -> DataFrame:
-    """T-05 (A.7): records by 0.7 of the token overlap and 0.3 of the matching-blocks ratio; none without score."""
+def lexical(rows: DataFrame, key: str, text: str, query: str, k: int, fuzzy: bool = True, newest: int = NEWEST) -> DataFrame:
+    """T-05 (A.7): of the newest records (greatest keys) by 0.7 of the token overlap and 0.3 of the matching-blocks ratio; none without score.
+
+    The cut to the newest records is the operator's own, so that a query reads no more however large the table is.
+    """
+    rows = rows.orderBy(F.desc(key)).limit(max(newest, 100))
     score = overlap(F.col(text), query) * 0.7
     if fuzzy:
         score = score + gestalt(F.lit(query.lower()), F.lower(text)) * 0.3
@@ -81,11 +89,13 @@ def scored_chunks(tasks: DataFrame, key: str, text: str, meta: str, question: st
 
 
 def evidence(scored: DataFrame, key: str, k: int = 8, per_task: int = 2) -> DataFrame:
-    """G-18, T-06, W-05: the k best chunks, at most two of a task before others fill up.
+    """G-18, T-06, W-05: the k best chunks, at most two of a task before others fill up; chunks without score only if none has any.
 
     A task can give k chunks at most, so each keeps its best k before the single ordered cut to k rows.
     """
     order = [F.desc("score"), F.desc("phrase_hit"), F.desc("keyword_hits"), F.desc("metadata_hits"), F.col(key), F.col("chunk_index")]
-    ranked = scored.filter("score > 0").withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("__r") <= k)
+    some = scored.agg(F.coalesce(F.bool_or(F.col("score") > 0), F.lit(False)).alias("__some"))  # one row
+    kept = scored.crossJoin(F.broadcast(some)).filter(~F.col("__some") | (F.col("score") > 0))
+    ranked = kept.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("__r") <= k)
     best = ranked.withColumn("tier", F.when(F.col("__r") <= per_task, 0).otherwise(1)).orderBy("tier", *order).limit(k)
     return best.select(key, "chunk_index", "score", "keyword_hits", "phrase_hit", "metadata_hits", "tier")

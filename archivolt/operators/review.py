@@ -9,19 +9,19 @@ from archivolt.functions.text import coerced, compact
 
 # Thresholds, words of issues, and the states and reasons of a review.
 REVIEW_LOW, REVIEW_HIGH, SECOND_READER, PREPROCESS = 0.60, 0.85, 0.45, 0.35
-LEGIBILITY = "模糊 不清 看不清 难辨 难以辨认 无法辨认 字迹 签名 签字 盖章 印章 手写 遮挡 污损 重影 过曝 欠曝 残缺 缺角 截断 裁切"
-OPTIONAL_FIELDS = "档号 文号 责任者 题名 日期 页数 密级 备注 负责人"
-ABSENCE = "缺失 为空 空白 留空 均缺失 未提取 未抽取 未识别 未发现 缺少 没有 无"
-HARMLESS = "需规范化 已规范化 无需人工复核 无需人工审核 不视为问题"
-BLOCKING = "冲突 不一致 矛盾 失败 错误 异常 中断 无法判断 无法确认 无法核定 需要人工 需人工 待人工 人工复核 人工审核"
+LEGIBILITY = ("模糊", "不清", "看不清", "难辨", "难以辨认", "无法辨认", "字迹", "签名", "签字", "盖章", "印章", "手写", "遮挡", "污损", "重影", "过曝", "欠曝", "残缺", "缺角", "截断", "裁切")
+OPTIONAL_FIELDS = ("档号", "文号", "责任者", "题名", "日期", "页数", "密级", "备注", "负责人")
+ABSENCE = ("缺失", "为空", "空白", "留空", "均缺失", "未提取", "未抽取", "未识别", "未发现", "缺少", "没有", "无")
+HARMLESS = ("需规范化", "已规范化", "无需人工复核", "无需人工审核", "不视为问题")
+BLOCKING = ("冲突", "不一致", "矛盾", "失败", "错误", "异常", "中断", "无法判断", "无法确认", "无法核定", "需要人工", "需人工", "待人工", "人工复核", "人工审核")
 NO_RESULT = r"^(Vision LLM|PaddleOCR-VL-1\.5|PP-OCR-VL) 未返回可用结果"
-NOT_AVAILABLE = r"(?i)^(?=.*(vision llm|pp-ocr-vl|paddleocr-vl))(?=.*(unavailable|not configured))"
+NOT_AVAILABLE = r"(?is)^(?=.*(vision llm|pp-ocr-vl|paddleocr-vl))(?=.*(unavailable|not configured))"
 NO_TEXT = r"^(传统 OCR|PaddleOCR-VL-1\.5) 未提取到有效文本。$"
 CONFLICT_REASON, LOW_REASON, BAND_REASON = "跨页关键字段冲突：", "总体置信度 %.2f 低于 0.60", "总体置信度 %.2f 落在人工审核区间"
 
 
-def _has(c: Column, words: str) -> Column:
-    return c.rlike(words.replace(" ", "|"))
+def _has(c: Column, words: tuple[str, ...]) -> Column:
+    return c.rlike("|".join(words))
 
 
 def illegible(c: Column) -> Column:

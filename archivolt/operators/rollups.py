@@ -41,9 +41,14 @@ def latest(rows: DataFrame, by: str, time: str, key: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("count"), F.max(time).alias("last_time"), first.alias("latest_task_id"))
 
 
-def submissions(rows: DataFrame, submission: str, name: str, key: str) -> DataFrame:
-    """A-04: rows by submission, with the first name in key order that isn't blank."""
-    return rows.groupBy(submission).agg(F.count("*").alias("count"), F.min_by(name, F.when(~blank(F.col(name)), F.col(key))).alias("name"), F.max(key).alias("latest_task_id"))
+def submissions(rows: DataFrame, submission: str, name: str, key: str, time: str | None = None, others: tuple[str, ...] = ()) -> DataFrame:
+    """A-04: rows by submission, with the first value in key order that isn't blank of the name and of other columns, and the newest time.
+
+    The latest row is that of the newest time; without a time column, of the greatest key.
+    """
+    first = lambda c: F.min_by(c, F.when(~blank(F.col(c)), F.col(key))).alias(c if c != name else "name")
+    newest = [F.max_by(key, F.struct(time, key)).alias("latest_task_id"), F.max(time).alias("last_time")] if time else [F.max(key).alias("latest_task_id")]
+    return rows.groupBy(submission).agg(F.count("*").alias("count"), *map(first, (name, *others)), *newest)
 
 
 def rate(part: Column, total: Column, empty: float = 0.0) -> Column:
@@ -149,8 +154,8 @@ def conflicts(values: DataFrame, group: str) -> DataFrame:
 
 
 def page_quality(pages: DataFrame, group: str) -> DataFrame:
-    """A-18, A-28: confidence and retries of a group's pages."""
-    c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence"))
+    """A-18, A-28: confidence and retries of a group's pages; a null confidence is 0."""
+    c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0))))
     return pages.groupBy(group).agg(F.count("*").alias("page_count"), F.round(F.avg(c), 4).alias("average"), F.min(c).alias("lowest"), F.max(c).alias("highest"), F.count_if(F.col("retries") > 0).alias("with_retry"), F.max("retries").alias("max_retry"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +29,13 @@ def adjacent_similarity(rows: DataFrame, group: str, order: str, text: str, link
     return pairs.select(group, "left_id", "right_id", share.alias("s")).select(group, "left_id", "right_id", F.round("s", 4).alias("similarity"), (F.col("s") > linked).alias("linked"))
 
 
-def smoothed(rows: DataFrame, group: str, order: str, score: str = "score") -> DataFrame:
+def smoothed(rows: DataFrame, group: str | list[str], order: str, score: str = "score") -> DataFrame:
     """W-02 (A.3): lifts a weak score between two strong ones of one family.
 
     rows: one per neighbouring pair, with left_family, right_family and strong_split. The scores of the neighbours
     are those before smoothing.
     """
-    w = Window.partitionBy(group).orderBy(order)
+    w = Window.partitionBy(*([group] if isinstance(group, str) else group)).orderBy(order)
     before, after, first = F.lag(score).over(w), F.lead(score).over(w), F.lag("left_family").over(w)
     weak = (F.col(score) < 0.58) & (before >= 0.78) & (after >= 0.78) & ~F.col("strong_split")
     one = (F.col("left_family") != "") & (first == F.col("left_family")) & (F.col("left_family") == F.col("right_family"))
@@ -53,10 +56,12 @@ def islands(rows: DataFrame, group: str, order: str, limit: Column) -> DataFrame
 
 
 def numbered_groups(rows: DataFrame, batch: str, *by: str) -> DataFrame:
-    """W-04: running numbers of a batch's groups, in the order of prefix and first page."""
+    """W-04: running numbers of a batch's groups, in the order of prefix and first page; null keys come first and keep their rows."""
     keys = rows.select(batch, *by).distinct()
     numbers = keys.withColumn("number", F.row_number().over(Window.partitionBy(batch).orderBy(*by)).cast("long"))
-    return rows.join(numbers, [batch, *by])
+    numbers = numbers.select("number", *(F.col(c).alias(f"__{c}") for c in (batch, *by)))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (batch, *by)))
+    return rows.join(numbers, same).select(*rows.columns, "number")
 
 
 def first_rows(rows: DataFrame, by: list[str], order: str, last: bool = False) -> DataFrame:
@@ -117,6 +122,14 @@ def invalid_truth(submitted: DataFrame, tasks: DataFrame, key: str) -> DataFrame
     return submitted.join(tasks.select(key), key, "left_anti")
 
 
+def valid_truth(submitted: DataFrame, tasks: DataFrame, key: str, order: str) -> DataFrame:
+    """J-20: the submitted rows, of those that repeat a task the first one by `order`; a task that the batch doesn't have is an error."""
+    first = first_rows(submitted, [key], order)
+    known = tasks.select(key, F.lit(True).alias("__known")).distinct()
+    wrong = F.raise_error(F.concat(F.lit("not a task of the batch: "), F.col(key).cast("string")))
+    return first.join(known, key, "left").filter(F.coalesce("__known", wrong.cast("boolean"))).drop("__known")
+
+
 def as_of(left: DataFrame, right: DataFrame, by: str, time: str, value: str) -> DataFrame:
     """Extension: each left row with the newest right value not after it, by one union and a window instead of a range join."""
     rows = left.select(by, time, "id", F.lit(None).cast(right.schema[value].dataType).alias(value), F.lit(1).alias("__side")).unionByName(right.select(by, time, F.lit(None).cast("long").alias("id"), value, F.lit(0).alias("__side")))

@@ -41,9 +41,15 @@ def attach_lists(folders: DataFrame, pairs: DataFrame, key: str, value: str) ->
 
 
 def pair_scores(predicted: DataFrame, truth: DataFrame) -> DataFrame:
-    """J-09: pairwise precision, recall and F1 of groupings (id, group). Pair counts come from group sizes, not from pairs."""
+    """J-09, A-12: pairwise precision, recall and F1 of groupings (id, group), on ids of both; without pairs as the definitions of empty sets say.
+
+    Pair counts come from group sizes, not from pairs.
+    """
     both = predicted.select("id", F.col("group").alias("p")).join(truth.select("id", F.col("group").alias("t")), "id")
     pairs = lambda df, *by: df.groupBy(*by).count().select(F.coalesce(F.sum(F.expr("count * (count - 1) div 2")), F.lit(0)).alias("n"))
     counts = pairs(both, "p", "t").select(F.col("n").alias("tp")).crossJoin(pairs(both, "p").select(F.col("n").alias("pp"))).crossJoin(pairs(both, "t").select(F.col("n").alias("tt")))  # three single rows
-    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return counts.select("tp", F.col("pp").alias("predicted_pairs"), F.col("tt").alias("truth_pairs"), F.round(ratio("tp", "pp"), 6).alias("precision"), F.round(ratio("tp", "tt"), 6).alias("recall"))
+    precision = F.when(F.col("pp") > 0, F.round(F.col("tp") / F.col("pp"), 6)).when(F.col("tt") > 0, 0.0).otherwise(1.0)
+    recall = F.when(F.col("tt") > 0, F.round(F.col("tp") / F.col("tt"), 6)).otherwise(1.0)
+    scores = counts.select("tp", F.col("pp").alias("predicted_pairs"), F.col("tt").alias("truth_pairs"), precision.alias("precision"), recall.alias("recall"))
+    both = F.col("precision") + F.col("recall")
+    return scores.withColumn("f1", F.when(both > 0, F.round(2 * F.col("precision") * F.col("recall") / both, 6)).otherwise(0.0))

@@ -24,7 +24,7 @@ def scores(s, d):
 
 def document_groups(s, d):
     p = _prepared(s, d)
-    decisions = boundary.scored(p)
+    decisions = boundary.decided(boundary.scored(p))
     return boundary.groups(boundary.segmented(p, decisions), decisions)
 
 

@@ -139,7 +139,7 @@ ALL: dict[str, tuple[Callable, str]] = {
     "J-04_folder_batches": (j04, f"SELECT batch_id, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM {TASKS} GROUP BY batch_id"),
     "J-05_progress": (j05, "SELECT o_orderkey AS id, o_custkey AS position, CASE WHEN doc_id IS NULL THEN 'failed' ELSE 'done' END AS status, CASE WHEN doc_id IS NULL THEN 'Task not found.' ELSE '' END AS error FROM orders LEFT JOIN documents ON doc_id = o_orderkey"),
     "J-07_adjacent": (j07, f"SELECT * FROM (SELECT batch_id, id AS left_id, lead(id) OVER w AS right_id, n_chars AS left_value, lead(n_chars) OVER w AS right_value FROM {TASKS} WINDOW w AS (PARTITION BY batch_id ORDER BY id)) WHERE right_id IS NOT NULL"),
-    "J-09_pair_scores": (j09, f"WITH r AS (SELECT id, batch_id AS p, lang AS t FROM {TASKS}), n AS (SELECT CAST((SELECT sum(c * (c - 1) // 2) FROM (SELECT count(*) AS c FROM r GROUP BY p, t)) AS BIGINT) AS tp, CAST((SELECT sum(c * (c - 1) // 2) FROM (SELECT count(*) AS c FROM r GROUP BY p)) AS BIGINT) AS pp, CAST((SELECT sum(c * (c - 1) // 2) FROM (SELECT count(*) AS c FROM r GROUP BY t)) AS BIGINT) AS tt) SELECT tp, pp AS predicted_pairs, tt AS truth_pairs, round(tp / pp, 6) AS precision, round(tp / tt, 6) AS recall FROM n"),
+    "J-09_pair_scores": (j09, f"WITH r AS (SELECT id, batch_id AS p, lang AS t FROM {TASKS}), n AS (SELECT CAST((SELECT sum(c * (c - 1) // 2) FROM (SELECT count(*) AS c FROM r GROUP BY p, t)) AS BIGINT) AS tp, CAST((SELECT sum(c * (c - 1) // 2) FROM (SELECT count(*) AS c FROM r GROUP BY p)) AS BIGINT) AS pp, CAST((SELECT sum(c * (c - 1) // 2) FROM (SELECT count(*) AS c FROM r GROUP BY t)) AS BIGINT) AS tt) SELECT tp, pp AS predicted_pairs, tt AS truth_pairs, round(tp / pp, 6) AS precision, round(tp / tt, 6) AS recall, round(2 * round(tp / pp, 6) * round(tp / tt, 6) / (round(tp / pp, 6) + round(tp / tt, 6)), 6) AS f1 FROM n"),
     "J-18_batches_of_tasks": (j18, f"SELECT DISTINCT batch_id FROM {TASKS} WHERE id IN (SELECT doc_id FROM labels) AND trim(batch_id) <> ''"),
     "K-06_upsert": (k06, "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || '''' ELSE c_name END AS c_name, c_mktsegment FROM customer"),
     "D-01_delete_cascade": (d01, "SELECT doc_id AS id, quality, toxic FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr')"),

@@ -82,8 +82,8 @@ def _first(c: str, patterns, group: int = 0) -> str:
     return "coalesce(" + ", ".join(f"nullif(regexp_extract({c}, '{p}', {group}), '')" for p in patterns) + ", '')"
 
 
-def _any(c: str, words: str) -> str:
-    return f"regexp_matches({c}, '{words.replace(' ', '|')}')"
+def _any(c: str, words: tuple[str, ...]) -> str:
+    return f"regexp_matches({c}, '{'|'.join(words)}')"
 
 
 NUMBER_SQL = _first("stem", x.ARCHIVE_NUMBERS)

@@ -13,6 +13,7 @@ RULE = {"archive_no": "concat(batch_id, '-', id)", "doc_no": "CASE WHEN id % 3 =
 LLM = {"archive_no": "CASE WHEN id % 4 = 0 THEN '' ELSE concat(batch_id, '-', id) END", "doc_no": "concat('D ', id % 7)", "responsible": "CASE WHEN id % 5 = 0 THEN 'fr' ELSE lang END", "title": "concat('t', id % 13)", "date": "'2024-01-02'", "pages": "concat('', id % 3)", "classification": "''", "remarks": "''"}
 DOC = "concat(batch_id, ':', CAST(floor((page_no - 1) / 3) AS INT))"
 _LONG = "(" + " UNION ALL ".join(f"SELECT id, {DOC} AS doc, page_no, '{f}' AS field, {RULE[f]} AS rule, {LLM[f]} AS llm FROM {PAGES}" for f in FIELDS) + ")"
+DISTANCE = "CASE WHEN id * 7 % 23 < 4 THEN id * 7 % 23 ELSE id * 7 % 23 // 9 * 9 + 9 END"
 _C = lambda c: f"replace({c}, ' ', '')"
 _MERGED = f"(SELECT *, CASE WHEN field = 'pages' THEN CASE WHEN page_no % 4 <> 0 THEN CAST(page_no % 4 AS VARCHAR) ELSE rule END WHEN {_C('rule')} = {_C('llm')} THEN rule WHEN rule = '' THEN llm WHEN llm = '' THEN rule ELSE '' END AS recommended FROM {_LONG})"
 _CONFLICT = f"(SELECT *, CASE WHEN field = 'pages' THEN llm <> recommended ELSE {_C('rule')} <> {_C('llm')} AND rule <> '' AND llm <> '' END AS conflict FROM {_MERGED})"
@@ -59,7 +60,7 @@ def qa_metrics(s, d):
 
 
 def qa_trend(s, d):
-    e = read(s, d, "events").filter("user_id % 40 = 3").select(F.to_date("ts").alias("day"), (F.col("event_type") == "view").alias("good"))
+    e = read(s, d, "events").select(F.to_date("ts").alias("day"), (F.col("event_type") == "view").alias("good"))
     return r.calendar_rates(e, "day", "good", "2024-01-12")
 
 
@@ -112,7 +113,7 @@ def usage(s, d):
 
 
 def thresholds(s, d):
-    return r.thresholds(pages(s, d).selectExpr("batch_id", "id * 7 % 23 AS dist").filter("dist < 4 or dist % 9 = 0"), "batch_id", "dist")
+    return r.thresholds(pages(s, d).selectExpr("batch_id", f"{DISTANCE.replace('//', 'div')} AS dist"), "batch_id", "dist")
 
 
 def day_submissions(s, d):
@@ -139,7 +140,7 @@ QUERIES = {
     "A-02_A-03_F-04_folders": (folders, f"WITH t AS (SELECT id, '/in/' || batch_id AS folder, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * (id % 90) AS t0 FROM {TASKS} WHERE id % 5 IN (0, 3)) SELECT folder, count(*) AS count, max(t0) AS last_time, min(id) FILTER (t0 = m) AS latest_task_id FROM (SELECT *, max(t0) OVER (PARTITION BY folder) AS m FROM t) GROUP BY folder"),
     "A-04_submissions": (submitted, f"SELECT CASE WHEN id % 4 = 0 THEN 'single:' || id ELSE 'batch:' || batch_id END AS sub, count(*) AS count, arg_min('n' || id, id) FILTER (id % 3 <> 0) AS name, max(id) AS latest_task_id FROM {TASKS} GROUP BY sub"),
     "A-06_qa_metrics": (qa_metrics, "SELECT count(*) AS total, round(count(*) FILTER (turn % 3 = 0) / count(*), 6) AS insufficient_rate, count(*) FILTER (conv_id % 2 = 0) AS feedback, round(count(*) FILTER (conv_id % 2 = 0 AND turn % 4 = 1) / count(*) FILTER (conv_id % 2 = 0), 6) AS helpful_rate FROM conversations WHERE role = 'assistant'"),
-    "A-07_qa_trend": (qa_trend, "WITH c AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-06', TIMESTAMP '2024-01-12', INTERVAL 1 DAY)) AS DATE) AS d), e AS (SELECT CAST(ts AS DATE) AS d, event_type FROM events WHERE user_id % 40 = 3), n AS (SELECT c.d, count(event_type) AS f, count(*) FILTER (event_type = 'view') AS h FROM c LEFT JOIN e ON e.d = c.d GROUP BY c.d) SELECT strftime(d, '%Y-%m-%d') AS date, f AS feedback_count, h AS helpful_count, CASE WHEN f > 0 THEN round(h / f, 6) ELSE 0.0::DOUBLE END AS helpful_rate FROM n"),
+    "A-07_qa_trend": (qa_trend, "WITH c AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-06', TIMESTAMP '2024-01-12', INTERVAL 1 DAY)) AS DATE) AS d), e AS (SELECT CAST(ts AS DATE) AS d, event_type FROM events), n AS (SELECT c.d, count(event_type) AS f, count(*) FILTER (event_type = 'view') AS h FROM c LEFT JOIN e ON e.d = c.d GROUP BY c.d) SELECT strftime(d, '%Y-%m-%d') AS date, f AS feedback_count, h AS helpful_count, CASE WHEN f > 0 THEN round(h / f, 6) ELSE 0.0::DOUBLE END AS helpful_rate FROM n"),
     "A-08_A-09_F-17_priors": (priors, f"WITH s AS (SELECT greatest(1, o_orderkey % 4) AS page_gap, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'budget' ELSE 'contract' END AS l, CASE o_custkey % 2 WHEN 0 THEN 'budget' ELSE 'contract' END AS r, o_orderstatus AS o FROM orders WHERE o_orderstatus IN ('F', 'O')), k AS (SELECT 'gap' AS kind, '' AS left_family, '' AS right_family, page_gap, o FROM s UNION ALL SELECT CASE WHEN l = r THEN 'family' ELSE 'transition' END, l, r, page_gap, o FROM s WHERE l <> ''), n AS (SELECT kind, left_family, right_family, page_gap, count(*) FILTER (o = 'F') AS same, count(*) FILTER (o = 'O') AS different FROM k GROUP BY ALL) SELECT *, CASE kind WHEN 'family' THEN {_BIAS(2, 0.16)} WHEN 'transition' THEN {_BIAS(2, 0.14)} ELSE {_BIAS(4, 0.06)} END AS bias FROM n"),
     "G-10_J-12_merged_fields": (recommended, f"SELECT id, field, recommended, conflict FROM {_CONFLICT}"),
     "A-32_agreement": (agreed, f"SELECT id, count(*) FILTER (e) AS matched, round(count(*) FILTER (e) / count(*), 4) AS ratio, coalesce(string_agg(field, ',' ORDER BY field) FILTER (NOT e), '') AS mismatched FROM (SELECT *, {_C('rule')} = {_C('llm')} AS e FROM {_LONG}) GROUP BY id"),
@@ -150,7 +151,7 @@ QUERIES = {
     "A-17_page_conflicts": (disagree, "SELECT doc, field, count(DISTINCT k) AS n_values, CASE WHEN count(DISTINCT k) > 1 THEN 'conflict' ELSE 'aligned' END AS state FROM " + _V + " WHERE field IN ('archive_no', 'doc_no', 'responsible', 'date', 'classification') GROUP BY doc, field"),
     "A-18_A-28_page_quality": (quality, f"SELECT {DOC} AS doc, count(*) AS page_count, round(avg(least(1.0::DOUBLE, id % 12 / 10.0::DOUBLE)), 4) AS average, min(least(1.0::DOUBLE, id % 12 / 10.0::DOUBLE)) AS lowest, max(least(1.0::DOUBLE, id % 12 / 10.0::DOUBLE)) AS highest, count(*) FILTER (id % 3 > 0) AS with_retry, max(id % 3) AS max_retry FROM {PAGES} GROUP BY doc"),
     "A-20_usage": (usage, f"SELECT batch_id, 'prompt' AS name, CAST(sum(n_chars) AS BIGINT) AS value FROM {TASKS} GROUP BY batch_id UNION ALL SELECT batch_id, 'answer', CAST(sum(id) AS BIGINT) FROM {TASKS} GROUP BY batch_id"),
-    "A-24_threshold": (thresholds, f"WITH v AS (SELECT batch_id, id * 7 % 23 AS dist FROM {PAGES} WHERE id * 7 % 23 < 4 OR id * 7 % 23 % 9 = 0), g AS (SELECT *, lead(dist) OVER (PARTITION BY batch_id ORDER BY dist) - dist AS gap FROM v), f AS (SELECT batch_id, count(*) AS n, min(dist) AS one, max(gap) AS gap, arg_min(dist, (-coalesce(gap, -1), dist)) AS t0, median(dist) AS med, stddev_pop(dist) AS sp FROM g GROUP BY batch_id) SELECT batch_id, CAST(greatest(8, least(18, CASE WHEN n = 1 THEN one + 2 WHEN gap >= 3 THEN round_even(t0 + gap / 2, 0) ELSE round_even(med + greatest(2, sp * 1.25::DOUBLE), 0) END)) AS BIGINT) AS threshold FROM f"),
+    "A-24_threshold": (thresholds, f"WITH v AS (SELECT batch_id, {DISTANCE} AS dist FROM {PAGES}), g AS (SELECT *, lead(dist) OVER (PARTITION BY batch_id ORDER BY dist) - dist AS gap FROM v), f AS (SELECT batch_id, count(*) AS n, min(dist) AS one, max(gap) AS gap, arg_min(dist, (-coalesce(gap, -1), dist)) AS t0, median(dist) AS med, stddev_pop(dist) AS sp FROM g GROUP BY batch_id) SELECT batch_id, CAST(greatest(8, least(18, CASE WHEN n = 1 THEN one + 2 WHEN gap >= 3 THEN round_even(t0 + gap / 2, 0) ELSE round_even(med + greatest(2, sp * 1.25::DOUBLE), 0) END)) AS BIGINT) AS threshold FROM f"),
     "A-26_day_submissions": (day_submissions, "SELECT user_id, strftime(ts + INTERVAL 8 HOURS, '%Y-%m-%d') AS day, count(DISTINCT event_type) AS submissions FROM events GROUP BY ALL"),
     "K-10_R-09_latency": (histogram, f"SELECT event_type, {_LE}, count(*) AS total, round(sum(value), 2) AS seconds FROM events GROUP BY event_type"),
     "R-05_rate_limit": (limits, "SELECT event_type, epoch_us(ts) // 3600000000 AS window_no, count(*) AS requests, greatest(0, count(*) - 2) AS refused FROM events GROUP BY ALL"),

@@ -84,9 +84,9 @@ def invalid(s, d):
 
 
 def linked(s, d):
-    e = read(s, d, "orders").selectExpr("o_orderkey AS a", "o_custkey AS b")
-    v = e.selectExpr("explode(array(a, b)) AS id").distinct()
-    return graph.components(v, e.filter("a % 3 <> 1"))
+    e = read(s, d, "orders").selectExpr("o_orderkey AS a", "-o_custkey AS b")
+    e = e.unionByName(read(s, d, "customer").selectExpr("-c_custkey AS a", "-(c_custkey div 5 * 5) AS b"))
+    return graph.components(e.selectExpr("explode(array(a, b)) AS id").distinct(), e)
 
 
 def as_of(s, d):
@@ -122,7 +122,7 @@ def history(s, d):
 
 
 def pair_families(s, d):
-    f = read(s, d, "orders").selectExpr("o_orderkey % 500 AS l", "o_custkey % 500 AS r", "o_orderkey AS fid")
+    f = read(s, d, "orders").selectExpr("o_orderkey AS l", "o_custkey AS r", "o_orderkey AS fid")
     t = tasks(s, d)
     a, b = t.selectExpr("id AS l", "batch_id AS lp", "lang AS left_family"), t.selectExpr("id AS r", "batch_id AS rp", "lang AS right_family")
     return f.join(a, "l").join(b, "r").filter("lp = rp").select("fid", "left_family", "right_family")
@@ -173,7 +173,7 @@ QUERIES = {
     "K-07_replaced_batches": (replaced, f"SELECT id, batch_id, CASE WHEN batch_id IN ('src1', 'src2') THEN 'xx' ELSE lang END AS lang FROM {TASKS} WHERE batch_id NOT IN ('src1', 'src2') OR id % 40 < 20"),
     "J-19_D-05_filled_batch": (filled, f"SELECT id, CASE WHEN id % 3 = 2 THEN batch_id WHEN id % 2 = 0 THEN lang END AS batch_id FROM {TASKS}"),
     "J-20_truth_validation": (invalid, "SELECT o_orderkey AS id, o_orderstatus AS doc_key FROM orders WHERE o_orderkey NOT IN (SELECT doc_id FROM documents)"),
-    "G-01_components": (linked, "WITH RECURSIVE v AS (SELECT o_orderkey AS id FROM orders UNION SELECT o_custkey FROM orders), e AS (SELECT o_orderkey AS a, o_custkey AS b FROM orders WHERE o_orderkey % 3 <> 1 UNION SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 3 <> 1), c(id, m) AS (SELECT id, id FROM v UNION SELECT e.b, c.m FROM c JOIN e ON e.a = c.id WHERE c.m < e.b) SELECT id, min(m) AS component FROM c GROUP BY id"),
+    "G-01_components": (linked, "WITH RECURSIVE p AS (SELECT o_orderkey AS a, -o_custkey AS b FROM orders UNION SELECT -c_custkey, -(c_custkey // 5 * 5) FROM customer), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), c(id, m) AS (SELECT a, a FROM e UNION SELECT e.b, c.m FROM c JOIN e ON e.a = c.id WHERE c.m < e.b) SELECT id, min(m) AS component FROM c GROUP BY id"),
     "X-as_of_join": (as_of, "SELECT l.event_id AS id, r.value FROM (SELECT * FROM events WHERE event_id % 10 = 0) l ASOF LEFT JOIN (SELECT * FROM events WHERE event_id % 10 <> 0) r ON l.user_id = r.user_id AND l.ts >= r.ts"),
     "T-04_vector_topk": (nearest, "WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 4) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10"),
     "T-05_U-02_lexical_overlap": (lexical, "SELECT item_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['that', 'erblest', 'the', 'her'])) / 4 * 0.7::DOUBLE, 6) AS score FROM benchmark WHERE score > 0 ORDER BY score DESC, item_id DESC LIMIT 10"),
@@ -181,7 +181,7 @@ QUERIES = {
     "G-18_C-43_T-06_W-05_evidence": (evidence, rf"WITH c AS (SELECT k.id, pos, lower(regexp_replace(chunk, '[^\p{{L}}\p{{N}}_]+', '', 'g')) AS t, lang AS m FROM ({_CHUNKS}) k JOIN documents ON doc_id = k.id), s AS (SELECT id, pos AS chunk_index, {_HITS('t')} AS keyword_hits, ({_PHRASE})::INT AS phrase_hit, {_HITS('m')} AS metadata_hits, CASE WHEN t = '' THEN 0 ELSE round(least(1.0::DOUBLE, {_WEIGHT('t')} * 0.55::DOUBLE + ({_PHRASE})::INT * 0.25::DOUBLE + {_WEIGHT('m')} * 0.2::DOUBLE), 6) END AS score FROM c), r AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY id ORDER BY score DESC, phrase_hit DESC, keyword_hits DESC, metadata_hits DESC, chunk_index) <= 2 THEN 0 ELSE 1 END AS tier FROM s WHERE score > 0) SELECT id, chunk_index, score, keyword_hits, phrase_hit, metadata_hits, tier FROM r ORDER BY tier, score DESC, phrase_hit DESC, keyword_hits DESC, metadata_hits DESC, id, chunk_index LIMIT 8"),
     "T-01_task_page": (page_of_tasks, f"SELECT id, file_path FROM {TASKS} WHERE starts_with(file_path, '/in/src1') ORDER BY id DESC LIMIT 20 OFFSET 5"),
     "T-03_history_page": (history, "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k BETWEEN 2 AND 3"),
-    "J-02_feedback_pairs": (pair_families, "SELECT o_orderkey AS fid, a.lang AS left_family, b.lang AS right_family FROM orders JOIN documents a ON a.doc_id = o_orderkey % 500 JOIN documents b ON b.doc_id = o_custkey % 500 WHERE a.source = b.source"),
+    "J-02_feedback_pairs": (pair_families, "SELECT o_orderkey AS fid, a.lang AS left_family, b.lang AS right_family FROM orders JOIN documents a ON a.doc_id = o_orderkey JOIN documents b ON b.doc_id = o_custkey WHERE a.source = b.source"),
     "F-10_F-11_F-16_eligible": (eligible, f"WITH t AS (SELECT id, id % 3 = 0 AS done, id % 5 <> 0 AND trim(full_text) <> '' AS txt, id % 2 = 0 AS visual FROM {TASKS}) SELECT id, done AND (txt OR visual) AS merge, (done AND (txt OR visual)) OR visual AS boundary, done AND txt AS qa FROM t"),
     "U-03_shared_pairs": (shared_pairs, "SELECT o_custkey % 50 AS a, o_orderkey % 20 AS b FROM orders INTERSECT SELECT l_orderkey % 50, l_orderkey % 37 FROM lineitem"),
     "X-sliding_windows": (sliding, "SELECT time_bucket(INTERVAL 12 HOURS, ts, TIMESTAMP '1970-01-01') - INTERVAL 12 HOURS * k AS start, event_type, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY ALL"),
