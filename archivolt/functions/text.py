@@ -61,6 +61,59 @@ def family(c: Column, rules: list[tuple[str, tuple[str, ...], int]]) -> Column:
     return out.otherwise("")
 
 
+# The words of each family, in the order they are tried, and how many of them must occur.
+FAMILIES = (
+    ("budget", ("预算书", "预算汇总", "预算表", "造价预算", "造价书", "造价"), 1),
+    ("contract", ("合同", "协议", "补充协议"), 1),
+    ("minutes", ("会议纪要", "会议记录", "会议决定", "会议议定事项"), 1),
+    ("contract", ("甲方", "乙方", "本合同", "付款方式", "质保金", "质保期", "开户行", "帐号", "验收合格"), 3),
+    ("minutes", ("会议传达", "会议强调", "会议要求", "会议指出", "纪要如下", "出席", "请假"), 2),
+    ("quote", ("报价",), 1),
+    ("drawing", ("平面图", "立面图", "剖面图", "尺寸图", "细节说明图", "图号"), 1),
+    ("instruction", ("施工说明", "设计说明", "说明"), 1),
+    ("license", ("营业执照",), 1),
+    ("certificate", ("资质证书", "证书"), 1),
+    ("catalog", ("目录",), 1),
+)
+
+
+def document_family(title: Column, text: Column, most: int = 2000) -> Column:
+    """C-09: the family of a title, else of the start of a text; empty if neither tells."""
+    of = lambda c: family(coerced(c), list(FAMILIES))
+    return F.coalesce(F.nullif(of(title), F.lit("")), of(F.left(coerced(text), F.lit(most))))
+
+
+def masked(c: Column, first: int = 8, last: int = 6) -> Column:
+    """C-62: a secret's ends; a short one as stars."""
+    s = coerced(c)
+    stars = F.repeat(F.lit("*"), F.least(F.length(s), F.lit(8)))
+    return F.when(s == "", "<empty>").when(F.length(s) <= first + last, stars).otherwise(F.concat(F.left(s, F.lit(first)), F.lit("..."), F.right(s, F.lit(last))))
+
+
+# Names of regions of another reader and what they are here.
+REGIONS = {"chart": "chart", "doc_title": "doc_title", "footer": "footer", "footer_image": "image", "formula_number": "number", "head_tail": "other_text", "header": "header", "header_image": "image", "image": "image", "number": "number", "paragraph_title": "paragraph_title", "seal": "seal", "table": "table", "title": "paragraph_title"}
+
+
+def region_type(label: Column, has_table: Column) -> Column:
+    """C-54: table, seal, or the label in lower case; text without one."""
+    s = F.lower(F.trim(F.coalesce(label, F.lit(""))))
+    return F.when(F.coalesce(has_table, F.lit(False)) | s.isin("table", "table_body"), "table").when(s.contains("seal") | s.contains("stamp"), "seal").when(s == "", "text").otherwise(s)
+
+
+def foreign_region(label: Column) -> Column:
+    """C-54: the type of another reader's region; those not named are text."""
+    out = F.lit("text")
+    for k, v in REGIONS.items():
+        out = F.when(F.lower(label) == k, v).otherwise(out)
+    return out
+
+
+def text_similarity(a: Column, b: Column, ratio: Column | None = None) -> Column:
+    """C-14: 1 for equal texts, 0.92 if one holds the other, else their ratio (0 if it is not given); 0 for an empty one."""
+    some = (F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != "")
+    return F.when(~some, 0.0).when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.92).otherwise(ratio if ratio is not None else F.lit(0.0))
+
+
 def entities(c: Column, patterns: list[str], least: int = 4, most: int = 48) -> Column:
     """C-11: distinct normalised matches of group 1 of the patterns, sorted."""
     found = F.concat(*(F.regexp_extract_all(without_tags(c), F.lit(p), F.lit(1)) for p in patterns))

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archivolt.functions.text import chunks, tokens, word_characters
+from archivolt.functions.text import chunks, coerced, tokens, word_characters
+from archivolt.operators.columns import FIELDS
 
 
 #: Fixed value: of how many of the newest records a lexical search reads.
@@ -99,3 +100,50 @@ def evidence(scored: DataFrame, key: str, k: int = 8, per_task: int = 2) -> Data
     ranked = kept.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("__r") <= k)
     best = ranked.withColumn("tier", F.when(F.col("__r") <= per_task, 0).otherwise(1)).orderBy("tier", *order).limit(k)
     return best.select(key, "chunk_index", "score", "keyword_hits", "phrase_hit", "metadata_hits", "tier")
+
+
+def evidence_snippet(text: Column, terms: list[str], most: int = 240) -> Column:
+    """C-44: `most` characters around the longest term that occurs, with marks where the text is cut; the start if none occurs."""
+    clean = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    n, at = F.length(clean), F.lit(0)
+    for t in sorted(terms, key=len):  # the last one that is found is the longest
+        hit = F.locate(t.lower(), F.lower(clean))
+        at = F.when(hit > 0, hit).otherwise(at)
+    start = F.greatest(F.lit(0), at - 1 - most // 2)
+    start = F.when(F.least(n, start + most) - start < most, F.greatest(F.lit(0), F.least(n, start + most) - most)).otherwise(start)
+    cut = F.concat(F.when(start > 0, "...").otherwise(""), F.substring(clean, start + 1, F.lit(most)), F.when(start + most < n, "...").otherwise(""))
+    return F.when(n <= most, clean).when(at == 0, F.concat(F.left(clean, F.lit(most)), F.lit("..."))).otherwise(cut)
+
+
+def citations(items: Column, count: Column) -> Column:
+    """C-37: the whole numbers from 1 to count among an array of texts, each once, in order; a text may hold one in brackets or after a dot."""
+    number = F.transform(items, lambda x: F.regexp_extract(F.trim(F.coalesce(x, F.lit(""))), r"^\[?(\d{1,9})(?:\.0*)?\]?$", 1))
+    whole = F.transform(F.filter(number, lambda x: x != ""), lambda x: x.cast("int"))
+    return F.array_distinct(F.filter(whole, lambda x: (x >= 1) & (x <= count)))
+
+
+def model_fields(payload: Column) -> Column:
+    """C-38: a model's JSON as the eight fields and their evidence, all texts without blanks at the ends; what is absent is empty."""
+    fields = ", ".join(f"{f}: string" for f in FIELDS)
+    raw = F.from_json(payload, f"struct<{fields}, evidence: struct<{fields}>>")
+    return F.struct(*(coerced(raw[f]).alias(f) for f in FIELDS), F.struct(*(coerced(raw["evidence"][f]).alias(f) for f in FIELDS)).alias("evidence"))
+
+
+def salvaged(text: Column) -> Column:
+    """C-36: the JSON object in a model's text: without its thoughts and fences, from the first brace to the last; null without one."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?is)<think>.*?</think>|```(?:json)?", "")
+    found = F.regexp_extract(plain, r"(?s)(\{.*\})", 1)
+    return F.when(F.from_json(found, "map<string, string>").isNotNull() & (found != ""), found)
+
+
+def search(rows: DataFrame, key: str, vector: str, text: str, query: list[float] | None, question: str, k: int) -> DataFrame:
+    """G-20: the nearest records; without a query vector, the best by words. source says which."""
+    if query is not None:
+        return nearest(rows, key, vector, query, k).withColumn("source", F.lit("vector"))
+    return lexical(rows, key, text, question, k, fuzzy=False).withColumn("source", F.lit("lexical"))
+
+
+def samples(rows: DataFrame, group: str, order: str, most: int = 12) -> DataFrame:
+    """T-11: the first rows of each group."""
+    w = Window.partitionBy(group).orderBy(order)
+    return rows.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= most).drop("__k")

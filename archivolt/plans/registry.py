@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from archivolt.operators import columns as c
 from archivolt.operators import tables as t
-from archivolt.plans import boundaries, reviews, rollups, sequences, texts
+from archivolt.plans import boundaries, listings, reviews, rollups, sequences, texts
 from archivolt.plans.data import TASKS
 from archivolt.plans.data import read as _read
 from archivolt.plans.data import tasks as _tasks
@@ -147,7 +147,7 @@ ALL: dict[str, tuple[Callable, str]] = {
     "A-batch_rollup": (_rollup, f"SELECT batch_id, count(*) AS tasks, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) FILTER (lang = 'en') AS english FROM {TASKS} GROUP BY batch_id"),
 }
 
-ALL |= texts.QUERIES | rollups.QUERIES | sequences.QUERIES | boundaries.QUERIES | reviews.QUERIES
+ALL |= texts.QUERIES | rollups.QUERIES | sequences.QUERIES | boundaries.QUERIES | reviews.QUERIES | listings.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
