@@ -1,9 +1,9 @@
 """Operator 6: media columns over a store of content-defined chunks.
 
-A payload is kept as the samples of an 8-bit grey image (binary PGM, 576 columns). Its bytes are cut where
-a rolling gear hash says so; Spark joins on chunk digests decide which document stores a chunk, so each
-distinct chunk is stored once. Reading back puts the ordered chunk list of each text together again and
-checks it against the digest taken before. Only chunks that other documents store move between tasks.
+A payload is kept as the samples of an 8-bit grey image (binary PGM, 576 columns). The bytes of that image, header
+included, are cut where a rolling gear hash says so; Spark joins on chunk digests decide which text stores a chunk, so each
+distinct chunk is stored once. An image is read back by its ordered chunk list: each chunk is checked against its own
+digest, the whole against the one taken before. Only chunks that other texts store move between tasks.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from .common import free_shuffles, table
 UNIT = 576
 #: Bounds and mean of a chunk's bytes; the hash covers 32 bytes.
 LEAST, MEAN_BITS, MOST = 512, 11, 16384
-#: The texts are dealt to the store in so many parts, one after the other: the shuffle of one part is on disk at a time.
-PASSES = 2
 GEAR = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -74,132 +72,134 @@ def features(payload: bytes) -> str:
     return f"{len(x)}:{x.sum()}:{(x * x).sum()}:{np.abs(np.diff(x)).sum()}:" + ",".join(map(str, bins))
 
 
+def media_of(raw: bytes) -> bytes:
+    """The stored form: a binary PGM of the payload."""
+    payload = payload_of(raw)
+    return header_of(len(payload)) + payload
+
+
+def payload_in(media: bytes) -> bytes:
+    """The samples of a stored form."""
+    return media[media.index(b"\n255\n") + 5 :]
+
+
+def _raw(batch, name: str = "text") -> list[bytes]:
+    return batch.column(name).cast(pa.large_binary()).to_pylist()
+
+
 def _recipes(batches):
     for batch in batches:
         n, ids, sha = [], [], []
-        for raw in batch.column("text").cast(pa.large_binary()).to_pylist():
-            payload = payload_of(raw)
+        for raw in _raw(batch):
+            media = media_of(raw)
             n.append(len(raw))
-            ids.append([chunk_id(c) for c in chunks(payload)])
-            sha.append(hashlib.sha256(payload).digest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sha, pa.binary()), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.binary()))], names=["doc_id", "content", "n_bytes", "ids"])
+            ids.append([chunk_id(c) for c in chunks(media)])
+            sha.append(hashlib.sha256(media).digest())
+        columns = [batch.column("doc_id"), pa.array(sha, pa.binary()), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.binary()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "n_bytes", "ids"])
 
 
 def _squeezed(batches):
     pack = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        sha, raw = [], []
-        for t in batch.column("text").cast(pa.large_binary()).to_pylist():
-            sha.append(hashlib.sha256(payload_of(t)).digest())
-            raw.append(pack.compress(t))
-        yield pa.RecordBatch.from_arrays([pa.array(sha, pa.binary()), pa.array(raw, pa.binary())], names=["content", "z"])
+        raw = _raw(batch)
+        sha = [hashlib.sha256(media_of(t)).digest() for t in raw]
+        yield pa.RecordBatch.from_arrays([pa.array(sha, pa.binary()), pa.array([pack.compress(t) for t in raw], pa.binary())], names=["content", "z"])
+
+
+STORE = "content binary, ids array<binary>, own array<binary>, zs array<binary>, lent array<binary>"
 
 
 def _stored(batches):
     pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
     for batch in batches:
-        content, whole, lent, ids, zs = [], [], [], [], []
-        for sha, z, own in zip(batch.column("content").to_pylist(), batch.column("z").to_pylist(), batch.column("own").to_pylist()):
-            parts, own = chunks(payload_of(unpack.decompress(z))), {x["seq"]: x["lent"] for x in own}
+        content, ids, own, zs, lent = [], [], [], [], []
+        for sha, z, mine in zip(*(batch.column(c).to_pylist() for c in ("content", "z", "own"))):
+            parts, mine = chunks(media_of(unpack.decompress(z))), {x["seq"]: x["lent"] for x in mine or ()}
             content.append(sha)
-            whole.append(len(own) == len(parts))
-            ids.append([chunk_id(parts[k]) for k in sorted(own)])
-            lent.append([i for k, i in zip(sorted(own), ids[-1]) if own[k]])
-            # neighbouring chunks share one frame where a document stores them all
-            zs.append([pack.compress(b"".join(parts))] if whole[-1] else [pack.compress(parts[k]) for k in sorted(own)])
-        yield pa.RecordBatch.from_arrays([pa.array(content, pa.binary()), pa.array(whole, pa.bool_()), pa.array(lent, pa.list_(pa.binary())), pa.array(ids, pa.list_(pa.binary())), pa.array(zs, pa.list_(pa.binary()))], names=["content", "whole", "lent", "ids", "zs"])
+            ids.append([chunk_id(c) for c in parts])
+            own.append([ids[-1][k] for k in sorted(mine)])
+            zs.append([pack.compress(parts[k]) for k in sorted(mine)])
+            lent.append([ids[-1][k] for k in sorted(mine) if mine[k]])
+        lists = [pa.array(x, pa.list_(pa.binary())) for x in (ids, own, zs, lent)]
+        yield pa.RecordBatch.from_arrays([pa.array(content, pa.binary()), *lists], names=["content", "ids", "own", "zs", "lent"])
 
 
 READ = "content binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _read_rows(contents, payloads):
-    rows = []
-    for sha, payload in zip(contents, payloads):
-        if hashlib.sha256(payload).digest() != sha:
-            raise ValueError("stored chunks do not give the payload back")
-        media = hashlib.sha256(header_of(len(payload)))
-        media.update(payload)
-        rows.append((sha, len(payload), sha.hex(), zlib.crc32(payload[-32:]), len(header_of(len(payload))) + len(payload), media.hexdigest(), features(payload)))
-    kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=[x.split()[0] for x in READ.split(", ")])
-
-
-def _read_whole(batches):
-    unpack = zstandard.ZstdDecompressor()
+def _read(batches):
+    """Images by their ordered chunk lists: own chunks, and those that others store (away)."""
+    unpack, kinds = zstandard.ZstdDecompressor(), [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     for batch in batches:
-        yield _read_rows(batch.column("content").to_pylist(), [unpack.decompress(z[0]) for z in batch.column("zs").to_pylist()])
-
-
-def _read_lists(batches):
-    unpack = zstandard.ZstdDecompressor()
+        rows = []
+        for sha, ids, own, zs, away in zip(*(batch.column(c).to_pylist() for c in ("content", "ids", "own", "zs", "away"))):
+            found = {i: unpack.decompress(z) for i, z in [*zip(own, zs), *((x["id"], x["z"]) for x in away or ())]}
+            for i, chunk in found.items():
+                if chunk_id(chunk) != i:
+                    raise ValueError("a stored chunk is not what its digest says")
+            media = b"".join(found[i] for i in ids)
+            if hashlib.sha256(media).digest() != sha:
+                raise ValueError("the stored chunks do not give the image back")
+            payload = payload_in(media)
+            rows.append((sha, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), sha.hex(), features(payload)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=[x.split()[0] for x in READ.split(", ")])
+
+
+def _lent(batches):
+    """The chunks that other texts use, with their digests."""
     for batch in batches:
-        payloads = [b"".join(unpack.decompress(x["z"]) for x in sorted(parts, key=lambda x: x["seq"])) for parts in batch.column("parts").to_pylist()]
-        yield _read_rows(batch.column("content").to_pylist(), payloads)
+        got = [(i, z) for own, zs, lent in zip(*(batch.column(c).to_pylist() for c in ("own", "zs", "lent"))) for wanted in [set(lent)] for i, z in zip(own, zs) if i in wanted]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.binary()) for k in range(2)], names=["id", "z"])
 
 
-def _loose(batches):
-    """Single chunks that other texts use too; those of rows stored whole are cut out again."""
-    pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-    for batch in batches:
-        got = []
-        for whole, lent, ids, zs in zip(*(batch.column(c).to_pylist() for c in ("whole", "lent", "ids", "zs"))):
-            lent = set(lent)
-            if whole:
-                got += [(i, pack.compress(c)) for i, c in zip(ids, chunks(unpack.decompress(zs[0]))) if i in lent]
-            else:
-                got += [(i, z) for i, z in zip(ids, zs) if i in lent]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.binary()), pa.array([x[1] for x in got], pa.binary())], names=["id", "z"])
-
-
-def _own(batches):
-    """The chunks that texts not stored whole store themselves, by their text."""
-    for batch in batches:
-        got = [(c, i, z) for c, ids, zs in zip(*(batch.column(k).to_pylist() for k in ("content", "ids", "zs"))) for i, z in zip(ids, zs)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.binary()) for k in range(3)], names=["content", "id", "z"])
-
-
-def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def store(docs: DataFrame, passes: int = 2) -> tuple[DataFrame, DataFrame]:
     """(recipes, chunk store), both written tables of the shared folder.
 
-    recipes: doc_id, content (SHA-256 of the payload), n_bytes, ids (ordered chunk digests) per row.
-    store: content, whole, lent, ids, zs: the chunks that a text stores, compressed, one frame if it stores all;
-    lent: those of them that other texts use.
+    recipes: doc_id, content (SHA-256 of the stored form), n_bytes, ids (ordered chunk digests) per row.
+    store, one row for each distinct text: content, ids, own and zs (the chunks it stores, each a frame of its own), lent
+    (those of them that other texts use). passes: into how many parts, by content, the texts are dealt to the store one
+    after the other; more of them keep less shuffled data on disk at a time, and read the texts more often.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    recipes = table(base.mapInArrow(_recipes, "doc_id long, content binary, n_bytes long, ids array<binary>"))
-    uses = recipes.select("doc_id", "content", F.posexplode("ids").alias("seq", "id"))
-    owners = uses.groupBy("id").agg(F.min(F.struct("doc_id", "content", "seq")).alias("o"), (F.min("content") != F.max("content")).alias("lent"))
+    recipes = table(base.mapInArrow(_recipes, f"doc_id {dict(docs.dtypes)['doc_id']}, content binary, n_bytes long, ids array<binary>"))
+    uses = recipes.select("content", F.posexplode("ids").alias("seq", "id"))
+    owners = uses.groupBy("id").agg(F.min(F.struct("content", "seq")).alias("o"), (F.min("content") != F.max("content")).alias("lent"))
     own = table(owners.groupBy(F.col("o.content").alias("content")).agg(F.collect_list(F.struct("o.seq", "lent")).alias("own")))
     parts = []
-    for k in range(PASSES):
-        part = base.filter(F.pmod(F.xxhash64("text"), F.lit(PASSES)) == k).select("text")
+    for k in range(passes):
+        part = base.filter(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).select("text")
         raw = part.mapInArrow(_squeezed, "content binary, z binary").dropDuplicates(["content"])
-        kept = raw.join(own.hint("merge"), "content").select("content", "z", "own")
-        parts.append(table(kept.mapInArrow(_stored, "content binary, whole boolean, lent array<binary>, ids array<binary>, zs array<binary>")))
+        parts.append(table(raw.join(own.hint("merge"), "content", "left").select("content", "z", "own").mapInArrow(_stored, STORE)))
         free_shuffles(docs.sparkSession)
-    stored = reduce(DataFrame.unionByName, parts)
-    return recipes, stored
-
-
-def read_back(recipes: DataFrame, stored: DataFrame) -> DataFrame:
-    """One row for each distinct payload, with the columns of READ, made of the stored bytes alone."""
-    whole = stored.filter("whole").select("content", "zs").mapInArrow(_read_whole, READ)
-    lists = recipes.groupBy("content").agg(F.first("ids").alias("ids")).join(stored.filter("whole").select("content"), "content", "left_anti")
-    wants = table(lists.select("content", F.posexplode("ids").alias("seq", "id")))
-    partly = stored.filter("not whole").select("content", "ids", "zs").mapInArrow(_own, "content binary, id binary, z binary")
-    mine = wants.join(partly, ["content", "id"]).select("content", "seq", "z")
-    loose = stored.filter("size(lent) > 0").select("whole", "lent", "ids", "zs").mapInArrow(_loose, "id binary, z binary")
-    away = wants.join(partly.select("content", "id"), ["content", "id"], "left_anti").join(loose.hint("merge"), "id").select("content", "seq", "z")
-    parts = mine.unionByName(away).groupBy("content").agg(F.collect_list(F.struct("seq", "z")).alias("parts"))
-    return whole.unionByName(parts.mapInArrow(_read_lists, READ))
-
-
-def media(docs: DataFrame) -> DataFrame:
-    """One row per row of docs, with the contract's columns. A null text is empty; equal texts have equal values."""
-    recipes, stored = store(docs)
-    back = table(read_back(recipes, stored))
-    return recipes.select("doc_id", "n_bytes", "content").join(back, "content").drop("content").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return recipes, reduce(DataFrame.unionByName, parts)
+
+
+def read_back(stored: DataFrame, buckets: int = 32) -> DataFrame:
+    """One row for each distinct payload, with the columns of READ, made of the stored bytes alone.
+
+    A chunk that very many texts use is copied into `buckets` and its users are dealt to these, so that none is one task's.
+    """
+    missing = F.array_except("ids", "own")
+    wants = stored.select("content", F.explode(missing).alias("id")).withColumn("bucket", F.pmod(F.xxhash64("content"), F.lit(buckets)))
+    lent = stored.filter("size(lent) > 0").select("own", "zs", "lent").mapInArrow(_lent, "id binary, z binary")
+    users = wants.groupBy("id", "bucket").agg(F.count("*").alias("n")).select("id", "bucket")
+    copies = users.join(lent.hint("merge"), "id")
+    away = wants.join(copies.hint("merge"), ["id", "bucket"]).groupBy("content").agg(F.collect_list(F.struct("id", "z")).alias("away"))
+    whole = stored.filter(F.size(missing) == 0).select("content", "ids", "own", "zs", F.lit(None).cast("array<struct<id: binary, z: binary>>").alias("away"))
+    parts = stored.filter(F.size(missing) > 0).select("content", "ids", "own", "zs").join(away.hint("merge"), "content")
+    return whole.mapInArrow(_read, READ).unionByName(parts.mapInArrow(_read, READ))
+
+
+def media(docs: DataFrame, passes: int = 2) -> DataFrame:
+    """One row per row of docs, with the contract's columns. A null text is empty; equal texts have equal values.
+
+    Rows that repeat a doc_id, or have none, are rows of their own; other columns are not read.
+    """
+    recipes, stored = store(docs, passes)
+    back = table(read_back(stored))
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return recipes.select("doc_id", "n_bytes", "content").join(back, "content").select("doc_id", "n_bytes", *names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -28,18 +31,45 @@ def test_odd(odd, none):
     assert op.media(none).count() == 0
 
 
-def test_shared_chunks_are_stored_once(spark):
+def shared(spark):
     rng = np.random.default_rng(3)
     part = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
     passage = part(30000)
-    df = spark.createDataFrame([(k, part(int(rng.integers(0, 3000))) + passage + part(500)) for k in range(20)], "doc_id long, text string")
+    return spark.createDataFrame([(k, part(int(rng.integers(0, 3000))) + passage + part(500)) for k in range(20)], "doc_id long, text string")
+
+
+def test_shared_chunks_are_stored_once(spark):
+    df = shared(spark)
     check(df)
     recipes, stored = op.store(df)
-    ids = [bytes(i) for r in stored.collect() for i in r.ids]
+    ids = [bytes(i) for r in stored.collect() for i in r.own]
     assert len(ids) == len(set(ids)) and set(ids) == {bytes(i) for r in recipes.collect() for i in r.ids}
     assert len(ids) < 0.5 * sum(len(r.ids) for r in recipes.collect())
 
 
+def test_the_store_holds_the_digested_bytes(spark):
+    """Put together by hand from the stored frames, in the order of the lists, the chunks are the images that the query digests."""
+    df = shared(spark)
+    recipes, stored = op.store(df, passes=1)
+    unpack, frames = zstandard.ZstdDecompressor(), {}
+    for r in stored.collect():
+        frames |= {bytes(i): unpack.decompress(bytes(z)) for i, z in zip(r.own, r.zs)}
+    assert all(op.chunk_id(c) == i for i, c in frames.items())
+    media = {r.doc_id: b"".join(frames[bytes(i)] for i in r.ids) for r in recipes.collect()}
+    assert {r.doc_id: (len(media[r.doc_id]), hashlib.sha256(media[r.doc_id]).hexdigest()) for r in df.collect()} == {r.doc_id: (r.media_bytes, r.media_sha256) for r in op.media(df).collect()}
+
+
+def test_a_wrong_chunk_is_found():
+    media = op.media_of(b"some text")
+    ids = [op.chunk_id(c) for c in op.chunks(media)]
+    pack = zstandard.ZstdCompressor()
+    row = lambda zs: pa.RecordBatch.from_pylist([{"content": hashlib.sha256(media).digest(), "ids": ids, "own": ids, "zs": zs, "away": None}])
+    good = [pack.compress(c) for c in op.chunks(media)]
+    assert next(op._read([row(good)])).num_rows == 1
+    with pytest.raises(ValueError, match="digest"):
+        next(op._read([row([pack.compress(b"other"), *good[1:]])]))
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.binary(max_size=5000).map(lambda b: b * 9))
 def test_chunks(data):
