@@ -30,7 +30,7 @@ def queries():
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    own = {"op10_substring_dedup": SUBSTRINGS, "op7_embedding_near_dedup": EMBEDDINGS}
+    own = {"op4_ngram_jaccard_join": JACCARD, "op10_substring_dedup": SUBSTRINGS, "op7_embedding_near_dedup": EMBEDDINGS}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 
 
@@ -56,3 +56,15 @@ n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
 SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(comp.c, e.vec_id) AS component_id, e.vec_id = coalesce(comp.c, e.vec_id) AS kept
 FROM embeddings e LEFT JOIN comp ON comp.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
+
+JACCARD = r"""
+WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT doc_id, r, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' ')) END) AS s FROM w),
+e AS (SELECT r, unnest(s) AS k FROM g),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM e a JOIN e b ON a.k = b.k AND a.r <> b.r GROUP BY ALL),
+link AS (SELECT p.a, p.b FROM p JOIN g x ON x.r = p.a JOIN g y ON y.r = p.b WHERE p.n >= 0.8 * (len(x.s) + len(y.s) - p.n) - 1e-9),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+low AS (SELECT reach.a AS r, min(g.doc_id) AS c FROM reach JOIN g ON g.r = reach.b GROUP BY reach.a),
+n AS (SELECT a AS r, count(*) AS n FROM link GROUP BY a)
+SELECT g.doc_id, least(g.doc_id, coalesce(low.c, g.doc_id)) AS class_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links FROM g LEFT JOIN low ON low.r = g.r LEFT JOIN n ON n.r = g.r
+"""
