@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """A table in the cluster's shared folder: lineage is cut, a lost executor loses nothing."""
+    """A table in the cluster's shared folder: lineage is cut, a lost executor loses nothing. Only a local session may leave it unset."""
     spark = df.sparkSession
     home = spark.conf.get("spark.checkpoint.dir", None)
     if not home:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         home = "file://" + tempfile.mkdtemp(prefix="archivolt-")
         spark.conf.set("spark.checkpoint.dir", home)
     path = f"{home.rstrip('/')}/archivolt-{uuid.uuid4().hex}"
@@ -25,7 +27,8 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that links reach.
 
     Each round replaces every edge by edges to the smallest neighbour, first of the larger ends, then of the smaller
-    ones, until nothing changes: a number of rounds logarithmic in the number of vertices, and no gathered groups.
+    ones, until nothing changes: a number of rounds logarithmic in the number of vertices, and no gathered groups. A
+    vertex with very many neighbours is a skewed key of the joins, which Spark splits where adaptive execution is on.
     """
     e = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).filter("lo <> hi").distinct()
     e, before = _written(e), None
