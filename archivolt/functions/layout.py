@@ -88,7 +88,7 @@ def excerpt(text: Column, extra: Column, most: int) -> Column:
     return F.when((F.length(clean) <= most) & (extra == ""), clean).otherwise(F.left(whole, F.lit(most)))
 
 
-def spilled(payload: Column, most: int = SPILL_BYTES) -> dict[str, Column]:
-    """K-08: whether a result is stored apart, and its digest then."""
+def spilled(payload: Column, most: int = SPILL_BYTES, home: str = "results") -> dict[str, Column]:
+    """K-08: whether a result is stored apart, its digest then, and where it is."""
     apart = F.coalesce(F.octet_length(payload), F.lit(0)) > most
-    return {"apart": apart, "sha256": F.when(apart, F.sha2(payload.cast("binary"), 256))}
+    return {"apart": apart, "sha256": F.when(apart, F.sha2(payload.cast("binary"), 256)), "locator": F.when(apart, F.concat(F.lit(f"{home}/"), F.sha2(payload.cast("binary"), 256)))}

@@ -74,3 +74,8 @@ def has_keyword(word: str, *columns: Column) -> Column:
 def not_in_batch(batch: Column, value: str) -> Column:
     """F-07: another batch or none."""
     return ~batch.eqNullSafe(F.lit(value))
+
+
+def first_snippet(word: str, *texts: Column, around: int = 50) -> Column:
+    """P-04: of texts in order (the whole, its regions, its lines, its file name) what stands around the word in the first that has it."""
+    return F.coalesce(*(snippet(t, word, around) for t in texts))

@@ -82,6 +82,11 @@ def facets(rows: DataFrame, first: str = "", last: str = "", statuses: tuple[str
     return reduce(DataFrame.filter, tests, rows).orderBy(F.desc("created_at"), F.desc("id"))
 
 
+def submitted_between(user: Column, who: str, time: Column, first: str, end: str) -> Column:
+    """F-13: a submitter's rows from the first moment up to the end, which is not included."""
+    return (user == who) & (time >= F.to_timestamp_ntz(F.lit(first))) & (time < F.to_timestamp_ntz(F.lit(end)))
+
+
 def total(rows: DataFrame) -> DataFrame:
     """A-01: how many rows the filters of a page leave."""
     return rows.agg(F.count("*").alias("total"))

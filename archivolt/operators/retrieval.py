@@ -147,3 +147,25 @@ def samples(rows: DataFrame, group: str, order: str, most: int = 12) -> DataFram
     """T-11: the first rows of each group."""
     w = Window.partitionBy(group).orderBy(order)
     return rows.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= most).drop("__k")
+
+
+# Evidence below this score is not answered from, levels of support, and what is said then.
+REJECT, SUPPORT, UNSURE = 0.12, ("supported", "partial", "insufficient"), "无法确认：当前批次证据不足以支撑可靠结论。"
+
+
+def answered(top_score: Column, answer: Column, support: Column, confidence: Column, cited: Column, count: Column) -> dict[str, Column]:
+    """G-19: answer, support level, confidence and citations of a question; what a model said is given by columns.
+
+    Without evidence (null score) all are null; weak evidence and insufficient support give the answer that says so.
+    """
+    weak = top_score < REJECT
+    level = F.lower(coerced(support))
+    level = F.when(weak | ~level.isin(*SUPPORT), "insufficient").otherwise(level)
+    none = level == "insufficient"
+    some = lambda c: F.when(top_score.isNotNull(), c)
+    return {
+        "answer": some(F.when(none | (coerced(answer) == ""), UNSURE).otherwise(coerced(answer))),
+        "support_level": some(level),
+        "confidence": some(F.when(weak, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(confidence, F.lit(0.0)))))),
+        "citations": some(F.when(none, F.array().cast("array<int>")).otherwise(citations(cited, count))),
+    }

@@ -148,9 +148,10 @@ def page_votes(values: DataFrame, group: str) -> DataFrame:
 
 
 def conflicts(values: DataFrame, group: str) -> DataFrame:
-    """A-17: whether the pages of a group agree on each critical field that any of them gives."""
-    rows = values.filter((F.trim("value") != "") & F.col("field").isin(*CRITICAL))
-    return rows.groupBy(group, "field").agg(F.count_distinct(compact(F.col("value"))).alias("n_values")).withColumn("state", F.when(F.col("n_values") > 1, "conflict").otherwise("aligned"))
+    """A-17: whether the pages of a group agree on each critical field; missing where none of them gives it."""
+    said = F.nullif(compact(F.col("value")), F.lit(""))
+    sizes = values.filter(F.col("field").isin(*CRITICAL)).groupBy(group, "field").agg(F.count_distinct(said).alias("n_values"))
+    return sizes.withColumn("state", F.when(F.col("n_values") > 1, "conflict").when(F.col("n_values") == 1, "aligned").otherwise("missing"))
 
 
 def page_quality(pages: DataFrame, group: str) -> DataFrame:
@@ -200,3 +201,10 @@ def over_limit(rows: DataFrame, client: str, time: str, limit: int, seconds: int
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """U-06, U-09: rows of frames whose columns differ; absent ones are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def merged_entries(rows: DataFrame, group: str, usage: str, order: str) -> DataFrame:
+    """A-20 for maps of texts: numbers summed by group and name, of other entries the first one by `order`."""
+    each = rows.select(group, order, F.explode(usage).alias("name", "value")).withColumn("number", F.expr("try_cast(value AS double)"))
+    sums = each.groupBy(group, "name").agg(F.sum("number").alias("total"), F.min_by("value", F.when(F.col("number").isNull() & F.col("value").isNotNull(), F.col(order))).alias("first"))
+    return sums.select(group, "name", F.col("total").alias("number"), F.when(F.col("total").isNull(), F.col("first")).alias("text"))

@@ -135,3 +135,17 @@ def as_of(left: DataFrame, right: DataFrame, by: str, time: str, value: str) ->
     rows = left.select(by, time, "id", F.lit(None).cast(right.schema[value].dataType).alias(value), F.lit(1).alias("__side")).unionByName(right.select(by, time, F.lit(None).cast("long").alias("id"), value, F.lit(0).alias("__side")))
     w = Window.partitionBy(by).orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn(value, F.last(value, ignorenulls=True).over(w)).filter("__side = 1").drop("__side")
+
+
+def redrafted(rows: DataFrame, edits: DataFrame, batch: str, order: str, key: str) -> DataFrame:
+    """W-11: draft keys after merges and splits: from an edit's row on, as far as the key stays the same, rows get its new key.
+
+    edits: batch, order (of the row where it begins), new_key; one for each run at most, as edits are made one by one.
+    """
+    w = Window.partitionBy(batch).orderBy(order)
+    runs = segments(rows, batch, order, F.coalesce(F.col(key) != F.lag(key).over(w), F.lit(True)))
+    starts = edits.select(F.col(batch).alias("__b"), F.col(order).alias("__from"), "new_key")
+    at = runs.join(starts, (F.col(batch) == F.col("__b")) & (F.col(order) == F.col("__from"))).select(F.col(batch).alias("__b"), F.col("segment").alias("__s"), "__from", "new_key")
+    out = runs.join(at, (F.col(batch) == F.col("__b")) & (F.col("segment") == F.col("__s")), "left")
+    changed = F.coalesce(F.col(order) >= F.col("__from"), F.lit(False))
+    return out.withColumn(key, F.when(changed, F.col("new_key")).otherwise(F.col(key))).select(*rows.columns)

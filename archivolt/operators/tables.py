@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from archivolt.functions.layout import page_text
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """K-06: one row per key, the last by `order`; a blank new value keeps the older one."""
@@ -25,7 +27,8 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 def status_of(requested: DataFrame, tasks: DataFrame) -> DataFrame:
     """J-05: requested (position, id) in order, each with its task's status; a missing task failed."""
     found = requested.join(tasks.select("id", "status"), "id", "left")
-    return found.withColumn("error", F.when(F.col("status").isNull(), "Task not found.").otherwise("")).withColumn("status", F.coalesce("status", F.lit("failed")))
+    out = found.withColumn("error", F.when(F.col("status").isNull(), "Task not found.").otherwise("")).withColumn("status", F.coalesce("status", F.lit("failed")))
+    return out.orderBy("position", "id")
 
 
 def adjacent(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
@@ -53,3 +56,17 @@ def pair_scores(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     scores = counts.select("tp", F.col("pp").alias("predicted_pairs"), F.col("tt").alias("truth_pairs"), precision.alias("precision"), recall.alias("recall"))
     both = F.col("precision") + F.col("recall")
     return scores.withColumn("f1", F.when(both > 0, F.round(2 * F.col("precision") * F.col("recall") / both, 6)).otherwise(0.0))
+
+
+def updated_results(tasks: DataFrame, results: DataFrame) -> DataFrame:
+    """D-06: tasks with the pages (and so text and page count) or the text that a result gives; a task in work is an error.
+
+    tasks: id, status, pages, full_text, page_count; results: id, new_pages, new_text. Tasks without a result stay.
+    """
+    rows = tasks.join(results.withColumn("__told", F.lit(True)), "id", "left")
+    told, paged = F.coalesce("__told", F.lit(False)), F.col("new_pages").isNotNull()
+    wrong = F.raise_error(F.concat(F.lit("Task result cannot be edited while it is still processing: "), F.col("id").cast("string")))
+    pages = F.when(told & ~F.col("status").isin("done", "failed"), wrong.cast(tasks.schema["pages"].dataType)).when(told & paged, F.col("new_pages")).otherwise(F.col("pages"))
+    text = F.when(told & paged, page_text(F.col("new_pages"))).when(told & F.col("new_text").isNotNull(), F.col("new_text")).otherwise(F.col("full_text"))
+    count = F.when(told & paged, F.size("new_pages")).otherwise(F.col("page_count"))
+    return rows.select("id", "status", pages.alias("pages"), text.alias("full_text"), count.alias("page_count"))

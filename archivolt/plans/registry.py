@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.operators import columns as c
+from archivolt.operators import listing
 from archivolt.operators import tables as t
 from archivolt.plans import boundaries, listings, reviews, rollups, sequences, services, texts
 from archivolt.plans.data import TASKS
@@ -65,8 +66,8 @@ def f07(s, d):
 
 def f13(s, d):
     o = _read(s, d, "orders")
-    day = F.to_timestamp_ntz(F.lit("1995-03-01 00:00:00"))
-    return o.filter((F.col("o_orderdate") >= day) & (F.col("o_orderdate") < F.to_timestamp_ntz(F.lit("1995-04-01 00:00:00")))).select("o_orderkey", "o_custkey")
+    mine = listing.submitted_between(F.col("o_orderpriority"), "1-URGENT", F.col("o_orderdate"), "1995-03-01 00:00:00", "1995-06-01 00:00:00")
+    return o.filter(mine).select("o_orderkey", "o_custkey")
 
 
 def j01(s, d):
@@ -133,7 +134,7 @@ ALL: dict[str, tuple[Callable, str]] = {
     "F-01_folder_prefix": (f01, f"SELECT id, file_path FROM {TASKS} WHERE starts_with(file_path, '/in/src1/')"),
     "F-05_keyword": (f05, f"SELECT id FROM {TASKS} WHERE contains(lower(full_text), 'token =') OR contains(lower(file_path), 'token =')"),
     "F-07_other_batches": (f07, f"SELECT id, CASE WHEN id % 7 <> 0 THEN batch_id END AS batch_id FROM {TASKS} WHERE id % 7 = 0 OR batch_id <> 'src0'"),
-    "F-13_date_range": (f13, "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate < TIMESTAMP '1995-04-01'"),
+    "F-13_date_range": (f13, "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate < TIMESTAMP '1995-06-01' AND o_orderpriority = '1-URGENT'"),
     "J-01_semi_join": (j01, f"SELECT id, batch_id FROM {TASKS} WHERE id IN (SELECT doc_id FROM labels)"),
     "J-03_feedback": (j03, f"SELECT id, quality, toxic FROM {TASKS} LEFT JOIN labels ON doc_id = id"),
     "J-04_folder_batches": (j04, f"SELECT batch_id, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM {TASKS} GROUP BY batch_id"),

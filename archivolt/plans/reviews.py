@@ -142,7 +142,7 @@ FROM (SELECT id, string_split(coalesce(full_text, ''), chr(10)) AS l, id % 5 AS
 QUERIES = {
     "C-35_excerpts": (excerpts, EXCERPT_SQL),
     "J-15_gathered_lines": (gathered, GATHERED_SQL),
-    "K-08_spilled_results": (spilled, f"SELECT id, coalesce(strlen(full_text), 0) > 4096 AS apart, CASE WHEN strlen(full_text) > 4096 THEN sha256(full_text) END AS sha256 FROM {TASKS}"),
+    "K-08_spilled_results": (spilled, f"SELECT id, coalesce(strlen(full_text), 0) > 4096 AS apart, CASE WHEN strlen(full_text) > 4096 THEN sha256(full_text) END AS sha256, CASE WHEN strlen(full_text) > 4096 THEN 'results/' || sha256(full_text) END AS locator FROM {TASKS}"),
     "C-19_archive_number": (archive_numbers, f"SELECT id, {NUMBER_SQL} AS archive_no FROM (SELECT id, coalesce({STEM_SQL}, '') AS stem FROM {TASKS})"),
     "C-29b_legacy_fields": (legacy, LEGACY_SQL),
     "C-32_C-33_C-34_markdown": (markdown, MARKDOWN_SQL),

@@ -148,7 +148,7 @@ QUERIES = {
     "A-13_J-10_dominant": (dominant, f"WITH n AS (SELECT batch_id, lang, count(*) AS c FROM {PAGES} WHERE id % 6 <> 0 GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY c DESC, lang) AS k, CAST(sum(c) OVER (PARTITION BY batch_id) AS BIGINT) AS total FROM n) SELECT batch_id, lang AS dominant_doc, c AS correct, total, round(c / total, 6) AS accuracy FROM k WHERE k = 1"),
     "A-14_field_accuracy": (accuracy, f"WITH v AS (SELECT field, unnest(['rule', 'llm']) AS target, unnest([rule, llm]) AS v, llm FROM {_LONG} WHERE id % 2 = 0), e AS (SELECT field, target, lower(regexp_replace(v, '[\\s\\-]+', '', 'g')) = lower(regexp_replace(llm, '[\\s\\-]+', '', 'g')) AS ok FROM v) SELECT target, field, count(*) FILTER (ok) AS correct, count(*) AS total, round(count(*) FILTER (ok) / count(*), 6) AS accuracy FROM e GROUP BY GROUPING SETS ((target, field), (target))"),
     "A-16_page_vote": (votes, f"WITH n AS (SELECT doc, field, k, CASE WHEN field = 'title' THEN arg_min(value, (-length(value), page)) ELSE arg_min(value, page) END AS value, count(*) AS n, round(sum(c), 9) AS score, max(c) AS top, min(page) AS page FROM {_V} GROUP BY doc, field, k) SELECT doc, field, value, n AS votes FROM (SELECT *, row_number() OVER (PARTITION BY doc, field ORDER BY n DESC, score DESC, top DESC, length(value) DESC, page) AS r FROM n) WHERE r = 1"),
-    "A-17_page_conflicts": (disagree, "SELECT doc, field, count(DISTINCT k) AS n_values, CASE WHEN count(DISTINCT k) > 1 THEN 'conflict' ELSE 'aligned' END AS state FROM " + _V + " WHERE field IN ('archive_no', 'doc_no', 'responsible', 'date', 'classification') GROUP BY doc, field"),
+    "A-17_page_conflicts": (disagree, f"SELECT doc, field, count(DISTINCT nullif({_C('llm')}, '')) AS n_values, CASE WHEN count(DISTINCT nullif({_C('llm')}, '')) > 1 THEN 'conflict' WHEN count(DISTINCT nullif({_C('llm')}, '')) = 1 THEN 'aligned' ELSE 'missing' END AS state FROM {_LONG} WHERE field IN ('archive_no', 'doc_no', 'responsible', 'date', 'classification') GROUP BY doc, field"),
     "A-18_A-28_page_quality": (quality, f"SELECT {DOC} AS doc, count(*) AS page_count, round(avg(least(1.0::DOUBLE, id % 12 / 10.0::DOUBLE)), 4) AS average, min(least(1.0::DOUBLE, id % 12 / 10.0::DOUBLE)) AS lowest, max(least(1.0::DOUBLE, id % 12 / 10.0::DOUBLE)) AS highest, count(*) FILTER (id % 3 > 0) AS with_retry, max(id % 3) AS max_retry FROM {PAGES} GROUP BY doc"),
     "A-20_usage": (usage, f"SELECT batch_id, 'prompt' AS name, CAST(sum(n_chars) AS BIGINT) AS value FROM {TASKS} GROUP BY batch_id UNION ALL SELECT batch_id, 'answer', CAST(sum(id) AS BIGINT) FROM {TASKS} GROUP BY batch_id"),
     "A-24_threshold": (thresholds, f"WITH v AS (SELECT batch_id, {DISTANCE} AS dist FROM {PAGES}), g AS (SELECT *, lead(dist) OVER (PARTITION BY batch_id ORDER BY dist) - dist AS gap FROM v), f AS (SELECT batch_id, count(*) AS n, min(dist) AS one, max(gap) AS gap, arg_min(dist, (-coalesce(gap, -1), dist)) AS t0, median(dist) AS med, stddev_pop(dist) AS sp FROM g GROUP BY batch_id) SELECT batch_id, CAST(greatest(8, least(18, CASE WHEN n = 1 THEN one + 2 WHEN gap >= 3 THEN round_even(t0 + gap / 2, 0) ELSE round_even(med + greatest(2, sp * 1.25::DOUBLE), 0) END)) AS BIGINT) AS threshold FROM f"),

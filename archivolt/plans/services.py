@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from archivolt.functions.fields import CLASSIFICATION
-from archivolt.operators import scored
+from archivolt.operators import columns, retrieval, rollups, scored, sequences, tables
 from archivolt.plans.data import TASKS, read, tasks
 from archivolt.streaming import subscriptions as u
 
@@ -59,6 +59,34 @@ def resumed(s, d):
     return u.resumed(states, read(s, d, "labels").selectExpr("doc_id AS task_id"))
 
 
+def redrafts(s, d):
+    t = tasks(s, d).selectExpr("'b' AS batch_id", "id", "concat('k', CAST(floor(id / 10) AS INT)) AS doc_key")
+    edits = t.filter("id % 20 = 14").selectExpr("batch_id", "id", "concat('n', id) AS new_key")
+    return sequences.redrafted(t, edits, "batch_id", "id", "doc_key").select("id", "doc_key")
+
+
+def result_updates(s, d):
+    page = "named_struct('regions', array(named_struct('content', lang)), 'lines', array(named_struct('text', 'l')))"
+    t = tasks(s, d).selectExpr("id", "CASE WHEN id % 5 = 4 THEN 'processing' ELSE 'done' END AS status", f"array({page}) AS pages", "batch_id AS full_text", "1 AS page_count")
+    new = tasks(s, d).filter("id % 5 < 2").selectExpr("id", f"CASE WHEN id % 5 = 0 THEN array({page}, {page}) END AS new_pages", "'other' AS new_text")
+    return tables.updated_results(t, new).select("id", "full_text", F.col("page_count").cast("long").alias("page_count"))
+
+
+def answers(s, d):
+    i = F.col("id")
+    said = retrieval.answered(F.when(i % 7 > 0, i % 30 / 100.0), F.when(i % 3 > 0, F.concat(F.lit(" a"), i)), F.expr("CASE id % 4 WHEN 0 THEN 'Supported' WHEN 1 THEN ' partial' WHEN 2 THEN 'odd' END"), i % 13 / 10.0, F.array(F.lit("2"), (i % 5).cast("string")), F.lit(3))
+    return tasks(s, d).select("id", *(c.alias(n) for n, c in said.items())).withColumn("citations", F.array_join("citations", ","))
+
+
+def entries(s, d):
+    t = tasks(s, d).select("batch_id", "id", F.create_map(F.lit("tokens"), F.col("n_chars").cast("string"), F.lit("model"), F.col("lang")).alias("u"))
+    return rollups.merged_entries(t, "batch_id", "u", "id")
+
+
+def snippets(s, d):
+    return tasks(s, d).select("id", columns.first_snippet("src1", F.expr("CASE WHEN id % 2 = 0 THEN concat('at ', batch_id, ' of it') END"), F.col("file_path")).alias("snippet"))
+
+
 _I = f"(SELECT id, {', '.join(e.format(d='::DOUBLE') for e in ITEM)} FROM {TASKS}, (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS k))"
 _CLEAN = lambda c: rf"regexp_replace(regexp_replace({c}, '\s+', ' ', 'g'), '^[ ，。；;:：]+|[ ，。；;:：]+$', '', 'g')"
 _SEARCH = lambda c: f"translate({_CLEAN(c)}, '〔〕（）【】', '[]()[]')"
@@ -81,5 +109,10 @@ QUERIES = {
     "R-07_R-08_K-11_valid": (valid, "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-09 23:00:00'"),
     "R-10_acknowledged": (acknowledged, "SELECT doc_id AS id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'acknowledged' ELSE 'requeued' END AS state FROM documents"),
     "R-11_providers": (providers, "SELECT doc_id AS id, CAST(CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END AS INT) AS provider, 'a' || CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END AS answer FROM documents"),
+    "W-11_redrafts": (redrafts, "SELECT doc_id AS id, CASE WHEN doc_id // 10 % 2 = 1 AND doc_id % 10 >= 4 AND (SELECT count(*) FROM documents d WHERE d.doc_id = documents.doc_id // 10 * 10 + 4) > 0 THEN 'n' || (doc_id // 10 * 10 + 4) ELSE 'k' || (doc_id // 10) END AS doc_key FROM documents"),
+    "D-06_result_updates": (result_updates, f"SELECT id, CASE id % 5 WHEN 0 THEN '--- Page 1 ---' || chr(10) || lang || chr(10) || chr(10) || '--- Page 2 ---' || chr(10) || lang WHEN 1 THEN 'other' ELSE batch_id END AS full_text, CASE WHEN id % 5 = 0 THEN 2::BIGINT ELSE 1 END AS page_count FROM {TASKS}"),
+    "G-19_answers": (answers, f"WITH t AS (SELECT id, id % 30 / 100.0::DOUBLE >= 0.12 AND id % 4 < 2 AS ok, id % 7 > 0 AS told FROM {TASKS}) SELECT id, CASE WHEN told THEN CASE WHEN ok AND id % 3 > 0 THEN 'a' || id ELSE '{retrieval.UNSURE}' END END AS answer, CASE WHEN told THEN CASE WHEN NOT ok THEN 'insufficient' WHEN id % 4 = 0 THEN 'supported' ELSE 'partial' END END AS support_level, CASE WHEN told THEN CASE WHEN id % 30 / 100.0::DOUBLE < 0.12 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, id % 13 / 10.0::DOUBLE) END END AS confidence, CASE WHEN told THEN CASE WHEN NOT ok THEN '' WHEN id % 5 IN (1, 3) THEN '2,' || (id % 5) ELSE '2' END END AS citations FROM t"),
+    "A-20_usage_entries": (entries, f"SELECT batch_id, 'tokens' AS name, CAST(sum(n_chars) AS DOUBLE) AS number, NULL::VARCHAR AS text FROM {TASKS} GROUP BY batch_id UNION ALL SELECT batch_id, 'model', NULL, arg_min(lang, id) FROM {TASKS} GROUP BY batch_id"),
+    "P-04_first_snippet": (snippets, f"SELECT id, CASE WHEN starts_with(batch_id, 'src1') THEN CASE WHEN id % 2 = 0 THEN 'at ' || batch_id || ' of it' ELSE file_path END END AS snippet FROM {TASKS}"),
     "R-04_resumed": (resumed, "SELECT doc_id AS task_id, CASE WHEN doc_id % 2 = 1 THEN 'done' WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'processing' ELSE 'human_review' END AS status FROM documents"),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from archivolt.functions.text import page_number, page_prefix
 from archivolt.operators.columns import FIELDS
+from archivolt.operators.sequences import page_gaps
 
 #: Fixed value: the extensions taken in.
 EXTENSIONS = ("png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp", "pdf")
@@ -28,6 +29,11 @@ def page_sequences(files: DataFrame) -> DataFrame:
     return grouped.select("prefix", "page_no", checked.alias("path"))
 
 
+def missing_pages(files: DataFrame) -> DataFrame:
+    """S-03: (prefix, missing): the page numbers that a sequence's files leave out."""
+    return page_gaps(page_sequences(files), "prefix", "page_no")
+
+
 def verified(spark: SparkSession, paths: str, expected: DataFrame) -> DataFrame:
     """S-06: contents whose SHA-256 is the expected one (path, sha256); another digest is an error."""
     files = spark.read.format("binaryFile").load(paths).join(expected, "path")
@@ -40,6 +46,26 @@ def export_archive(rows: DataFrame, path: str) -> None:
     rows.select(*FIELDS).write.mode("overwrite").option("header", "true").csv(path)
 
 
+def append_archive(rows: DataFrame, path: str) -> None:
+    """K-03: more rows for an archive's files."""
+    rows.select(*FIELDS).write.mode("append").option("header", "true").csv(path)
+
+
+def clear_archive(spark: SparkSession, path: str) -> None:
+    """K-03: an archive with its header and no rows."""
+    spark.createDataFrame([], ", ".join(f"{f} string" for f in FIELDS)).coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+
+
+def export_tasks(rows: DataFrame, path: str, form: str = "txt") -> None:
+    """K-04: tasks (filename, full_text, ...) as text, each under its file name, or as JSON lines with all columns."""
+    if form not in ("txt", "json"):
+        raise ValueError("form must be txt or json")
+    if form == "json":
+        rows.write.mode("overwrite").json(path)
+    else:
+        rows.select(F.concat_ws("\n", F.concat(F.lit("# "), "filename"), F.coalesce("full_text", F.lit("")))).write.mode("overwrite").text(path)
+
+
 def import_archive(spark: SparkSession, path: str) -> DataFrame:
     """S-04 for CSV: archive columns, without rows that are blank throughout."""
     rows = spark.read.option("header", "true").csv(path)

@@ -37,3 +37,22 @@ def test_replace_batches(spark, tmp_path):
     files.replace_batches(spark.createDataFrame([(1, "a"), (2, "b")], "id long, batch_id string"), path)
     files.replace_batches(spark.createDataFrame([(3, "b")], "id long, batch_id string"), path)
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 3]
+
+
+def test_missing_pages_and_archive_files(spark, tmp_path):
+    for n in (1, 2, 5):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"a-00{n}.png").write_bytes(b"x")
+    got = files.missing_pages(files.folder(spark, str(tmp_path / "in")))
+    assert sorted(r.missing for r in got.collect()) == [3, 4]
+    rows = spark.createDataFrame([("x",) * 8], list(files.FIELDS))
+    files.append_archive(rows, f"{tmp_path}/out")
+    files.append_archive(rows, f"{tmp_path}/out")
+    assert files.import_archive(spark, f"{tmp_path}/out").count() == 2
+    files.clear_archive(spark, f"{tmp_path}/out")
+    assert files.import_archive(spark, f"{tmp_path}/out").count() == 0
+    tasks = spark.createDataFrame([("f.pdf", "text"), ("g.pdf", None)], "filename string, full_text string")
+    files.export_tasks(tasks, f"{tmp_path}/txt")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/txt").collect()) == ["", "# f.pdf", "# g.pdf", "text"]
+    files.export_tasks(tasks, f"{tmp_path}/json", "json")
+    assert spark.read.json(f"{tmp_path}/json").count() == 2
