@@ -111,7 +111,7 @@ def truth(s, d):
 
 
 def mapped(s, d):
-    return e.mapped(_predicted(s, d), _truth(s, d))
+    return e.mapped(_predicted(s, d), _truth(s, d)).withColumnRenamed("group", "group_id")
 
 
 def reader_confidence(s, d):
@@ -195,7 +195,7 @@ def indexes(s, d):
 
 
 def decisions(s, d):
-    return _decided(s, d).select("batch_id", F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "decision", "confidence", "ask", "accept", "between")
+    return _decided(s, d).select("batch_id", F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "decision", "confidence", "ask", "accept", F.col("between").alias("page_between"))
 
 
 def merged(s, d):
@@ -228,7 +228,7 @@ def searched(s, d):
 
 
 def masks(s, d):
-    return tasks(s, d).select("id", x.masked(F.expr("CASE id % 4 WHEN 0 THEN ' ' WHEN 1 THEN lang WHEN 2 THEN file_path END")).alias("masked"), x.region_type(F.expr("CASE id % 5 WHEN 0 THEN ' Table_Body ' WHEN 1 THEN 'Red-Stamp' WHEN 2 THEN ' ' WHEN 3 THEN 'Title' END"), F.col("id") % 11 == 0).alias("region"), x.foreign_region(F.expr("CASE id % 3 WHEN 0 THEN 'Title' WHEN 1 THEN 'footer_image' ELSE 'abstract' END")).alias("foreign"))
+    return tasks(s, d).select("id", x.masked(F.expr("CASE id % 4 WHEN 0 THEN ' ' WHEN 1 THEN lang WHEN 2 THEN file_path END")).alias("masked"), x.region_type(F.expr("CASE id % 5 WHEN 0 THEN ' Table_Body ' WHEN 1 THEN 'Red-Stamp' WHEN 2 THEN ' ' WHEN 3 THEN 'Title' END"), F.col("id") % 11 == 0).alias("region"), x.foreign_region(F.expr("CASE id % 3 WHEN 0 THEN 'Title' WHEN 1 THEN 'footer_image' ELSE 'abstract' END")).alias("foreign_region"))
 
 
 HEAD = "CASE id % 8 WHEN 0 THEN '造价预算' WHEN 1 THEN '甲方 乙方 付款方式' WHEN 2 THEN '出席 请假' WHEN 3 THEN '说明' WHEN 4 THEN '甲方' WHEN 5 THEN '资质证书' ELSE '' END"
@@ -285,7 +285,7 @@ o AS (SELECT *, CASE WHEN {_EQ('boundary_group')} THEN 'yes|0.9' WHEN adjacent A
 decided AS (SELECT batch_id, l_id AS left_id, r_id AS right_id, string_split(rule, '|')[1] AS decision, CAST(string_split(rule, '|')[2] AS DOUBLE) AS confidence,
   string_split(rule, '|')[1] = 'undecided' AND NOT betw AND CASE WHEN coalesce(l.visual_prefix <> '' AND l.visual_prefix = r.visual_prefix AND abs(l.visual_page_no - r.visual_page_no) <= 2, false) THEN TRUE WHEN {_EQ('series_key')} THEN abs(l.sequence - r.sequence) <= 2
     ELSE (r.idx - l.idx <= 1 AND (t = 1 OR (n = 1 AND ({_EQ('date_norm')} OR {_EQ('responsible_norm')} OR {_EQ('doc_no_prefix')})) OR ({_EQ('date_norm')} AND ({_EQ('responsible_norm')} OR {_EQ('doc_no_prefix')})))) OR (t = 1 AND ({_EQ('date_norm')} OR {_EQ('responsible_norm')} OR n = 1)) END AS ask,
-  CASE WHEN adjacent THEN 0.82::DOUBLE WHEN {_EQ('series_key')} AND r.idx - l.idx <= 1 THEN 0.84::DOUBLE ELSE 0.9::DOUBLE END AS accept, betw AS "between" FROM o)
+  CASE WHEN adjacent THEN 0.82::DOUBLE WHEN {_EQ('series_key')} AND r.idx - l.idx <= 1 THEN 0.84::DOUBLE ELSE 0.9::DOUBLE END AS accept, betw AS page_between FROM o)
 """
 
 QUERIES = {
@@ -304,7 +304,7 @@ QUERIES = {
     "T-10_A-34_groups": (ordered, f"SELECT *, row_number() OVER (ORDER BY first_member, g) AS position FROM (SELECT concat(lang, id % 5) AS g, min(id) AS first_member, count(*) AS members FROM {TASKS} GROUP BY g)"),
     "D-04_deleted": (kept, f"SELECT id FROM {TASKS} WHERE batch_id IS DISTINCT FROM 'src1'"),
     "D-07_feedback": (feedback, f"SELECT id, CASE WHEN id % 2 = 0 THEN 'helpful' ELSE 'not_helpful' END AS rating, CASE WHEN id % 2 = 1 THEN 'r' || id END AS reason FROM {TASKS}"),
-    "U-04_mapped": (mapped, f'SELECT id, g AS "group", doc FROM {_B}'),
+    "U-04_mapped": (mapped, f"SELECT id, g AS group_id, doc FROM {_B}"),
     "G-21_A-12_A-15_truth": (truth, f"""WITH n AS (SELECT (SELECT count(DISTINCT id) FROM {_D}) AS truth_task_count, (SELECT count(*) FROM {_P}) AS predicted_task_count, (SELECT count(*) FROM {_B}) AS mapped_task_count, (SELECT count(DISTINCT doc) FROM {_DOM} WHERE k = 1) AS mapped_document_count,
       {_PAIRS('g, doc')} AS tp, {_PAIRS('g')} AS predicted_pairs, {_PAIRS('doc')} AS truth_pairs, (SELECT round(sum(c) / sum(n), 6) FROM {_DOM} WHERE k = 1) AS task_assignment_accuracy), s AS (SELECT *, round(tp / predicted_pairs, 6) AS precision, round(tp / truth_pairs, 6) AS recall FROM n) SELECT *, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM s"""),
     "A-19_reader_confidence": (reader_confidence, f"SELECT id, CASE WHEN id % 12 = 0 THEN round((least(1.0, id % 7 / 5.0::DOUBLE) + 0 + id % 9 / 10.0::DOUBLE) / 3, 4) WHEN id % 3 = 0 THEN round(least(1.0, id % 7 / 5.0::DOUBLE) / 2, 4) WHEN id % 4 = 0 THEN round(id % 9 / 10.0::DOUBLE, 4) WHEN id % 5 > 0 AND trim(full_text) <> '' THEN 0.55::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM {TASKS}"),
@@ -324,7 +324,7 @@ QUERIES = {
     "C-36_C-38_model_output": (outputs, f"SELECT id, lang AS title, CAST(id AS VARCHAR) AS pages, '' AS remarks, 'e' AS evidence_title FROM {TASKS}"),
     "T-11_samples": (samples, f"SELECT batch_id, id FROM (SELECT batch_id, id, row_number() OVER (PARTITION BY batch_id ORDER BY id) AS k FROM {TASKS}) WHERE k <= 12"),
     "G-20_search": (searched, "SELECT item_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['that', 'erblest', 'the', 'her'])) / 4 * 0.7::DOUBLE, 6) AS score, 'lexical' AS source FROM benchmark WHERE score > 0 ORDER BY score DESC, item_id DESC LIMIT 7"),
-    "C-54_C-62_regions_masks": (masks, f"SELECT id, CASE id % 4 WHEN 1 THEN repeat('*', least(8, length(lang))) WHEN 2 THEN CASE WHEN length(file_path) <= 14 THEN '********' ELSE left(file_path, 8) || '...' || right(file_path, 6) END ELSE '<empty>' END AS masked, CASE WHEN id % 11 = 0 OR id % 5 = 0 THEN 'table' WHEN id % 5 = 1 THEN 'seal' WHEN id % 5 = 3 THEN 'title' ELSE 'text' END AS region, CASE id % 3 WHEN 0 THEN 'paragraph_title' WHEN 1 THEN 'image' ELSE 'text' END AS foreign FROM {TASKS}"),
+    "C-54_C-62_regions_masks": (masks, f"SELECT id, CASE id % 4 WHEN 1 THEN repeat('*', least(8, length(lang))) WHEN 2 THEN CASE WHEN length(file_path) <= 14 THEN '********' ELSE left(file_path, 8) || '...' || right(file_path, 6) END ELSE '<empty>' END AS masked, CASE WHEN id % 11 = 0 OR id % 5 = 0 THEN 'table' WHEN id % 5 = 1 THEN 'seal' WHEN id % 5 = 3 THEN 'title' ELSE 'text' END AS region, CASE id % 3 WHEN 0 THEN 'paragraph_title' WHEN 1 THEN 'image' ELSE 'text' END AS foreign_region FROM {TASKS}"),
     "C-09_families": (families, f"SELECT id, coalesce(nullif({_FAMILY(HEAD)}, ''), {_FAMILY('left(b, 2000)')}) AS family FROM (SELECT id, CASE WHEN id % 16 > 7 THEN trim(concat(full_text, '目录'), ' ' || chr(10) || chr(9) || chr(13)) ELSE concat('目录', full_text) END AS b FROM {TASKS})"),
     "J-13a_C-14_region_lines": (region_lines, f"""WITH a AS (SELECT *, CASE WHEN content = text THEN 1.0 WHEN contains(content, text) OR contains(text, content) THEN 0.92 ELSE 0.0 END AS lik FROM {_NEAR}), b AS (SELECT *, bool_or(lik >= 0.72) OVER w AS m, bool_or(share >= 0.45) OVER w AS s FROM a WINDOW w AS (PARTITION BY page_id, region_id)),
       c AS (SELECT *, row_number() OVER (PARTITION BY page_id, region_id ORDER BY CASE WHEN m THEN CASE WHEN lik >= 0.72 THEN lik ELSE -1 END ELSE 0 END DESC, share DESC, line_no) AS k FROM b) SELECT page_id, region_id, line_no FROM c WHERE CASE WHEN m THEN k = 1 WHEN s THEN share >= 0.45 ELSE k = 1 END"""),
