@@ -60,16 +60,17 @@ def crc_of_id(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-def bounded_sample(rows: DataFrame, by: str, per: int, hashed: str = "h", buckets: int = 64) -> DataFrame:
+def bounded_sample(rows: DataFrame, by: str, per: int, hashed: str = "h", buckets: int = 64, few: bool = True) -> DataFrame:
     """Of each value of `by` the rows of the `per` smallest hashes, repeated rows once: at most per rows a value.
 
     Hashes are ranked in buckets first and then together, so that a value with most of the rows is not one task's; only
-    the rows up to the last chosen hash move, whatever else they hold.
+    the rows up to the last chosen hash move, whatever else they hold. few: the caller knows that `by` has so few values
+    that one hash of each can be sent to all tasks; else they are joined.
     """
     rank = lambda *keys: F.dense_rank().over(Window.partitionBy(*keys).orderBy(hashed))
     first = rows.select(by, hashed, F.pmod(F.col(hashed), F.lit(buckets)).alias("__b")).withColumn("__r", rank(by, "__b")).filter(F.col("__r") <= per).select(by, hashed).distinct()
     top = first.withColumn("__r", rank(by)).filter(F.col("__r") <= per).groupBy(by).agg(F.max(hashed).alias("__top"))
-    return rows.join(top, by).filter(F.col(hashed) <= F.col("__top")).drop("__top").dropDuplicates([by, hashed])
+    return rows.join(F.broadcast(top) if few else top, by).filter(F.col(hashed) <= F.col("__top")).drop("__top").dropDuplicates([by, hashed])
 
 
 # --- texts of an Arrow batch as one byte array -------------------------------------------------

@@ -18,6 +18,8 @@ from .common import bounded_sample, crc_of_id, slices
 #: characters that are read of a text of the sample. All languages that occur are learned, and all texts scored whole.
 PER_LANGUAGE, LANDMARKS, SAMPLE, ALL_LANDMARKS, MOST_CHARS = 250, 24, 4000, 768, 12000
 SIZES, RIDGE = (2, 3, 4), 0.3
+#: Languages up to which a hash of each is sent to all tasks (1 MB and a half).
+FEW = 100_000
 #: Bytes: ASCII letters lower, other ASCII a space; bytes of other letters as they are.
 FOLD = np.array([c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256)], np.uint8)
 #: Entries of a batch's matrix.
@@ -146,7 +148,7 @@ def sample(docs: DataFrame) -> list:
     rows = docs.filter((F.pmod(crc_of_id(), F.lit(4)) != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.lower(F.left("text", F.lit(MOST_CHARS))).alias("t"))
     n = rows.select("lang").distinct().count()
-    got = bounded_sample(rows, "lang", max(1, min(PER_LANGUAGE, SAMPLE // max(n, 1)))).collect()
+    got = bounded_sample(rows, "lang", max(1, min(PER_LANGUAGE, SAMPLE // max(n, 1))), few=n <= FEW).collect()
     return sorted(got, key=lambda r: (r.h, r.lang, r.t))
 
 
