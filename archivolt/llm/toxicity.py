@@ -301,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column toxic_score (double) appended; one row per row, null and empty texts and repeated or null ids included."""
+    """docs with a column toxic_score (double; _2 added to its name as often as docs has it) appended; one row per row, null and empty texts and repeated or null ids included."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"_{k}" for k in range(len(docs.columns))]
     rows = docs.toDF(*names).withColumn("low", F.lower(F.coalesce(names[docs.columns.index("text")], F.lit(""))))
@@ -311,7 +311,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(shared.value.score(batch.column("low")))], names=[*names, "score"])
 
     kinds = ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes))
-    return rows.mapInArrow(run, f"{kinds}, score double").toDF(*docs.columns, "toxic_score")
+    last = "toxic_score"
+    while last in docs.columns:
+        last += "_2"
+    return rows.mapInArrow(run, f"{kinds}, score double").toDF(*docs.columns, last)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,4 +329,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents with a score of one half or more."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).filter("toxic_score < 0.5").select(*docs.columns)
+    scored = score(docs, model)
+    return scored.filter(F.col(scored.columns[-1]) < 0.5).select(*docs.columns)
