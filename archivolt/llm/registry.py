@@ -1,4 +1,4 @@
-"""Queries of the ten operators and of the pipeline, and their SQL where SQL can say it."""
+"""Queries of the thirteen operators and of the pipeline, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, language_id, line_dedup, media, ngram_join, packing, secrets, sentence_pieces, substring_dedup, toxicity
+from . import embedding_dedup, language_id, line_dedup, media, ngram_join, packing, quality, secrets, sentence_pieces, substring_dedup, toxicity
 
 
 def queries():
@@ -23,6 +23,7 @@ def queries():
         "op8_line_dedup": line_dedup.query,
         "op9_toxicity": toxicity.query,
         "op10_substring_dedup": substring_dedup.query,
+        "op11_quality_rules": quality.query,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -30,7 +31,7 @@ def queries():
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    own = {"op4_ngram_jaccard_join": JACCARD, "op10_substring_dedup": SUBSTRINGS, "op7_embedding_near_dedup": EMBEDDINGS}
+    own = {"op4_ngram_jaccard_join": JACCARD, "op10_substring_dedup": SUBSTRINGS, "op7_embedding_near_dedup": EMBEDDINGS, "op11_quality_rules": quality.SQL}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 
 
