@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, embedding_dedup, language_id, line_dedup, media, ngram_join, packing, quality, secrets, sentence_pieces, substring_dedup, toxicity
+from . import divergence, embedding_dedup, language_id, line_dedup, media, ngram_join, packing, quality, secrets, sentence_pieces, spelling, substring_dedup, toxicity
 
 
 def queries():
@@ -25,6 +25,7 @@ def queries():
         "op10_substring_dedup": substring_dedup.query,
         "op11_quality_rules": quality.query,
         "op12_source_divergence": divergence.query,
+        "op13_spelling_variants": spelling.query,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -32,7 +33,7 @@ def queries():
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    own = {"op4_ngram_jaccard_join": JACCARD, "op10_substring_dedup": SUBSTRINGS, "op7_embedding_near_dedup": EMBEDDINGS, "op11_quality_rules": quality.SQL, "op12_source_divergence": divergence.SQL}
+    own = {"op4_ngram_jaccard_join": JACCARD, "op10_substring_dedup": SUBSTRINGS, "op7_embedding_near_dedup": EMBEDDINGS, "op11_quality_rules": quality.SQL, "op12_source_divergence": divergence.SQL, "op13_spelling_variants": spelling.SQL}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 
 
