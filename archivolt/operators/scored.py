@@ -1,6 +1,7 @@
 """Archive fields by the place of their texts: every item of a document is scored, the best one wins. Aggregations only.
 
-items: id, page_index, page_total, y_ratio (0 top, 1 bottom of the page), x1, y1, text, kind. Each combines before the shuffle.
+items: id, page_index, page_total, y_ratio (0 top, 1 bottom of the page), x1, y1, text, kind, seq (number on its page). Each
+combines before the shuffle.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ DOC_NUMBERS = (
     r"([\x{4e00}-\x{9fa5}A-Za-z]{2,20}(?:字|发|函|办|通|报|党组|工)?(?:\[\d{4}\]|\(\d{4}\)|\d{4})\s*(?:第\s*)?\d+\s*号)",
     r"([\x{4e00}-\x{9fa5}A-Za-z]{2,20}(?:发|函|字|办)\s*(?:\[\d{4}\]|\(\d{4}\))\s*\d+\s*号)",
 )
-TITLE_KINDS = ("doc_title", "paragraph_title", "title")
+TITLE_KINDS = ("doc_title", "title", "paragraph_title", "content_title", "abstract_title", "reference_title")
 ISSUED, PERIOD = ("印发", "成文", "日期"), ("起", "截至", "会议", "活动", "培训", "实施")
+PAGE_HEAD = r"^---\s*第\s*\d+\s*页\s*---$"
 ENDS = r"^[ \t\r\n，。；;:：]+|[ \t\r\n，。；;:：]+$"
 
 
@@ -33,16 +35,24 @@ def search_text(c: Column) -> Column:
     return F.translate(clean_line(c), "〔〕（）【】", "[]()[]")
 
 
+def text_lines(text: Column) -> Column:
+    """The clean lines of a text without the heads of its pages."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), clean_line), lambda x: (x != "") & ~x.rlike(PAGE_HEAD))
+
+
 def doc_number(c: Column) -> Column:
     """C-22: the document number of a line with its year in one form of brackets; empty without any."""
     return F.translate(F.regexp_replace(first_match(search_text(c), DOC_NUMBERS, 1), r"\s+", ""), "[]()", "〔〕〔〕")
 
 
 def distinct_items(items: DataFrame, step: float = 12.0) -> DataFrame:
-    """C-21: of items of a page with one text and nearly one place the first, in the order of pages and places."""
-    place = F.struct("page_index", "y1", "x1")
-    near = [F.round(F.col(c) / step).alias(f"__{c}") for c in ("y1", "x1")]
-    rows = items.groupBy("id", "page_index", "text", *near).agg(F.min_by(F.struct(*items.columns), place).alias("r"))
+    """C-21: of items of a page with one text, white space aside, and nearly one place the first, from the top, regions before lines.
+
+    seq numbers the items of a page, regions first. Places are rounded half to even.
+    """
+    near = [F.bround(F.col(c) / step).alias(f"__{c}") for c in ("y1", "x1")]
+    bare = F.regexp_replace("text", r"\s+", "").alias("__text")
+    rows = items.groupBy("id", "page_index", bare, *near).agg(F.min_by(F.struct(*items.columns), F.struct("y1", "x1", "seq")).alias("r"))
     return rows.select("r.*")
 
 
@@ -72,14 +82,14 @@ def scored_fields(items: DataFrame) -> DataFrame:
     found = dates(search_text(F.col("text")))
     last = page == F.col("page_total") - 1
     of_date = _points((last, 4), (n <= 24, 2), (_has(F.col("text"), ISSUED), 4), (_has(F.col("text"), PERIOD), -4)) + F.when(y > 0.6, 10).when((page == 0) & (y < 0.35), 4).otherwise(0)
-    date = F.max_by(F.get(found, F.lit(0)), F.when(F.size(found) > 0, F.struct(of_date.alias("s"), "page_index", "y1", (-F.col("x1")).alias("x"))))
-    place = (page.cast("double"), F.col("y1").cast("double"), F.col("x1").cast("double"))
+    date = F.max_by(F.get(found, F.lit(0)), F.when(F.size(found) > 0, F.struct(of_date.alias("s"), "page_index", "y1", (-F.col("x1")).alias("x"), (-F.col("seq")).alias("k"))))
+    place = tuple(F.col(c).cast("double") for c in ("page_index", "y1", "x1", "seq"))
     return items.groupBy("id").agg(_first(number, of_number, *place).alias("doc_no"), date.alias("date"), _first(level, of_level, *place).alias("classification"))
 
 
 def with_fall_backs(fields: DataFrame, texts: DataFrame) -> DataFrame:
-    """C-20 in part: fields that no item gives, from the text (id, full_text): a number in its first 12 lines, any date, a level in its first 600 characters."""
-    lines = F.filter(F.transform(F.split(F.coalesce("full_text", F.lit("")), "\n"), clean_line), lambda x: x != "")
+    """Fields that no item gives, from the text (id, full_text): a number in its first 12 lines, any date, a level in its first 600 characters."""
+    lines = text_lines(F.col("full_text"))
     number = F.get(F.filter(F.transform(F.slice(lines, 1, 12), doc_number), lambda x: x != ""), F.lit(0))
     date = F.get(dates(F.array_join(F.transform(lines, search_text), "\n")), F.lit(0))
     level = F.nullif(F.regexp_extract(F.left(search_text(F.col("full_text")), F.lit(600)), CLASSIFICATION, 0), F.lit(""))

@@ -11,7 +11,7 @@ from archivolt.streaming import subscriptions as u
 
 # SQL of both engines: the text, page and place of the k-th item of a task.
 SAID = "CASE (id + k * 5) % 9 WHEN 0 THEN concat(' 渝人社发〔2015〕', id, ' 号。') WHEN 1 THEN concat('日期：2016年', 1 + id % 12, '月5日') WHEN 2 THEN '会议 2017/3/09' WHEN 3 THEN '机密' WHEN 4 THEN '内部 资料 一二三四五六七八九' WHEN 5 THEN concat('市府函(2018)', k, '号') WHEN 6 THEN '2019.13.4' WHEN 7 THEN batch_id ELSE '公开' END"
-ITEM = (SAID + " AS text", "CAST(k % 3 AS INT) AS page_index", "3 AS page_total", "(id * 7 + k * 31) % 100 / 100.0{d} AS y_ratio", "CAST((id * 7 + k * 31) % 100 * 10 AS DOUBLE) AS y1", "CAST(k * 10 AS DOUBLE) AS x1", "CASE WHEN k = 2 THEN 'doc_title' ELSE 'text' END AS kind")
+ITEM = (SAID + " AS text", "CAST(k % 3 AS INT) AS page_index", "3 AS page_total", "(id * 7 + k * 31) % 100 / 100.0{d} AS y_ratio", "CAST((id * 7 + k * 31) % 100 * 10 AS DOUBLE) AS y1", "CAST(k * 10 AS DOUBLE) AS x1", "CASE WHEN k = 2 THEN 'doc_title' ELSE 'text' END AS kind", "CAST(k AS INT) AS seq")
 
 
 def _items(s, d):
@@ -23,12 +23,6 @@ def numbers(s, d):
     return _items(s, d).select("id", F.col("x1").alias("k"), scored.doc_number(F.col("text")).alias("doc_no"))
 
 
-def kept_items(s, d):
-    i = _items(s, d)
-    twice = i.unionByName(i.withColumn("y1", F.col("y1") + 1.0).withColumn("x1", F.col("x1") + 1.0))
-    return scored.distinct_items(twice).groupBy("id").agg(F.count("*").alias("n"), F.sum("x1").alias("x"))
-
-
 def fields(s, d):
     return scored.with_fall_backs(scored.scored_fields(_items(s, d)), tasks(s, d).select("id", "full_text"))
 
@@ -103,7 +97,6 @@ SELECT id, coalesce(doc_no, '') AS doc_no, coalesce(date, '') AS date, coalesce(
 
 QUERIES = {
     "C-22_doc_numbers": (numbers, f"SELECT id, x1 AS k, {_NUMBER('text')} AS doc_no FROM {_I}"),
-    "C-21_distinct_items": (kept_items, f"WITH t AS (SELECT * FROM {_I} UNION ALL SELECT * REPLACE (x1 + 1 AS x1, y1 + 1 AS y1) FROM {_I}), k AS (SELECT *, row_number() OVER (PARTITION BY id, page_index, text, round(y1 / 12.0::DOUBLE), round(x1 / 12.0::DOUBLE) ORDER BY y1, x1) AS r FROM t) SELECT id, count(*) AS n, sum(x1) AS x FROM k WHERE r = 1 GROUP BY id"),
     "C-20_C-27_C-28_C-29_scored_fields": (fields, FIELDS_SQL),
     "J-22_K-09_notified": (notified, "WITH s AS (SELECT c_custkey AS c, c_custkey % 3 AS m FROM customer WHERE c_custkey % 3 < 2 OR c_custkey < 6) SELECT c AS subscriber, doc_id AS task_id, source AS batch_id FROM s JOIN documents ON CASE m WHEN 0 THEN doc_id IN (c, c + 1) WHEN 1 THEN source = 'src' || (c % 20) ELSE TRUE END"),
     "R-07_R-08_K-11_valid": (valid, "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-09 23:00:00'"),
