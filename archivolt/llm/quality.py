@@ -99,10 +99,11 @@ def judged(docs: DataFrame, host: str = "source") -> DataFrame:
     rows = measured(docs.select(*dict.fromkeys(("doc_id", "text", host))), host)
     rows = table(rows.select("*", *(F.expr(how).alias(r) for r, how in RULES.items())))
     rates = host_rates(rows)
-    hosts = rates.groupBy("host").agg(
+    # written, so that Spark knows its size and can split a host of most rows between tasks of the join
+    hosts = table(rates.groupBy("host").agg(
         F.bool_or(F.col("rule").isin(*BASE) & (F.col("shrunk") >= HOST_LIMIT)).alias("__rejected"),
         *(F.bool_or((F.col("rule") == r) & (F.col("shrunk") >= HABIT_LIMIT)).alias(f"__habit_{r}") for r in SOFT),
-    )
+    ))
     both = rows.join(hosts, "host", "left")
     base = F.col(BASE[0]) | F.col(BASE[1])
     habit = F.lit(False)
