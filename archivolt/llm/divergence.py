@@ -18,7 +18,7 @@ from .common import table
 TERM, LEAST_DOCUMENTS, SCALE, SHOWN = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", 3, 1_000_000_000, 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Entries of the count matrix that one task holds.
-CELLS = 1 << 21
+CELLS = 1 << 17
 
 
 def counted(docs: DataFrame) -> DataFrame:
