@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions import text as x
-from archivolt.operators.retrieval import gestalt
+from archivolt.functions.blocks import gestalt
 from archivolt.operators.sequences import smoothed
 
 # Thresholds of a score, families whose pages continue, and the longest segment.

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from archivolt.functions.blocks import gestalt
 from archivolt.functions.text import chunks, coerced, tokens, word_characters
 from archivolt.operators.columns import FIELDS
 
 
-#: Fixed value: of how many of the newest records a lexical search reads.
-NEWEST = 25000
+# A lexical search for k records reads the newest 25 k of them, 100 at least.
+NEWEST_EACH, NEWEST_LEAST = 25, 100
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -33,28 +33,22 @@ def overlap(text: Column, query: str) -> Column:
     return F.size(F.array_intersect(tokens(text), F.array(*map(F.lit, wanted)))) / max(len(wanted), 1)
 
 
-def gestalt(a: Column, b: Column) -> Column:
-    """C-13: the matching-blocks ratio of two texts; the order of the arguments matters."""
+def lexical(rows: DataFrame, key: str, text: str, query: str, k: int, time: str | None = None, batch: str | None = None, exclude: str = "", fuzzy: bool = True) -> DataFrame:
+    """T-05 (A.7): k records by 0.7 of the token overlap and 0.3 of the matching-blocks ratio of the query and the text; none without score.
 
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series([SequenceMatcher(None, i or "", j or "").ratio() if i and j else 0.0 for i, j in zip(x, y)], dtype="float64")
-
-    return ratio(a, b)
-
-
-def lexical(rows: DataFrame, key: str, text: str, query: str, k: int, fuzzy: bool = True, newest: int = NEWEST) -> DataFrame:
-    """T-05 (A.7): of the newest records (greatest keys) by 0.7 of the token overlap and 0.3 of the matching-blocks ratio; none without score.
-
-    The cut to the newest records is the operator's own, so that a query reads no more however large the table is.
+    Only the newest NEWEST_EACH * k records are looked at (by `time`, then key; 100 at least), of other batches than
+    `exclude`; records without a batch stay. The cut is the operator's own, so that a query reads no more however large
+    the table is; each task keeps that many rows. Blank texts have no score; ties go to the greater key.
     """
-    rows = rows.orderBy(F.desc(key)).limit(max(newest, 100))
+    if exclude and batch:
+        rows = rows.filter(F.col(batch).isNull() | (F.col(batch) != exclude))
+    rows = rows.orderBy(F.desc(time or key), F.desc(key)).limit(max(NEWEST_EACH * k, NEWEST_LEAST))
     score = overlap(F.col(text), query) * 0.7
     if fuzzy:
         score = score + gestalt(F.lit(query.lower()), F.lower(text)) * 0.3
-    return rows.select(key, F.round(score, 6).alias("score")).filter("score > 0").orderBy(F.desc("score"), F.desc(key)).limit(k)
+    score = F.when(F.size(tokens(F.lit(query))) > 0, F.round(score, 6)).otherwise(0.0)
+    rows = rows.filter(coerced(F.col(text)) != "").select(key, score.alias("score"))
+    return rows.filter("score > 0").orderBy(F.desc("score"), F.desc(key)).limit(k)
 
 
 def term_weight(term: str) -> float:
@@ -136,11 +130,11 @@ def salvaged(text: Column) -> Column:
     return F.when(F.from_json(found, "map<string, string>").isNotNull() & (found != ""), found)
 
 
-def search(rows: DataFrame, key: str, vector: str, text: str, query: list[float] | None, question: str, k: int) -> DataFrame:
-    """G-20: the nearest records; without a query vector, the best by words. source says which."""
+def search(rows: DataFrame, key: str, vector: str, text: str, query: list[float] | None, question: str, k: int, **cut) -> DataFrame:
+    """G-20: the nearest records; without a query vector, the best by words (`cut`: time, batch and exclude of lexical). source says which."""
     if query is not None:
         return nearest(rows, key, vector, query, k).withColumn("source", F.lit("vector"))
-    return lexical(rows, key, text, question, k, fuzzy=False).withColumn("source", F.lit("lexical"))
+    return lexical(rows, key, text, question, k, **cut).withColumn("source", F.lit("lexical"))
 
 
 def samples(rows: DataFrame, group: str, order: str, most: int = 12) -> DataFrame:

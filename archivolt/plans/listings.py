@@ -222,11 +222,6 @@ def samples(s, d):
     return retrieval.samples(tasks(s, d).select("batch_id", "id"), "batch_id", "id", 12)
 
 
-def searched(s, d):
-    rows = read(s, d, "benchmark").select("item_id", "text", F.lit(None).cast("array<float>").alias("v"))
-    return retrieval.search(rows, "item_id", "v", "text", None, "that erblest the her", 7)
-
-
 def masks(s, d):
     return tasks(s, d).select("id", x.masked(F.expr("CASE id % 4 WHEN 0 THEN ' ' WHEN 1 THEN lang WHEN 2 THEN file_path END")).alias("masked"), x.region_type(F.expr("CASE id % 5 WHEN 0 THEN ' Table_Body ' WHEN 1 THEN 'Red-Stamp' WHEN 2 THEN ' ' WHEN 3 THEN 'Title' END"), F.col("id") % 11 == 0).alias("region"), x.foreign_region(F.expr("CASE id % 3 WHEN 0 THEN 'Title' WHEN 1 THEN 'footer_image' ELSE 'abstract' END")).alias("foreign_region"))
 
@@ -323,7 +318,6 @@ QUERIES = {
     "C-37_citations": (cited, f"SELECT id, array_to_string(list_filter([id % 9] || CASE WHEN id % 9 <> 2 THEN [2] ELSE [] END || CASE WHEN id % 9 <> 3 THEN [3] ELSE [] END || CASE WHEN id % 4 NOT IN (2, 3) AND id % 4 <> id % 9 THEN [id % 4] ELSE [] END, lambda v: v BETWEEN 1 AND id % 6), ',') AS citations FROM {TASKS}"),
     "C-36_C-38_model_output": (outputs, f"SELECT id, lang AS title, CAST(id AS VARCHAR) AS pages, '' AS remarks, 'e' AS evidence_title FROM {TASKS}"),
     "T-11_samples": (samples, f"SELECT batch_id, id FROM (SELECT batch_id, id, row_number() OVER (PARTITION BY batch_id ORDER BY id) AS k FROM {TASKS}) WHERE k <= 12"),
-    "G-20_search": (searched, "SELECT item_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['that', 'erblest', 'the', 'her'])) / 4 * 0.7::DOUBLE, 6) AS score, 'lexical' AS source FROM benchmark WHERE score > 0 ORDER BY score DESC, item_id DESC LIMIT 7"),
     "C-54_C-62_regions_masks": (masks, f"SELECT id, CASE id % 4 WHEN 1 THEN repeat('*', least(8, length(lang))) WHEN 2 THEN CASE WHEN length(file_path) <= 14 THEN '********' ELSE left(file_path, 8) || '...' || right(file_path, 6) END ELSE '<empty>' END AS masked, CASE WHEN id % 11 = 0 OR id % 5 = 0 THEN 'table' WHEN id % 5 = 1 THEN 'seal' WHEN id % 5 = 3 THEN 'title' ELSE 'text' END AS region, CASE id % 3 WHEN 0 THEN 'paragraph_title' WHEN 1 THEN 'image' ELSE 'text' END AS foreign_region FROM {TASKS}"),
     "C-09_families": (families, f"SELECT id, coalesce(nullif({_FAMILY(HEAD)}, ''), {_FAMILY('left(b, 2000)')}) AS family FROM (SELECT id, CASE WHEN id % 16 > 7 THEN trim(concat(full_text, '目录'), ' ' || chr(10) || chr(9) || chr(13)) ELSE concat('目录', full_text) END AS b FROM {TASKS})"),
     "J-13a_C-14_region_lines": (region_lines, f"""WITH a AS (SELECT *, CASE WHEN content = text THEN 1.0 WHEN contains(content, text) OR contains(text, content) THEN 0.92 ELSE 0.0 END AS lik FROM {_NEAR}), b AS (SELECT *, bool_or(lik >= 0.72) OVER w AS m, bool_or(share >= 0.45) OVER w AS s FROM a WINDOW w AS (PARTITION BY page_id, region_id)),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from archivolt.functions.blocks import ratio_sql
 from archivolt.operators import graph, retrieval
 from archivolt.operators import sequences as q
 from archivolt.plans.data import PAGES, TASKS, pages, read, tasks
@@ -12,6 +13,7 @@ from archivolt.plans.texts import QUERIES as TEXTS
 
 SCORES = "id * 37 % 100 / 100.0"
 TRUTH = "CASE WHEN id % 5 = 0 THEN '' ELSE concat('doc', CAST(floor(id / 4) AS INT)) END"
+RECORD, TIME = "CASE WHEN id % 9 = 0 THEN ' ' ELSE coalesce(full_text, '') END", "id * 7919 % 1000"
 QUESTION = "token secret 2024 license"
 
 
@@ -100,12 +102,25 @@ def nearest(s, d):
     return retrieval.nearest(e, "vec_id", "embedding", first, 10)
 
 
+QUERY = "That erblest, the her!"
+
+
+def _records(s, d):
+    """Documents as records: the newest by time and id, in batches, some in none and some blank."""
+    return tasks(s, d).selectExpr("id", "CASE WHEN id % 7 > 0 THEN batch_id END AS batch_id", f"{RECORD} AS text", f"{TIME} AS created_at")
+
+
 def lexical(s, d):
-    return retrieval.lexical(read(s, d, "benchmark"), "item_id", "text", "that erblest the her", 10, fuzzy=False)
+    return retrieval.lexical(_records(s, d), "id", "text", QUERY, 10, "created_at", "batch_id", "src1", fuzzy=False)
 
 
 def fuzzy(s, d):
-    return retrieval.lexical(read(s, d, "benchmark"), "item_id", "text", "that erblest the her", 10)
+    return retrieval.lexical(_records(s, d), "id", "text", QUERY, 10, "created_at", "batch_id", "src1")
+
+
+def searched(s, d):
+    rows = _records(s, d).withColumn("v", F.lit(None).cast("array<float>"))
+    return retrieval.search(rows, "id", "v", "text", None, QUERY, 3, time="created_at", batch="batch_id", exclude="src3")
 
 
 def evidence(s, d):
@@ -157,6 +172,11 @@ _HITS = lambda c: " + ".join(f"contains({c}, '{t}')::INT" for t in _TERMS)  # no
 _WEIGHT = lambda c: "(" + " + ".join(f"CASE WHEN contains({c}, '{t}') THEN {retrieval.term_weight(t)}::DOUBLE ELSE 0.0::DOUBLE END" for t in _TERMS) + f") / {_TOTAL}::DOUBLE"
 _PHRASE = " OR ".join(f"contains(t, '{t}')" for t in ["".join(QUESTION.split()), *(t for t in _TERMS if len(t) >= 4)])
 
+_TOKENS = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[a-z0-9\\x{{4e00}}-\\x{{9fff}}]+'))"
+_LEXICAL = lambda k, batch: f"""n AS (SELECT * FROM (SELECT id, CASE WHEN id % 7 > 0 THEN batch_id END AS batch_id, {RECORD} AS text, {TIME} AS created_at FROM {TASKS}) WHERE batch_id IS NULL OR batch_id <> '{batch}' ORDER BY created_at DESC, id DESC LIMIT {max(25 * k, 100)}),
+  o AS (SELECT *, len(list_intersect({_TOKENS('text')}, {_TOKENS(f"'{QUERY}'")})) / len({_TOKENS(f"'{QUERY}'")}) AS o FROM n WHERE trim(text) <> '')"""
+_SCORED = f"""q AS (SELECT id AS p, lower('{QUERY}') AS a, lower(text) AS b FROM o), {ratio_sql('q')}, z AS (SELECT id, round(o * 0.7::DOUBLE + ratio * 0.3::DOUBLE, 6) AS score FROM o JOIN ratios ON p = id)"""
+
 QUERIES = {
     "W-13_adjacent_similarity": (similarity, rf"WITH t AS (SELECT batch_id, id, length(full_text) AS n, regexp_replace(full_text, '[ \n\r\t]', '', 'g') AS x FROM {PAGES}), g AS (SELECT batch_id, id, n, {_CHARS('x')} AS g FROM t), p AS (SELECT batch_id, id AS left_id, lead(id) OVER w AS right_id, n AS na, lead(n) OVER w AS nb, g AS a, lead(g) OVER w AS b FROM g WINDOW w AS (PARTITION BY batch_id ORDER BY id)), s AS (SELECT *, CASE WHEN na < 10 OR nb < 10 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END AS s FROM p WHERE right_id IS NOT NULL) SELECT batch_id, left_id, right_id, round(s, 4) AS similarity, s > 0.08 AS linked FROM s"),
     "W-02_smoothing": (smooth, f"WITH s AS (SELECT batch_id, id, CASE WHEN id % 5 < 3 THEN 0.9::DOUBLE ELSE 0.1::DOUBLE * (id % 7) END AS score, CASE WHEN id % 11 = 0 THEN 'drawing' ELSE 'contract' END AS l, CASE WHEN id % 13 = 0 THEN '' ELSE 'contract' END AS r FROM {PAGES}), n AS (SELECT *, lag(score) OVER w AS b, lead(score) OVER w AS a, lag(l) OVER w AS f FROM s WINDOW w AS (PARTITION BY batch_id ORDER BY id)) SELECT batch_id, id, CASE WHEN score < 0.58 AND b >= 0.78 AND a >= 0.78 AND f = l AND l = r AND id % 17 <> 0 THEN round(least(0.79::DOUBLE, score + 0.16::DOUBLE), 4) ELSE score END AS smoothed FROM n"),
@@ -176,8 +196,9 @@ QUERIES = {
     "G-01_components": (linked, "WITH RECURSIVE p AS (SELECT o_orderkey AS a, -o_custkey AS b FROM orders UNION SELECT -c_custkey, -(c_custkey // 5 * 5) FROM customer), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), c(id, m) AS (SELECT a, a FROM e UNION SELECT e.b, c.m FROM c JOIN e ON e.a = c.id WHERE c.m < e.b) SELECT id, min(m) AS component FROM c GROUP BY id"),
     "X-as_of_join": (as_of, "SELECT l.event_id AS id, r.value FROM (SELECT * FROM events WHERE event_id % 10 = 0) l ASOF LEFT JOIN (SELECT * FROM events WHERE event_id % 10 <> 0) r ON l.user_id = r.user_id AND l.ts >= r.ts"),
     "T-04_vector_topk": (nearest, "WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 4) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10"),
-    "T-05_U-02_lexical_overlap": (lexical, "SELECT item_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['that', 'erblest', 'the', 'her'])) / 4 * 0.7::DOUBLE, 6) AS score FROM benchmark WHERE score > 0 ORDER BY score DESC, item_id DESC LIMIT 10"),
-    "T-05_fuzzy": (fuzzy, None),
+    "T-05_U-02_lexical_overlap": (lexical, f"WITH {_LEXICAL(10, 'src1')} SELECT id, round(o * 0.7::DOUBLE, 6) AS score FROM o WHERE o > 0 ORDER BY score DESC, id DESC LIMIT 10"),
+    "T-05_fuzzy": (fuzzy, f"WITH RECURSIVE {_LEXICAL(10, 'src1')}, {_SCORED} SELECT id, score FROM z WHERE score > 0 ORDER BY score DESC, id DESC LIMIT 10"),
+    "G-20_search": (searched, f"WITH RECURSIVE {_LEXICAL(3, 'src3')}, {_SCORED} SELECT id, score, 'lexical' AS source FROM z WHERE score > 0 ORDER BY score DESC, id DESC LIMIT 3"),
     "G-18_C-43_T-06_W-05_evidence": (evidence, rf"WITH c AS (SELECT k.id, pos, lower(regexp_replace(chunk, '[^\p{{L}}\p{{N}}_]+', '', 'g')) AS t, lang AS m FROM ({_CHUNKS}) k JOIN documents ON doc_id = k.id), s AS (SELECT id, pos AS chunk_index, {_HITS('t')} AS keyword_hits, ({_PHRASE})::INT AS phrase_hit, {_HITS('m')} AS metadata_hits, CASE WHEN t = '' THEN 0 ELSE round(least(1.0::DOUBLE, {_WEIGHT('t')} * 0.55::DOUBLE + ({_PHRASE})::INT * 0.25::DOUBLE + {_WEIGHT('m')} * 0.2::DOUBLE), 6) END AS score FROM c), r AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY id ORDER BY score DESC, phrase_hit DESC, keyword_hits DESC, metadata_hits DESC, chunk_index) <= 2 THEN 0 ELSE 1 END AS tier FROM s WHERE score > 0) SELECT id, chunk_index, score, keyword_hits, phrase_hit, metadata_hits, tier FROM r ORDER BY tier, score DESC, phrase_hit DESC, keyword_hits DESC, metadata_hits DESC, id, chunk_index LIMIT 8"),
     "T-01_task_page": (page_of_tasks, f"SELECT id, file_path FROM {TASKS} WHERE starts_with(file_path, '/in/src1') ORDER BY id DESC LIMIT 20 OFFSET 5"),
     "T-03_history_page": (history, "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k BETWEEN 2 AND 3"),
