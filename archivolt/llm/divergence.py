@@ -87,7 +87,8 @@ def pairs(distinct: DataFrame, of: DataFrame) -> DataFrame:
     """
     width = of.groupBy("lang").agg(F.count("*").alias("k"))
     deal = width.join(distinct.groupBy("lang").agg(F.count("*").alias("d")), "lang", "left")
-    deal = deal.select("lang", F.greatest(F.lit(1), F.ceil(F.coalesce("d", F.lit(0)) * F.col("k") / CELLS)).cast("int").alias("blocks"))
+    # written, so that Spark knows its size and can split a language of most rows between tasks of the joins
+    deal = table(deal.select("lang", F.greatest(F.lit(1), F.ceil(F.coalesce("d", F.lit(0)) * F.col("k") / CELLS)).cast("int").alias("blocks")))
     left = distinct.join(deal, "lang").select("lang", F.pmod(F.xxhash64("vector"), F.col("blocks")).cast("int").alias("block"), "vector", "times")
     right = of.join(deal, "lang").select("lang", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "source", "base")
     each = left.groupBy("lang", "block").cogroup(right.groupBy("lang", "block")).applyInArrow(_pairs, "lang string, source string, item string, value long")
