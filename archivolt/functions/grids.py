@@ -87,21 +87,38 @@ def table_rows(c: Column) -> Column:
     return F.when(is_html_table(c), with_content(html_rows(c))).otherwise(F.coalesce(with_content(markdown_rows(c)), plain_rows(c)))
 
 
+def _bar_lines(c: Column) -> Column:
+    return F.filter(F.transform(F.split(coerced(c), "\r\n|[\n\r]"), coerced), lambda x: F.contains(x, F.lit("|")))
+
+
+def _divides(x: Column) -> Column:
+    return x.rlike(r"^[|\s\-:]+$")
+
+
+def _bar_cells(x: Column) -> Column:
+    """The cells between the bars of a line; a blank one before the first or after the last bar is none."""
+    cells = F.transform(F.split(x, r"\|"), coerced)
+    return F.filter(cells, lambda y, k: ~((y == "") & ((k == 0) | (k == F.size(F.split(x, r"\|")) - 1))))
+
+
+def bar_rows(c: Column) -> Column:
+    """The cells of all lines with bars but dividers; one blank cell without any."""
+    rows = F.filter(F.transform(F.filter(_bar_lines(c), lambda x: ~_divides(x)), _bar_cells), lambda r: F.size(r) > 0)
+    return F.when(F.size(rows) > 0, rows).otherwise(F.array(F.array(F.lit(""))))
+
+
 def markdown_html(c: Column) -> Column:
     """C-33: a Markdown table as HTML, lines before the divider as heads; empty without rows."""
-    lines = F.filter(F.transform(F.split(coerced(c), "\r\n|[\n\r]"), coerced), lambda x: F.contains(x, F.lit("|")))
-    divides = lambda x: x.rlike(r"^[|\s\-:]+$")
-    first = F.array_position(F.transform(lines, lambda x: divides(x).cast("int")), 1)
+    lines = _bar_lines(c)
+    first = F.array_position(F.transform(lines, lambda x: _divides(x).cast("int")), 1)
 
     def row(x: Column, i: Column) -> Column:
-        cells = F.transform(F.split(x, r"\|"), coerced)
-        cells = F.filter(cells, lambda y, k: ~((y == "") & ((k == 0) | (k == F.size(cells) - 1))))
         tag = F.when((first > 0) & (i >= first), "td").otherwise("th")
-        inside = F.array_join(F.transform(cells, lambda y: F.concat(F.lit("<"), tag, F.lit(">"), y, F.lit("</"), tag, F.lit(">"))), "")
-        return F.when(~divides(x) & (F.size(cells) > 0), F.concat(F.lit("<tr>"), inside, F.lit("</tr>")))
+        inside = F.array_join(F.transform(_bar_cells(x), lambda y: F.concat(F.lit("<"), tag, F.lit(">"), y, F.lit("</"), tag, F.lit(">"))), "")
+        return F.when(~_divides(x) & (F.size(_bar_cells(x)) > 0), F.concat(F.lit("<tr>"), inside, F.lit("</tr>")))
 
     rows = F.filter(F.transform(lines, row), lambda x: x.isNotNull())
     return F.when(F.size(rows) > 0, F.concat(F.lit("<table>"), F.array_join(rows, ""), F.lit("</table>"))).otherwise("")
 
 
-__all__ = ["html_rows", "is_html_table", "markdown_html", "plain_rows", "table_rows", "table_text", "with_content"]
+__all__ = ["bar_rows", "html_rows", "is_html_table", "markdown_html", "plain_rows", "table_rows", "table_text", "with_content"]

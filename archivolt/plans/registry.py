@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from archivolt.operators import columns as c
 from archivolt.operators import listing
 from archivolt.operators import tables as t
-from archivolt.plans import archive, boundaries, callbacks, fingerprints, grids, layouts, listings, readings, reviews, rollups, sequences, services, shapes, texts
+from archivolt.plans import archive, boundaries, callbacks, fingerprints, grids, layouts, listings, readers, readings, reviews, rollups, sequences, services, shapes, texts
 from archivolt.plans.data import TASKS
 from archivolt.plans.data import read as _read
 from archivolt.plans.data import tasks as _tasks
@@ -148,7 +148,7 @@ ALL: dict[str, tuple[Callable, str]] = {
     "A-batch_rollup": (_rollup, f"SELECT batch_id, count(*) AS tasks, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) FILTER (lang = 'en') AS english FROM {TASKS} GROUP BY batch_id"),
 }
 
-ALL |= texts.QUERIES | rollups.QUERIES | sequences.QUERIES | boundaries.QUERIES | reviews.QUERIES | listings.QUERIES | services.QUERIES | archive.QUERIES | grids.QUERIES | shapes.QUERIES | layouts.QUERIES | callbacks.QUERIES | fingerprints.QUERIES | readings.QUERIES
+ALL |= texts.QUERIES | rollups.QUERIES | sequences.QUERIES | boundaries.QUERIES | reviews.QUERIES | listings.QUERIES | services.QUERIES | archive.QUERIES | grids.QUERIES | shapes.QUERIES | layouts.QUERIES | callbacks.QUERIES | fingerprints.QUERIES | readings.QUERIES | readers.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
