@@ -1,15 +1,20 @@
-"""Which candidates of a batch are one document: candidate pairs by shared keys, the rule ladder, and the merge.
+"""Which candidates of a batch are one document: the candidate pairs that a rule can decide, the rule ladder, and the merge.
 
-Not all pairs of a batch are made. A rule says yes or undecided only for two that are near in the batch's order or share a
-document number, a page sequence, a file series, a title or a date with its responsible party; these keys make the pairs.
-Within a key each candidate meets the first and the one before, so a key that most of a batch shares stays linear.
+A rule says yes, or asks, only for two that are near in the batch's order, near in a page sequence or a file series, share a
+document number, a boundary group or a title with its date or party, or have titles that are alike. Pairs that may be asked are
+made in full. What shares a number, a group, or a title and date is one by the rule itself, so each meets only the first and the
+last of its key: yes-links connect.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from archivolt.functions.blocks import gestalt
+from archivolt.operators.graph import _written as written
 from archivolt.operators.graph import components
 from archivolt.operators.listing import candidate_order
 
@@ -17,6 +22,8 @@ from archivolt.operators.listing import candidate_order
 TITLE_STRONG, TITLE_HINT, TITLE_FAR, FILENAME_HINT = 0.97, 0.62, 0.35, 0.78
 ACCEPT, ACCEPT_ADJACENT, ACCEPT_SERIES = 0.90, 0.82, 0.84
 SERIES_DISTANCE, NEAR_DISTANCE = 2, 1
+# Likeness of titles, and of file names beside them, from which on two that are not near are asked about.
+ALIKE, ALIKE_FILES = 0.9, 0.7
 MULTI_LAYOUT = ("budget", "contract", "minutes")
 COLUMNS = ("id", "idx", "doc_no_norm", "doc_no_prefix", "title_norm", "filename_norm", "date_norm", "responsible_norm", "series_key", "sequence", "visual_prefix", "visual_page_no", "family", "boundary_group", "boundary_confidence")
 
@@ -34,28 +41,64 @@ def _known(*names: str) -> Column:
     return out
 
 
+def title_keys(title: Column) -> Column:
+    """Keys of which two titles of a ratio of ALIKE or more share one: the first of their pairs of characters in the order of a hash.
+
+    Such titles are 0.1 of both lengths apart at most, an edit changes two pairs, so they share at least 0.6 of a title's
+    length less one of its pairs; the rest and one more are enough to meet. A title of one character is its own key.
+    """
+    n = F.length(title)
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: F.substring(title, i, F.lit(2)))
+    counted = F.transform(grams, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(grams, F.lit(1), i), lambda h: h == g)).cast("string")))
+    ranked = F.array_sort(F.transform(counted, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
+    most = n - 1 - F.greatest(F.lit(1), F.ceil(n * (2 * ALIKE - 1.2) - 1).cast("int")) + 1
+    return F.transform(F.slice(ranked, F.lit(1), F.greatest(F.lit(1), most)), lambda x: x["g"])
+
+
+def _within(rows: DataFrame, kind: str, test: Column, number: str, far: int, *parts: str) -> tuple[DataFrame, DataFrame]:
+    """Two sides whose keys meet if parts are equal and the numbers are at most `far` apart."""
+    key = lambda n: F.concat_ws("\x1f", F.lit(kind), *(F.col(f"r.{p}").cast("string") for p in parts), n.cast("string"))
+    own = rows.filter(test)
+    moved = own.select("batch_id", F.col("r").alias("o"), F.explode(F.array(*(F.lit(d) for d in range(-far, far + 1)))).alias("d"))
+    moved = moved.select("batch_id", "o", F.concat_ws("\x1f", F.lit(kind), *(F.col(f"o.{p}").cast("string") for p in parts), (F.col(f"o.{number}") + F.col("d")).cast("string")).alias("key"))
+    return own.select("batch_id", "r", key(F.col(f"r.{number}")).alias("key")), moved
+
+
 def candidate_pairs(candidates: DataFrame) -> DataFrame:
-    """J-06: (batch_id, l, r): pairs of rows, l before r, that share a key. l and r are structs of COLUMNS."""
-    key = lambda kind, test, *parts: F.when(test, F.concat_ws("\x1f", F.lit(kind), *(F.col(p).cast("string") for p in parts)))
-    near = F.floor((F.col("idx") - 1) / (NEAR_DISTANCE + 1)).cast("string")
-    after = F.floor(F.col("idx") / (NEAR_DISTANCE + 1)).cast("string")
-    keys = [
-        F.concat(F.lit("a\x1f"), near),
-        F.concat(F.lit("b\x1f"), after),
-        key("doc", _known("doc_no_norm"), "doc_no_norm"),
-        key("prefix", _known("doc_no_prefix"), "doc_no_prefix"),
-        key("title", _known("title_norm"), "title_norm"),
-        key("date", _known("date_norm", "responsible_norm"), "date_norm", "responsible_norm"),
-        key("pages", _known("visual_prefix", "visual_page_no"), "visual_prefix"),
-        key("series", _known("series_key", "sequence"), "series_key"),
-        key("group", _known("boundary_group"), "boundary_group"),
-    ]
-    rows = candidates.select("batch_id", F.struct(*COLUMNS).alias("r"), F.explode(F.array_compact(F.array(*keys))).alias("key"))
-    w = Window.partitionBy("batch_id", "key").orderBy(F.coalesce("r.visual_page_no", "r.sequence", F.lit(0)), "r.idx")
-    rows = rows.withColumn("before", F.lag("r").over(w)).withColumn("first", F.first("r").over(w))
-    pairs = rows.select("batch_id", "r", F.explode(F.array_distinct(F.array("before", "first"))).alias("o")).filter(F.col("o").isNotNull() & (F.col("o.id") != F.col("r.id")))
+    """J-06: (batch_id, l, r): the pairs, l before r, that a rule may link or ask about; l and r are structs of COLUMNS.
+
+    Left out are pairs that every rule refuses, and yes-pairs whose two are linked through the first or last of their key.
+    A row whose file series lies within SERIES_DISTANCE of both of these, with other numbers, is asked about and not linked.
+    """
+    known = lambda *names: reduce(lambda a, n: a & (F.coalesce(F.col(f"r.{n}").cast("string"), F.lit("")) != ""), names, F.lit(True))
+    rows = candidates.select("batch_id", F.struct(*COLUMNS).alias("r"))
+    near = [
+        _within(rows, "near", F.lit(True), "idx", SERIES_DISTANCE), _within(rows, "pages", known("visual_prefix", "visual_page_no"), "visual_page_no", SERIES_DISTANCE, "visual_prefix"),
+        _within(rows, "series", known("series_key", "sequence"), "sequence", SERIES_DISTANCE, "series_key"),
+    ]
+    left, right = (reduce(DataFrame.unionByName, side) for side in zip(*near))
+    found = left.join(right, ["batch_id", "key"]).filter(F.col("r.idx") > F.col("o.idx")).select("batch_id", F.col("o").alias("l"), "r")
+
+    key = lambda kind, *parts: F.when(known(*parts), F.concat_ws("\x1f", F.lit(kind), *(F.col(f"r.{p}") for p in parts)))
+    keys = F.array_compact(F.array(key("group", "boundary_group"), key("doc", "doc_no_norm"), key("date", "title_norm", "date_norm"), key("party", "title_norm", "responsible_norm")))
+    held = rows.select("batch_id", "r", F.explode(keys).alias("key"))
+    # two numbers refuse what a title and date would link, so titles are held by rows without a number
+    holds = F.col("key").rlike("^(?:group|doc)\x1f") | ~known("doc_no_norm")
+    ends = written(held.filter(holds).groupBy("batch_id", "key").agg(F.min_by("r", "r.idx").alias("a"), F.max_by("r", "r.idx").alias("b")))
+    held = held.join(ends, ["batch_id", "key"]).select("batch_id", "r", F.explode(F.array("a", "b")).alias("o")).filter(F.col("o.id") != F.col("r.id"))
     swap = F.col("o.idx") < F.col("r.idx")
-    return pairs.select("batch_id", F.when(swap, F.col("o")).otherwise(F.col("r")).alias("l"), F.when(swap, F.col("r")).otherwise(F.col("o")).alias("r")).dropDuplicates(["batch_id", "l", "r"])
+    found = found.unionByName(held.select("batch_id", F.when(swap, F.col("o")).otherwise(F.col("r")).alias("l"), F.when(swap, F.col("r")).otherwise(F.col("o")).alias("r")))
+
+    titled = rows.filter(known("title_norm")).select("batch_id", "r", F.explode(title_keys(F.col("r.title_norm"))).alias("key"))
+    others = titled.select("batch_id", F.col("r").alias("o"), "key")
+    share = lambda name: (F.col(f"r.{name}") == F.col(f"o.{name}")) & (F.coalesce(F.col(f"r.{name}"), F.lit("")) != "")
+    sizes = lambda name, least: 2 * F.least(F.length(f"r.{name}"), F.length(f"o.{name}")) >= least * (F.length(f"r.{name}") + F.length(f"o.{name}")) - 1e-9
+    same = F.coalesce(share("date_norm") | share("responsible_norm"), F.lit(False))
+    alike = titled.join(others, ["batch_id", "key"]).filter((F.col("r.idx") > F.col("o.idx")) & sizes("title_norm", ALIKE) & (same | F.coalesce(sizes("filename_norm", ALIKE_FILES), F.lit(False))))
+    equal = F.col("r.title_norm") == F.col("o.title_norm")
+    alike = alike.filter(~(equal & same)).select("batch_id", F.col("o").alias("l"), "r").dropDuplicates(["batch_id", "l", "r"])
+    alike = alike.filter(F.when(F.col("l.title_norm") == F.col("r.title_norm"), True).otherwise(gestalt(F.col("l.title_norm"), F.col("r.title_norm")) >= ALIKE))
+    return found.unionByName(alike).dropDuplicates(["batch_id", "l", "r"])
 
 
 def _same(name: str) -> Column:
@@ -113,7 +156,7 @@ def decided(pairs: DataFrame, title: Column, filename: Column) -> DataFrame:
     gate = F.when(F.coalesce(_same("visual_prefix") & (_gap("visual_page_no") <= SERIES_DISTANCE), F.lit(False)), True)
     gate = gate.when(_same("series_key"), F.coalesce(_gap("sequence") <= SERIES_DISTANCE, distance <= SERIES_DISTANCE))
     close = (t >= TITLE_HINT) | ((n >= FILENAME_HINT) & (_same("date_norm") | _same("responsible_norm") | _same("doc_no_prefix"))) | (_same("date_norm") & (_same("responsible_norm") | _same("doc_no_prefix")))
-    far = (t >= 0.9) & (_same("date_norm") | _same("responsible_norm") | (n >= 0.7))
+    far = (t >= ALIKE) & (_same("date_norm") | _same("responsible_norm") | (n >= ALIKE_FILES))
     gate = gate.otherwise(((distance <= NEAR_DISTANCE) & close) | far)
     accept = F.when(adjacent, ACCEPT_ADJACENT).when(_same("series_key") & (distance <= 1), ACCEPT_SERIES).otherwise(ACCEPT)
     rows = rows.withColumn("rule", rule)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from archivolt.functions import text as x
 from archivolt.operators import evaluation as e
 from archivolt.operators import listing as o
+from archivolt.functions.blocks import gestalt, ratio_sql
 from archivolt.operators import matching as m
 from archivolt.operators import retrieval, spatial
 from archivolt.plans.data import TASKS, read, tasks
@@ -159,10 +160,13 @@ def titled(s, d):
     return e.group_documents(g, docs).select("group_id", "display_title")
 
 
+# What a model says of a pair.
+SAME, SURE = "(left_id + right_id) % 3 = 0", "CAST((left_id * 7 + right_id) % 40 + 60 AS DOUBLE) / 100"
+
 # Candidates of a batch of a hundred tasks: numbers, titles, dates and series that recur.
 CANDIDATES = """id, concat('b', CAST(floor(id / 100) AS INT)) AS batch_id, {at} AS created_at,
   CASE WHEN id % 6 = 0 THEN concat('no', CAST(floor(id / 24) AS INT)) WHEN id % 6 = 3 THEN concat('no', id) ELSE '' END AS doc_no_norm, CASE WHEN id % 5 = 0 THEN 'p' ELSE '' END AS doc_no_prefix,
-  CASE WHEN id % 4 = 0 THEN '' ELSE concat('title', CAST(floor(id / 8) AS INT)) END AS title_norm, concat('f', id % 9) AS filename_norm, CASE WHEN id % 3 = 0 THEN '' ELSE concat('2024', id % 2) END AS date_norm,
+  CASE WHEN id % 4 = 0 THEN '' ELSE concat(CASE WHEN floor(id / 8) % 3 = 0 THEN 'annual budget of the city archive ' WHEN floor(id / 8) % 3 = 1 THEN 'minutes' ELSE 'title of a page' END, CAST(floor(id / 8) AS INT)) END AS title_norm, concat('f', id % 9) AS filename_norm, CASE WHEN id % 3 = 0 THEN '' ELSE concat('2024', id % 2) END AS date_norm,
   CASE WHEN id % 7 = 0 THEN '' ELSE 'r' END AS responsible_norm, CASE WHEN id % 10 < 3 THEN concat('s', CAST(floor(id / 10) AS INT)) ELSE '' END AS series_key, CASE WHEN id % 10 < 3 THEN id % 10 END AS sequence,
   CASE WHEN id % 20 > 15 THEN concat('v', CAST(floor(id / 20) AS INT)) ELSE '' END AS visual_prefix, CASE WHEN id % 20 > 15 THEN id % 20 END AS visual_page_no,
   CASE id % 20 WHEN 18 THEN 'contract' WHEN 19 THEN 'contract' ELSE '' END AS family, CASE WHEN id % 50 < 2 THEN concat('bg', CAST(floor(id / 50) AS INT)) ELSE '' END AS boundary_group, 0.9{double} AS boundary_confidence"""
@@ -187,7 +191,8 @@ def _split(text: str) -> list[str]:
 def _decided(s, d):
     c = _candidates(s, d)
     pairs = m.between(c, m.candidate_pairs(c))
-    return m.decided(pairs, (F.col("l.title_norm") == F.col("r.title_norm")).cast("double") * (F.col("l.title_norm") != "").cast("double"), (F.col("l.filename_norm") == F.col("r.filename_norm")).cast("double"))
+    a, b = F.col("l.title_norm"), F.col("r.title_norm")
+    return m.decided(pairs, F.when((a == b) & (a != ""), 1.0).otherwise(gestalt(a, b)), (F.col("l.filename_norm") == F.col("r.filename_norm")).cast("double"))
 
 
 def indexes(s, d):
@@ -195,12 +200,14 @@ def indexes(s, d):
 
 
 def decisions(s, d):
-    return _decided(s, d).select("batch_id", F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "decision", "confidence", "ask", "accept", F.col("between").alias("page_between"))
+    """The pairs that are asked about; yes-pairs show in the merge."""
+    return _decided(s, d).filter("ask").select("batch_id", F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "decision", "confidence", "accept", F.col("between").alias("page_between"))
 
 
 def merged(s, d):
-    c = _candidates(s, d)
-    return m.merged(c, _decided(s, d))
+    c, found = _candidates(s, d), _decided(s, d)
+    answers = found.filter("ask").select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id")).selectExpr("left_id", "right_id", f"{SAME} AS same", f"{SURE} AS confidence")
+    return m.merged(c, found, answers)
 
 
 def snippets(s, d):
@@ -263,23 +270,20 @@ _PAIRS = lambda by: f"(SELECT coalesce(sum(c * (c - 1) // 2), 0)::BIGINT FROM (S
 _DOM = f"(SELECT g, doc, c, row_number() OVER (PARTITION BY g ORDER BY c DESC, doc) AS k, sum(c) OVER (PARTITION BY g) AS n FROM (SELECT g, doc, count(*) AS c FROM {_B} GROUP BY ALL))"
 _FAMILY = lambda c: "CASE " + " ".join(f"WHEN {' + '.join(f'contains({c}, {k!r})::INT' for k in ks)} >= {n} THEN {f!r}" for f, ks, n in x.FAMILIES) + " ELSE '' END"
 _CAND = f"(SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY coalesce(visual_page_no, sequence, 1000000000), created_at NULLS FIRST, id) AS idx FROM (SELECT {CANDIDATES.format(at=AT_SQL, double='::DOUBLE')} FROM {TASKS}))"
-_KEYS = [("a", "TRUE", "CAST(floor((idx - 1) / 2) AS VARCHAR)"), ("b", "TRUE", "CAST(floor(idx / 2) AS VARCHAR)"), ("doc", "doc_no_norm <> ''", "doc_no_norm"), ("prefix", "doc_no_prefix <> ''", "doc_no_prefix"), ("title", "title_norm <> ''", "title_norm"), ("date", "date_norm <> '' AND responsible_norm <> ''", "date_norm || '|' || responsible_norm"), ("pages", "visual_prefix <> '' AND visual_page_no IS NOT NULL", "visual_prefix"), ("series", "series_key <> '' AND sequence IS NOT NULL", "series_key"), ("group", "boundary_group <> ''", "boundary_group")]
-_ROWS = " UNION ALL ".join(f"SELECT batch_id, id, idx, visual_page_no, sequence, '{k}|' || {v} AS key FROM c WHERE {w}" for k, w, v in _KEYS)
 _EQ = lambda f: f"(l.{f} <> '' AND l.{f} = r.{f})"
 _DECIDED = f"""
-WITH c AS {_CAND}, k AS ({_ROWS}),
-p AS (SELECT batch_id, id, unnest([lag(id) OVER w, first_value(id) OVER w]) AS other FROM k WINDOW w AS (PARTITION BY batch_id, key ORDER BY coalesce(visual_page_no, sequence, 0), idx)),
-q AS (SELECT DISTINCT p.batch_id, CASE WHEN a.idx < b.idx THEN a.id ELSE b.id END AS l_id, CASE WHEN a.idx < b.idx THEN b.id ELSE a.id END AS r_id FROM p JOIN c a ON a.id = p.id JOIN c b ON b.id = p.other WHERE p.id <> p.other),
-j AS (SELECT q.batch_id, l_id, r_id, l, r, coalesce(l.visual_prefix <> '' AND l.visual_prefix = r.visual_prefix AND abs(l.visual_page_no - r.visual_page_no) <= 1, false) AS adjacent, CASE WHEN l.title_norm <> '' AND l.title_norm = r.title_norm THEN 1.0 ELSE 0.0 END AS t, CASE WHEN l.filename_norm = r.filename_norm THEN 1.0 ELSE 0.0 END AS n,
+WITH RECURSIVE c AS {_CAND}, q AS (SELECT a.batch_id, a.id AS l_id, b.id AS r_id FROM c a JOIN c b ON a.batch_id = b.batch_id AND a.idx < b.idx),
+tp AS (SELECT DISTINCT l.title_norm AS a, r.title_norm AS b, l.title_norm || '|' || r.title_norm AS p FROM q JOIN c l ON l.id = l_id JOIN c r ON r.id = r_id WHERE l.title_norm <> '' AND r.title_norm <> '' AND l.title_norm <> r.title_norm), {ratio_sql('tp')},
+j AS (SELECT q.batch_id, l_id, r_id, l, r, coalesce(l.visual_prefix <> '' AND l.visual_prefix = r.visual_prefix AND abs(l.visual_page_no - r.visual_page_no) <= 1, false) AS adjacent, CASE WHEN l.title_norm = '' OR r.title_norm = '' THEN 0.0 WHEN l.title_norm = r.title_norm THEN 1.0 ELSE ratio END AS t, CASE WHEN l.filename_norm = r.filename_norm THEN 1.0 ELSE 0.0 END AS n,
   EXISTS (SELECT 1 FROM c z WHERE z.batch_id = q.batch_id AND z.visual_prefix = l.visual_prefix AND l.visual_prefix = r.visual_prefix AND l.visual_prefix <> '' AND z.visual_page_no > least(l.visual_page_no, r.visual_page_no) AND z.visual_page_no < greatest(l.visual_page_no, r.visual_page_no)) AS betw
-  FROM q JOIN c l ON l.id = l_id JOIN c r ON r.id = r_id),
+  FROM q JOIN c l ON l.id = l_id JOIN c r ON r.id = r_id LEFT JOIN ratios ON ratios.p = l.title_norm || '|' || r.title_norm),
 o AS (SELECT *, CASE WHEN {_EQ('boundary_group')} THEN 'yes|0.9' WHEN adjacent AND {_EQ('family')} AND l.family = 'contract' THEN 'yes|0.86' WHEN {_EQ('doc_no_norm')} THEN 'yes|1.0' WHEN l.doc_no_norm <> '' AND r.doc_no_norm <> '' THEN 'no|0.0'
-  WHEN {_EQ('series_key')} AND abs(l.sequence - r.sequence) <= 2 THEN 'undecided|0.0' WHEN t = 1 AND {_EQ('date_norm')} THEN 'yes|0.97' WHEN t = 1 AND {_EQ('responsible_norm')} THEN 'yes|0.94'
-  WHEN l.title_norm <> '' AND r.title_norm <> '' AND t = 0 AND l.date_norm <> '' AND r.date_norm <> '' AND l.date_norm <> r.date_norm THEN 'no|0.0'
-  WHEN t = 1 OR n = 1 OR {_EQ('date_norm')} OR {_EQ('responsible_norm')} OR {_EQ('doc_no_prefix')} THEN 'undecided|0.0' ELSE 'no|0.0' END AS rule FROM j),
+  WHEN {_EQ('series_key')} AND abs(l.sequence - r.sequence) <= 2 THEN 'undecided|0.0' WHEN t >= 0.97 AND {_EQ('date_norm')} THEN 'yes|0.97' WHEN t >= 0.97 AND {_EQ('responsible_norm')} THEN 'yes|0.94'
+  WHEN l.title_norm <> '' AND r.title_norm <> '' AND t <= 0.35 AND l.date_norm <> '' AND r.date_norm <> '' AND l.date_norm <> r.date_norm THEN 'no|0.0'
+  WHEN t >= 0.62 OR n = 1 OR {_EQ('date_norm')} OR {_EQ('responsible_norm')} OR {_EQ('doc_no_prefix')} THEN 'undecided|0.0' ELSE 'no|0.0' END AS rule FROM j),
 decided AS (SELECT batch_id, l_id AS left_id, r_id AS right_id, string_split(rule, '|')[1] AS decision, CAST(string_split(rule, '|')[2] AS DOUBLE) AS confidence,
   string_split(rule, '|')[1] = 'undecided' AND NOT betw AND CASE WHEN coalesce(l.visual_prefix <> '' AND l.visual_prefix = r.visual_prefix AND abs(l.visual_page_no - r.visual_page_no) <= 2, false) THEN TRUE WHEN {_EQ('series_key')} THEN abs(l.sequence - r.sequence) <= 2
-    ELSE (r.idx - l.idx <= 1 AND (t = 1 OR (n = 1 AND ({_EQ('date_norm')} OR {_EQ('responsible_norm')} OR {_EQ('doc_no_prefix')})) OR ({_EQ('date_norm')} AND ({_EQ('responsible_norm')} OR {_EQ('doc_no_prefix')})))) OR (t = 1 AND ({_EQ('date_norm')} OR {_EQ('responsible_norm')} OR n = 1)) END AS ask,
+    ELSE (r.idx - l.idx <= 1 AND (t >= 0.62 OR (n = 1 AND ({_EQ('date_norm')} OR {_EQ('responsible_norm')} OR {_EQ('doc_no_prefix')})) OR ({_EQ('date_norm')} AND ({_EQ('responsible_norm')} OR {_EQ('doc_no_prefix')})))) OR (t >= 0.9 AND ({_EQ('date_norm')} OR {_EQ('responsible_norm')} OR n = 1)) END AS ask,
   CASE WHEN adjacent THEN 0.82::DOUBLE WHEN {_EQ('series_key')} AND r.idx - l.idx <= 1 THEN 0.84::DOUBLE ELSE 0.9::DOUBLE END AS accept, betw AS page_between FROM o)
 """
 
@@ -312,8 +316,8 @@ QUERIES = {
     "A-33_counters": (counters, f"SELECT batch_id, count(*) AS total_tasks, count(*) FILTER (id % 3 = 0) AS done_tasks, count(*) FILTER (id % 4 > 0) AS eligible_tasks, count(*) FILTER (id % 4 = 0) AS skipped_tasks, CASE WHEN batch_id = 'src1' THEN 0 ELSE count(DISTINCT {GROUP}) END AS groups_count FROM {TASKS} GROUP BY batch_id"),
     "J-11_P-14_documents": (titled, f"SELECT concat('g', id) AS group_id, CASE WHEN id % 3 = 0 THEN lang WHEN id % 2 = 1 THEN batch_id WHEN id % 4 = 0 THEN 'rule' ELSE concat('g', id) END AS display_title FROM {TASKS}"),
     "W-10_T-07_candidate_index": (indexes, f"SELECT batch_id, id, idx FROM {_CAND}"),
-    "J-06_J-08_G-06_G-07_pair_ladder": (decisions, f"{_DECIDED} SELECT * FROM decided"),
-    "G-08_merged_candidates": (merged, f"{_DECIDED.replace('WITH c AS', 'WITH RECURSIVE c AS', 1)}, e AS (SELECT left_id AS a, right_id AS b FROM decided WHERE decision = 'yes' UNION SELECT right_id, left_id FROM decided WHERE decision = 'yes'), w(id, z) AS (SELECT id, id FROM c UNION SELECT e.b, w.z FROM w JOIN e ON e.a = w.id WHERE w.z < e.b), f AS (SELECT id, min(z) AS document FROM w GROUP BY id) SELECT batch_id, id, document, count(*) OVER (PARTITION BY document) AS members FROM c JOIN f USING (id)"),
+    "J-06_J-08_G-06_G-07_pair_ladder": (decisions, f"{_DECIDED} SELECT * EXCLUDE (ask) FROM decided WHERE ask"),
+    "G-08_merged_candidates": (merged, f"{_DECIDED}, y AS (SELECT * FROM decided WHERE decision = 'yes' OR (ask AND {SAME} AND {SURE} >= accept)), e AS (SELECT left_id AS a, right_id AS b FROM y UNION SELECT right_id, left_id FROM y), w(id, z) AS (SELECT id, id FROM c UNION SELECT e.b, w.z FROM w JOIN e ON e.a = w.id WHERE w.z < e.b), f AS (SELECT id, min(z) AS document FROM w GROUP BY id) SELECT batch_id, id, document, count(*) OVER (PARTITION BY document) AS members FROM c JOIN f USING (id)"),
     "C-44_snippets": (snippets, rf"WITH c AS (SELECT id, trim(regexp_replace(coalesce(full_text, ''), '\s+', ' ', 'g')) AS t FROM {TASKS}), a AS (SELECT *, length(t) AS n, CASE WHEN contains(lower(t), 'license') THEN instr(lower(t), 'license') WHEN contains(lower(t), 'secret') THEN instr(lower(t), 'secret') ELSE instr(lower(t), 'token') END AS p FROM c), b AS (SELECT *, CASE WHEN p = 0 THEN 0 ELSE greatest(0, least(n - 240, greatest(0, p - 121))) END AS s FROM a) SELECT id, md5(CASE WHEN n <= 240 THEN t ELSE CASE WHEN s > 0 THEN '...' ELSE '' END || substring(t, s + 1, 240) || CASE WHEN s + 240 < n THEN '...' ELSE '' END END) AS snippet FROM b"),
     "C-37_citations": (cited, f"SELECT id, array_to_string(list_filter([id % 9] || CASE WHEN id % 9 <> 2 THEN [2] ELSE [] END || CASE WHEN id % 9 <> 3 THEN [3] ELSE [] END || CASE WHEN id % 4 NOT IN (2, 3) AND id % 4 <> id % 9 THEN [id % 4] ELSE [] END, lambda v: v BETWEEN 1 AND id % 6), ',') AS citations FROM {TASKS}"),
     "C-36_C-38_model_output": (outputs, f"SELECT id, lang AS title, CAST(id AS VARCHAR) AS pages, '' AS remarks, 'e' AS evidence_title FROM {TASKS}"),
