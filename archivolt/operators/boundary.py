@@ -71,13 +71,14 @@ def scored(pages: DataFrame, exact_title: bool = False) -> DataFrame:
         if c not in pages.columns:
             pages = pages.withColumn(c, F.lit(None).cast(kind))
     w = Window.partitionBy("batch_id", "prefix").orderBy("r.page_no", "r.id")
-    row = F.struct("page_no", "id", "signature", "entities", "attachment", "continuation", "closed", "title_norm", "family", "visual", "bias", "doc_no_norm", "doc_no_prefix", "responsible_norm", "date_norm")
+    # grams are made once a page, not once as left and once as right
+    pages = pages.withColumn("grams", x.grams(F.left("signature", F.lit(3000))))
+    row = F.struct("page_no", "id", "grams", "entities", "attachment", "continuation", "closed", "title_norm", "family", "visual", "bias", "doc_no_norm", "doc_no_prefix", "responsible_norm", "date_norm")
     p = pages.select("batch_id", "prefix", row.alias("r")).withColumn("l", F.lag("r").over(w)).filter("l is not null")
     gap = F.greatest(F.lit(1), F.col("r.page_no") - F.col("l.page_no"))
     title = F.when((F.col("l.title_norm") == "") | (F.col("r.title_norm") == ""), 0.0)
     title = title.otherwise((F.col("l.title_norm") == F.col("r.title_norm")).cast("double")) if exact_title else F.round(gestalt(F.col("l.title_norm"), F.col("r.title_norm")), 4)
-    p = p.select("*", x.grams(F.left("l.signature", F.lit(3000))).alias("gl"), x.grams(F.left("r.signature", F.lit(3000))).alias("gr"))
-    p = p.select("batch_id", "prefix", "l", "r", gap.alias("gap"), F.coalesce("r.visual", F.lit(0.5)).alias("v"), F.coalesce(x.jaccard(F.col("gl"), F.col("gr")), F.lit(0.0)).alias("t"), title.alias("h"), F.coalesce(x.jaccard(F.col("l.entities"), F.col("r.entities")), F.lit(0.0)).alias("e"), _field_overlap("l", "r").alias("f"))
+    p = p.select("batch_id", "prefix", "l", "r", gap.alias("gap"), F.coalesce("r.visual", F.lit(0.5)).alias("v"), F.coalesce(x.jaccard(F.col("l.grams"), F.col("r.grams")), F.lit(0.0)).alias("t"), title.alias("h"), F.coalesce(x.jaccard(F.col("l.entities"), F.col("r.entities")), F.lit(0.0)).alias("e"), _field_overlap("l", "r").alias("f"))
     fl, fr = F.coalesce("l.family", F.lit("")), F.coalesce("r.family", F.lit(""))
     same = (fl != "") & (fl == fr)
     cont, near, att = same & fl.isin(*CONTINUING), F.col("gap") == 1, F.col("r.attachment")
@@ -164,7 +165,7 @@ def best_cuts(pages: list[dict]) -> list[int]:
 def segmented(pages: DataFrame, decisions: DataFrame) -> DataFrame:
     """G-02: the best segmentation of every sequence; (batch_id, prefix, id, page_no, segment).
 
-    One call per sequence. Page numbers have three digits, so a sequence has at most 1,000 pages.
+    One call per sequence, with a step a page and LONGEST segments a step.
     """
     rows = pages.join(decisions.select("batch_id", "prefix", F.col("right_id").alias("id"), "score", "strong_split"), ["batch_id", "prefix", "id"], "left")
     rows = rows.select("batch_id", "prefix", "id", "page_no", F.coalesce("family", F.lit("")).alias("family"), "entities", "attachment", "closed", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("strong_split", F.lit(False)).alias("strong_split"))

@@ -19,12 +19,12 @@ def pairs_of_characters(c: Column) -> Column:
 
 def adjacent_similarity(rows: DataFrame, group: str, order: str, text: str, linked: float = 0.08, least: int = 10) -> DataFrame:
     """W-13: Jaccard similarity of neighbours by character pairs; texts under `least` characters give 0."""
-    w = Window.partitionBy(group).orderBy(order)
-    pairs = rows.select(group, F.col(order).alias("left_id"), F.lead(order).over(w).alias("right_id"), F.col(text).alias("__a"), F.lead(text).over(w).alias("__b")).filter("right_id is not null")
-    short = (F.coalesce(F.length("__a"), F.lit(0)) < least) | (F.coalesce(F.length("__b"), F.lit(0)) < least)
-    # one projection per step, so that no array is made twice
-    pairs = pairs.select(group, "left_id", "right_id", short.alias("__s"), pairs_of_characters(F.col("__a")).alias("__a"), pairs_of_characters(F.col("__b")).alias("__b"))
-    pairs = pairs.select(group, "left_id", "right_id", "__s", F.size("__a").alias("__m"), F.size("__b").alias("__n"), F.size(F.array_intersect("__a", "__b")).alias("__i"))
+    # arrays are made once a row and read again by the window, not made as left and as right
+    rows = rows.select(group, F.col(order).alias("left_id"), (F.coalesce(F.length(text), F.lit(0)) < least).alias("__s"), pairs_of_characters(F.col(text)).alias("__a"))
+    after = lambda c: F.lead(c).over(w)
+    w = Window.partitionBy(group).orderBy("left_id")
+    pairs = rows.select("*", after("left_id").alias("right_id"), after("__s").alias("__t"), after("__a").alias("__b")).filter("right_id is not null")
+    pairs = pairs.select(group, "left_id", "right_id", (F.col("__s") | F.col("__t")).alias("__s"), F.size("__a").alias("__m"), F.size("__b").alias("__n"), F.size(F.array_intersect("__a", "__b")).alias("__i"))
     share = F.when(F.col("__s"), 0.0).otherwise(F.col("__i") / (F.col("__m") + F.col("__n") - F.col("__i")))
     return pairs.select(group, "left_id", "right_id", share.alias("s")).select(group, "left_id", "right_id", F.round("s", 4).alias("similarity"), (F.col("s") > linked).alias("linked"))
 
