@@ -28,8 +28,8 @@ def _prepared(s, d):
 
 
 def scores(s, d):
-    """Scores to three digits: the fourth depends on the order of sums where it is a half."""
-    return boundary.scored(_prepared(s, d)).withColumn("score", F.floor(F.col("score") * 1000 + 0.26).cast("int"))
+    """Scores to two digits: the last ones depend on the order of sums where they are halves."""
+    return boundary.scored(_prepared(s, d)).withColumn("score", F.floor(F.col("score") * 100 + 0.26).cast("int"))
 
 
 def document_groups(s, d):
@@ -79,7 +79,7 @@ s AS (SELECT *, v * 0.30::DOUBLE + t * 0.18::DOUBLE + h * 0.12::DOUBLE + e * 0.1
   + CASE WHEN h >= 0.62 THEN 0.06::DOUBLE WHEN cont AND near AND h >= 0.15 THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN cont AND near AND NOT attachment THEN 0.18::DOUBLE ELSE 0 END - CASE WHEN NOT near THEN least(0.24::DOUBLE, (gap - 1) * 0.12::DOUBLE) ELSE 0 END
   - CASE WHEN l_family <> '' AND family <> '' AND l_family <> family THEN 0.22::DOUBLE ELSE 0 END - CASE WHEN ends THEN 0.32::DOUBLE ELSE 0 END - CASE WHEN attachment AND NOT same THEN 0.18::DOUBLE ELSE 0 END - CASE WHEN v <= 0.18 AND e <= 0.05 AND t <= 0.05 AND NOT (cont AND near) THEN 0.12::DOUBLE ELSE 0 END AS raw FROM h),
 decided AS (SELECT batch_id, batch_id AS prefix, l_id AS left_id, id AS right_id, l_page_no AS left_page, page_no AS right_page, l_family AS left_family, family AS right_family, round(greatest(0.02::DOUBLE, least(0.98::DOUBLE, raw)), 4) AS score, ends FROM s)
-SELECT * EXCLUDE (score, ends), CAST(floor(score * 1000 + 0.26::DOUBLE) AS INT) AS score, score <= 0.34 OR ends AS strong_split, score >= 0.72 AS merge, score >= 0.46 AND score < 0.72 AS ambiguous FROM decided
+SELECT * EXCLUDE (score, ends), CAST(floor(score * 100 + 0.26::DOUBLE) AS INT) AS score, score <= 0.34 OR ends AS strong_split, score >= 0.72 AS merge, score >= 0.46 AND score < 0.72 AS ambiguous FROM decided
 """
 
 QUERIES = {
