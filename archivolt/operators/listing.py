@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from archivolt.functions.text import coerced
 from archivolt.operators.columns import blank
+from archivolt.operators.graph import _written as written
 from archivolt.operators.rollups import effective_status
 
 # Archive fields as they are written and as columns, parts of a submission's name, and ratings.
@@ -109,9 +110,22 @@ def candidate_order(page_no: str, sequence: str, created: str, key: str) -> list
 
 
 def ordered_groups(members: DataFrame, group: str, key: str) -> DataFrame:
-    """T-10, A-34: groups by their first member, numbered from 1; few rows a member move, one a group is ordered."""
+    """T-10, A-34: groups by their first member, numbered from 1."""
     first = members.groupBy(group).agg(F.min(key).alias("first_member"), F.count("*").alias("members"))
-    return first.withColumn("position", F.row_number().over(Window.orderBy("first_member", group)).cast("long"))
+    return numbered(first, "position", "first_member", group)
+
+
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """rows with their place from 1 in an order of all: ranges of the order are sorted by tasks, and each starts after the rows of those before it.
+
+    The sorted rows are written, so that ranges don't change between the two looks at them; only a count a task is gathered.
+    """
+    done = written(rows.orderBy(*order).withColumn("__n", F.monotonically_increasing_id()))
+    task = F.shiftright("__n", 33)
+    sizes = done.groupBy(task.alias("__t")).agg(F.count("*").alias("__k"))
+    before = sizes.select("__t", (F.sum("__k").over(Window.orderBy("__t")) - F.col("__k")).alias("__before"))  # a row a task
+    out = done.withColumn("__t", task).join(F.broadcast(before), "__t")
+    return out.withColumn(name, F.col("__before") + F.col("__n").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__t", "__n", "__before")
 
 
 def deleted(rows: DataFrame, batch: str = "", folder: str = "", everything: bool = False) -> DataFrame:

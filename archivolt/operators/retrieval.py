@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,50 @@ def nearest(rows: DataFrame, key: str, vector: str, query: list[float], k: int)
     return rows.filter(F.col(vector).isNotNull()).select(key, F.round(score, 4).alias("score")).filter("score is not null").orderBy(F.desc("score"), key).limit(k)
 
 
+#: Vectors of a block of questions, and of a block of rows that it meets in one task.
+ASKED, MET = 2048, 16384
+
+
+def nearest_of_all(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """T-04 for many: (query, key, score, rank): the k rows of greatest cosine to each query vector (ties: the smallest key), itself included.
+
+    Queries and rows are dealt to blocks; each two meet once, in one matrix product, which keeps k rows a query. Vectors
+    that are null, of another size than the query's, zero or not finite are near to nothing.
+    """
+    sound = lambda df: df.filter(F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull()))
+    asked, met = sound(queries).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")), sound(rows).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = lambda df, size: max(1, -(-df.count() // size))
+    a, b = blocks(asked, ASKED), blocks(met, MET)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = asked.select("id", "v", own(a).alias("a"), each(b).alias("b")).groupBy("a", "b")
+    right = met.select("id", "v", own(b).alias("b"), each(a).alias("a")).groupBy("a", "b")
+    kind = dict(rows.dtypes)[key]
+
+    def meet(one: pa.Table, other: pa.Table) -> pa.Table:
+        out = []
+        if one.num_rows and other.num_rows:
+            ids, order = other["id"].to_numpy(), np.argsort(other["id"].to_numpy(), kind="stable")
+            ids, sizes, values = ids[order], pc.list_value_length(other["v"]).to_numpy()[order], other["v"].take(pa.array(order))
+            of = pc.list_value_length(one["v"]).to_numpy()
+            for size in np.unique(of):
+                mine, theirs = np.flatnonzero(of == size), np.flatnonzero(sizes == size)
+                flat = lambda column, at: pc.list_flatten(column.take(pa.array(at))).to_numpy().reshape(-1, size)
+                q, x = flat(one["v"], mine), flat(values, theirs)
+                with np.errstate(all="ignore"):
+                    score = np.round(q @ x.T / np.sqrt((q * q).sum(1))[:, None] / np.sqrt((x * x).sum(1)), 4)
+                score[~np.isfinite(score)] = -np.inf
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                at = np.arange(len(mine))[:, None]
+                keep = np.isfinite(score[at, best])
+                out.append(pa.table({"query": one["id"].take(pa.array(np.repeat(mine, keep.sum(1)))), "id": pa.array(ids[theirs[best[keep]]]), "score": pa.array(score[at, best][keep])}))
+        return pa.concat_tables(out) if out else pa.table({"query": one["id"].slice(0, 0), "id": one["id"].slice(0, 0), "score": pa.array([], pa.float64())})
+
+    found = left.cogroup(right).applyInArrow(meet, f"query {kind}, id {kind}, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
+    return ranked.select("query", F.col("id").alias(key), "score", "rank")
+
+
 def overlap(text: Column, query: str) -> Column:
     """U-02: share of the query's tokens that a text has."""
     wanted = sorted(set(re.findall(r"[a-z0-9一-鿿]+", query.lower())))

@@ -102,6 +102,11 @@ def nearest(s, d):
     return retrieval.nearest(e, "vec_id", "embedding", first, 10)
 
 
+def nearest_of_all(s, d):
+    e = read(s, d, "embeddings")
+    return retrieval.nearest_of_all(e.filter("vec_id % 100 = 0"), e, "vec_id", "embedding", 10)
+
+
 QUERY = "That erblest, the her!"
 
 
@@ -196,6 +201,7 @@ QUERIES = {
     "G-01_components": (linked, "WITH RECURSIVE p AS (SELECT o_orderkey AS a, -o_custkey AS b FROM orders UNION SELECT -c_custkey, -(c_custkey // 5 * 5) FROM customer), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), c(id, m) AS (SELECT a, a FROM e UNION SELECT e.b, c.m FROM c JOIN e ON e.a = c.id WHERE c.m < e.b) SELECT id, min(m) AS component FROM c GROUP BY id"),
     "X-as_of_join": (as_of, "SELECT l.event_id AS id, r.value FROM (SELECT * FROM events WHERE event_id % 10 = 0) l ASOF LEFT JOIN (SELECT * FROM events WHERE event_id % 10 <> 0) r ON l.user_id = r.user_id AND l.ts >= r.ts"),
     "T-04_vector_topk": (nearest, "WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 4) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10"),
+    "T-04_all_queries": (nearest_of_all, "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0) SELECT a.vec_id AS query, b.vec_id, round(list_cosine_similarity(a.e, b.e), 4) AS score, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 4) DESC, b.vec_id) AS INT) AS rank FROM v a JOIN v b ON a.vec_id % 100 = 0 AND len(a.e) = len(b.e) QUALIFY rank <= 10"),
     "T-05_U-02_lexical_overlap": (lexical, f"WITH {_LEXICAL(10, 'src1')} SELECT id, round(o * 0.7::DOUBLE, 6) AS score FROM o WHERE o > 0 ORDER BY score DESC, id DESC LIMIT 10"),
     "T-05_fuzzy": (fuzzy, f"WITH RECURSIVE {_LEXICAL(10, 'src1')}, {_SCORED} SELECT id, score FROM z WHERE score > 0 ORDER BY score DESC, id DESC LIMIT 10"),
     "G-20_search": (searched, f"WITH RECURSIVE {_LEXICAL(3, 'src3')}, {_SCORED} SELECT id, score, 'lexical' AS source FROM z WHERE score > 0 ORDER BY score DESC, id DESC LIMIT 3"),
