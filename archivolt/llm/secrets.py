@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, table
+from .common import table
 
 #: Kind, pattern, and the least length of what must be that long (the value for assign, else the match).
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -113,9 +113,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes a placeholder over every kept span; all documents stay, whatever their ids. Overlapping spans get one placeholder."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = numbered(docs)
-    found = judged(rows.select(F.col("__rid").alias("rid"), "doc_id", "text", "source")).filter("size(spans) > 0")
-    rows = rows.join(found.select(F.col("rid").alias("__rid"), F.col("spans").alias("__spans")), "__rid", "left")
+    key = F.unhex(F.md5(text.cast("binary")))
+    found = table(find(docs.select(key.alias("rid"), "doc_id", "text", "source")).filter("size(base) > 0 OR size(opaque) > 0"))
+    # what is cut depends on the text and on the verdicts of its values alone, so equal texts are looked at once
+    one = found.groupBy("rid").agg(F.first("base").alias("base"), F.first("opaque").alias("opaque"))
+    values = one.select("rid", F.explode("opaque").alias("s")).withColumn("value_hash", F.sha2(F.col("s.value"), 256))
+    free = values.join(ownership(found).filter("verdict <> 'copied'").select("value_hash"), "value_hash", "left_semi").groupBy("rid").agg(F.collect_list("s").alias("free"))
+    spans = one.join(free, "rid", "left").select(F.col("rid").alias("__key"), F.array_sort(F.concat("base", F.coalesce("free", F.slice("opaque", 1, 0)))).alias("__spans"))
+    # written, so that Spark knows its size and can split a text that most rows have
+    rows = docs.withColumn("__key", key).join(table(spans.filter("size(__spans) > 0")), "__key", "left")
 
     def cut(acc: Column, s: Column) -> Column:
         gap = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[secret]"))
