@@ -17,7 +17,7 @@ BLOCKING = ("冲突", "不一致", "矛盾", "失败", "错误", "异常", "中
 NO_RESULT = r"^(Vision LLM|PaddleOCR-VL-1\.5|PP-OCR-VL) 未返回可用结果"
 NOT_AVAILABLE = r"(?is)^(?=.*(vision llm|pp-ocr-vl|paddleocr-vl))(?=.*(unavailable|not configured))"
 NO_TEXT = r"^(传统 OCR|PaddleOCR-VL-1\.5) 未提取到有效文本。$"
-CONFLICT_REASON, LOW_REASON, BAND_REASON = "跨页关键字段冲突：", "总体置信度 %.2f 低于 0.60", "总体置信度 %.2f 落在人工审核区间"
+CONFLICT_REASON, LOW_REASON, BAND_REASON = "跨页关键字段冲突：", "总体置信度 %s 低于 0.60", "总体置信度 %s 落在人工审核区间"
 
 
 def _has(c: Column, words: tuple[str, ...]) -> Column:
@@ -51,6 +51,20 @@ def confidence(c: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c.cast("double"), F.lit(0.0)))), 4)
 
 
+def two_digits(c: Column) -> Column:
+    """A number from 0 to 1 with two digits, as its binary value says: 0.835 is a little less than that, so 0.83 (Java's formats go by the shortest decimal text, 0.84).
+
+    Its multiple of 2^62 is a whole number for what is not below 2^-10, so hundredths and halves (to even) are told exactly.
+    """
+    whole = (c * float(1 << 62)).cast("long").cast("decimal(20,0)") * F.lit(100).cast("decimal(3,0)")
+    one = F.lit(1 << 62).cast("decimal(20,0)")
+    down = F.floor((c * 100 - 0.25).cast("double")).cast("long")
+    down = F.greatest(F.lit(0).cast("long"), down)
+    rest = (whole - down.cast("decimal(5,0)") * one) * F.lit(2).cast("decimal(1,0)")
+    near = F.when((rest > one) | ((rest == one) & (down % 2 == 1)), down + 1).otherwise(down)
+    return F.format_string("%d.%02d", (near / 100).cast("long"), near % 100)
+
+
 def review_route(conflicts: Column, issues: Column, overall: Column) -> dict[str, Column]:
     """G-15: human_review, review_status and review_reason of a task.
 
@@ -61,7 +75,7 @@ def review_route(conflicts: Column, issues: Column, overall: Column) -> dict[str
     stopping = F.filter(F.transform(F.coalesce(issues, none), coerced), blocking)
     review, clash = (F.size(conflicts) > 0) | (F.size(stopping) > 0), F.size(conflicts) > 0
     status = F.when(~review, "approved").when(clash | (c >= REVIEW_LOW), "pending_human_review").otherwise("required")
-    said = F.when(c < REVIEW_LOW, F.format_string(LOW_REASON, c)).when(c <= REVIEW_HIGH, F.format_string(BAND_REASON, c))
+    said = F.when(c < REVIEW_LOW, F.format_string(LOW_REASON, two_digits(c))).when(c <= REVIEW_HIGH, F.format_string(BAND_REASON, two_digits(c)))
     parts = F.array(F.when(clash, F.concat(F.lit(CONFLICT_REASON), F.array_join(conflicts, ", "))), F.get(stopping, F.lit(0)), F.when(review, said))
     reason = F.array_join(F.array_distinct(F.filter(parts, lambda x: x.isNotNull())), "；")
     return {"human_review": review, "review_status": status, "review_reason": reason}

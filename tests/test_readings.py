@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from archivolt.operators import readings as r
+from archivolt.operators.review import review_route, two_digits
 
 
 def test_good_pages_are_read_once(spark):
@@ -33,3 +34,11 @@ def test_results(spark):
     assert got[1].human_review and not got[1].archive_saved
     assert got[2].conflict_count == 1 and got[2].review_status == "pending_human_review" and got[2].full_text == "--- Page 1 ---\none"
     assert got[3].archive_saved and got[3].review_status == "approved" and (got[3].title, got[3].doc_no, got[3].full_text) == ("t", "", "whole")
+
+
+def test_two_digits_go_by_the_binary_value(spark):
+    values = [k / 1000 for k in range(1001)] + [0.125, 0.375, 0.845, 1e-5]
+    got = [x.t for x in spark.createDataFrame([(v,) for v in values], "v double").select(two_digits(F.col("v")).alias("t")).collect()]
+    assert got == [f"{v:.2f}" for v in values] and got[835] == "0.83"  # Java's format gives 0.84
+    route = review_route(F.array(F.lit("doc_no")), F.array().cast("array<string>"), F.lit(0.835))
+    assert spark.range(1).select(route["review_reason"]).first()[0].endswith("总体置信度 0.83 落在人工审核区间")
