@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Seconds that a subscription, a task, a list, a search, a merge and an answer stay valid.
 TTL = {"subscription": 300, "task": 3600, "list": 30, "search": 120, "merge": 1800, "answer": 900}
 
+#: Shares of the updates of one batch, or of all updates for catch-alls.
+SHARES = 32
+
 
 def hears(task_ids: Column, batch: Column, task: Column, task_batch: Column) -> Column:
     """J-22: a subscription names the task, or its batch, or nothing at all."""
@@ -19,15 +22,25 @@ def hears(task_ids: Column, batch: Column, task: Column, task_batch: Column) ->
 def notified(updates: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """K-09, J-22: (subscriber, task_id, batch_id) of each update that a subscription hears of, once.
 
-    Three joins by key in place of all pairs: named tasks, named batches, and catch-alls, which hear of every update.
+    Three joins by key in place of all pairs: named tasks, named batches, and catch-alls, which hear of every update. What is
+    said twice goes before the joins, and each join leaves out what another one gives, so that the result, which is as
+    large as subscriptions times their updates, is never shuffled. Batches and catch-alls are few keys: their updates are
+    dealt to SHARES, and each share meets a copy of the subscriptions.
     """
     ids, own = F.coalesce("task_ids", F.array().cast("array<bigint>")), F.coalesce("batch_id", F.lit(""))
-    subs = subscriptions.select("subscriber", ids.alias("ids"), own.alias("own"))
-    by_task = updates.join(subs.select("subscriber", F.explode("ids").alias("task_id")), "task_id")
-    by_batch = updates.join(subs.filter("own <> ''").select("subscriber", F.col("own").alias("batch_id")), "batch_id")
-    all_ = updates.withColumn("__k", F.lit(1)).join(subs.filter("size(ids) = 0 AND own = ''").select("subscriber", F.lit(1).alias("__k")), "__k")
+    subs, updates = subscriptions.select("subscriber", ids.alias("ids"), own.alias("own")), updates.select("task_id", "batch_id").distinct()
+    every = subs.filter("size(ids) = 0 AND own = ''").select(F.col("subscriber").alias("__all")).distinct()
+    rest = lambda rows: rows.join(every, F.expr("subscriber <=> __all"), "left_anti")
+    of_batch = rest(subs.filter("own <> ''").select("subscriber", F.col("own").alias("batch_id")).distinct())
+    of_task = rest(subs.select("subscriber", F.explode("ids").alias("task_id")).filter("task_id IS NOT NULL").distinct())
+    batches = of_batch.select(F.col("subscriber").alias("__s"), F.col("batch_id").alias("__b"))
+    by_task = updates.join(of_task, "task_id").join(batches, F.expr("batch_id = __b AND subscriber <=> __s"), "left_anti")
+    dealt = updates.withColumn("__share", F.pmod(F.xxhash64("task_id", "batch_id"), F.lit(SHARES)))
+    met = lambda rows: rows.withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+    by_batch = dealt.join(met(of_batch), ["batch_id", "__share"])
+    all_ = dealt.join(met(every.withColumnRenamed("__all", "subscriber")), "__share")
     columns = ["subscriber", "task_id", "batch_id"]
-    return by_task.select(*columns).unionByName(by_batch.select(*columns)).unionByName(all_.select(*columns)).distinct()
+    return by_task.select(*columns).unionByName(by_batch.select(*columns)).unionByName(all_.select(*columns))
 
 
 def valid_at(rows: DataFrame, time: str, now: Column, seconds: int) -> DataFrame:
