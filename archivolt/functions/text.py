@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,19 @@ def coerced(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"^\s+|\s+$", "")
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once, however often f uses it: branches of CASE, AND and OR share nothing by themselves."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def rounded(c: Column, digits: int = 4) -> Column:
+    """A number of 0 or more with so many digits: its product with a power of ten, half up, as in the SQL.
+
+    Spark's own round goes by the shortest decimal text: of 0.45994999999999997 it makes 0.4599, though the product is 4599.5.
+    """
+    return F.floor(c * float(10**digits) + 0.5) / float(10**digits)
+
+
 def normalised(c: Column, pattern: str = SEPARATORS) -> Column:
     """C-02 and, with SEPARATORS_EVALUATION, C-03."""
     return F.lower(F.regexp_replace(coerced(c), pattern, ""))
@@ -79,7 +94,7 @@ FAMILIES = (
 
 def document_family(title: Column, text: Column, most: int = 2000) -> Column:
     """C-09: the family of a title, else of the start of a text; empty if neither tells."""
-    of = lambda c: family(coerced(c), list(FAMILIES))
+    of = lambda c: once(coerced(c), lambda t: family(t, list(FAMILIES)))
     return F.coalesce(F.nullif(of(title), F.lit("")), of(F.left(coerced(text), F.lit(most))))
 
 
@@ -116,7 +131,7 @@ def text_similarity(a: Column, b: Column, ratio: Column | None = None) -> Column
 
 def entities(c: Column, patterns: list[str], least: int = 4, most: int = 48) -> Column:
     """C-11: distinct normalised matches of group 1 of the patterns, sorted."""
-    found = F.concat(*(F.regexp_extract_all(without_tags(c), F.lit(p), F.lit(1)) for p in patterns))
+    found = once(without_tags(c), lambda t: F.concat(*(F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in patterns)))
     found = F.transform(found, lambda x: F.left(F.lower(F.regexp_replace(x, SEPARATORS, "")), F.lit(most)))
     return F.array_sort(F.array_distinct(F.filter(found, lambda x: F.length(x) >= least)))
 
@@ -126,15 +141,15 @@ def grams(c: Column) -> Column:
 
     One pass of an empty look-ahead, not a substring per position, which would be quadratic in a long text.
     """
-    s = F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]", ""))
-    of = lambda n: F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-    return F.when(s == "", F.array().cast("array<string>")).when(F.length(s) <= 2, F.array(s)).otherwise(F.array_distinct(F.when(F.length(s) < 24, of(2)).otherwise(of(3))))
+    of = lambda s, n: F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    make = lambda s: F.when(s == "", F.array().cast("array<string>")).when(F.length(s) <= 2, F.array(s)).otherwise(F.array_distinct(F.when(F.length(s) < 24, of(s, 2)).otherwise(of(s, 3))))
+    return once(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]", "")), make)
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """U-01: of two arrays of distinct values, 4 digits; null if either is empty."""
     both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.round(both / (F.size(a) + F.size(b) - both), 4))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), rounded(both / (F.size(a) + F.size(b) - both)))
 
 
 def page_prefix(name: Column) -> Column:

@@ -15,6 +15,8 @@ MERGE, AMBIGUOUS, SPLIT, BASELINE = 0.72, 0.46, 0.34, 0.58
 BIAS = 0.18
 CONTINUING = ("budget", "contract", "drawing", "minutes")
 LONGEST = 10
+#: Characters of a page's normalised text that are compared.
+COMPARED = 3000
 # Patterns and words by which a page continues one before, begins an attachment or ends a document.
 CONTINUES = r"^\s*(?:第[一二三四五六七八九十百零\d]+条|[（(]?[一二三四五六七八九十百零\d]+[）).、]|\d+[.)、])"
 CONTINUES_WORDS = ("验收合格", "剩余", "质保金", "付款方式", "若乙方", "甲方通过", "乙方应当", "权在", "会议强调", "会议要求", "会议传达", "出席", "请假")
@@ -32,25 +34,24 @@ def _any(c: Column, words: tuple[str, ...], test=F.contains) -> Column:
 
 def starts_continuation(c: Column, words: tuple[str, ...] = CONTINUES_WORDS) -> Column:
     """C-10."""
-    head = x.visible(c, 80)
-    return head.rlike(CONTINUES) | _any(head, words)
+    return x.once(x.visible(c, 80), lambda head: head.rlike(CONTINUES) | _any(head, words))
 
 
 def starts_attachment(c: Column, words: tuple[str, ...] = ATTACHES) -> Column:
     """C-10."""
-    return _any(x.visible(c, 40), words, F.startswith)
+    return x.once(x.visible(c, 40), lambda head: _any(head, words, F.startswith))
 
 
 def ends_closed(c: Column, words: tuple[str, ...] = CLOSES) -> Column:
     """C-10."""
-    return _any(x.visible(c, 240, True), words)
+    return x.once(x.visible(c, 240, True), lambda end: _any(end, words))
 
 
 def prepared(pages: DataFrame, entities: list[str] = ENTITIES) -> DataFrame:
     """Adds what scoring needs to pages (batch_id, prefix, page_no, id, full_text, title_hint, family)."""
-    whole = F.concat_ws(" ", "title_hint", x.without_tags(F.col("full_text")))
-    plain = x.without_tags(F.col("full_text"))
-    return pages.select("*", x.normalised(plain).alias("signature"), x.entities(whole, entities).alias("entities"), starts_attachment(whole).alias("attachment"), starts_continuation(F.when(plain != "", plain).otherwise(F.col("title_hint"))).alias("continuation"), ends_closed(plain).alias("closed"), x.normalised(F.col("title_hint")).alias("title_norm"))
+    plain, whole = F.col("__plain"), F.col("__whole")
+    rows = pages.withColumn("__plain", x.without_tags(F.col("full_text"))).withColumn("__whole", F.concat_ws(" ", "title_hint", plain))
+    return rows.select(*pages.columns, x.normalised(plain).alias("signature"), x.entities(whole, entities).alias("entities"), starts_attachment(whole).alias("attachment"), starts_continuation(F.when(plain != "", plain).otherwise(F.col("title_hint"))).alias("continuation"), ends_closed(plain).alias("closed"), x.normalised(F.col("title_hint")).alias("title_norm"))
 
 
 def _field_overlap(a: str, b: str) -> Column:
@@ -58,7 +59,7 @@ def _field_overlap(a: str, b: str) -> Column:
     same = lambda f: (F.col(f"{a}.{f}") == F.col(f"{b}.{f}")).cast("double")
     number = F.when(known("doc_no_norm"), same("doc_no_norm")).when(known("doc_no_prefix"), same("doc_no_prefix"))
     tests = F.array_compact(F.array(number, *(F.when(known(f), same(f)) for f in ("responsible_norm", "date_norm"))))
-    return F.when(F.size(tests) > 0, F.round(F.aggregate(tests, F.lit(0.0), lambda s, v: s + v) / F.size(tests), 4)).otherwise(0.0)
+    return F.when(F.size(tests) > 0, x.rounded(F.aggregate(tests, F.lit(0.0), lambda s, v: s + v) / F.size(tests))).otherwise(0.0)
 
 
 def scored(pages: DataFrame, exact_title: bool = False) -> DataFrame:
@@ -72,12 +73,12 @@ def scored(pages: DataFrame, exact_title: bool = False) -> DataFrame:
             pages = pages.withColumn(c, F.lit(None).cast(kind))
     w = Window.partitionBy("batch_id", "prefix").orderBy("r.page_no", "r.id")
     # grams are made once a page, not once as left and once as right
-    pages = pages.withColumn("grams", x.grams(F.left("signature", F.lit(3000))))
+    pages = pages.withColumn("grams", x.grams(F.left("signature", F.lit(COMPARED))))
     row = F.struct("page_no", "id", "grams", "entities", "attachment", "continuation", "closed", "title_norm", "family", "visual", "bias", "doc_no_norm", "doc_no_prefix", "responsible_norm", "date_norm")
     p = pages.select("batch_id", "prefix", row.alias("r")).withColumn("l", F.lag("r").over(w)).filter("l is not null")
     gap = F.greatest(F.lit(1), F.col("r.page_no") - F.col("l.page_no"))
     title = F.when((F.col("l.title_norm") == "") | (F.col("r.title_norm") == ""), 0.0)
-    title = title.otherwise((F.col("l.title_norm") == F.col("r.title_norm")).cast("double")) if exact_title else F.round(gestalt(F.col("l.title_norm"), F.col("r.title_norm")), 4)
+    title = title.otherwise((F.col("l.title_norm") == F.col("r.title_norm")).cast("double")) if exact_title else x.rounded(gestalt(F.col("l.title_norm"), F.col("r.title_norm")))
     p = p.select("batch_id", "prefix", "l", "r", gap.alias("gap"), F.coalesce("r.visual", F.lit(0.5)).alias("v"), F.coalesce(x.jaccard(F.col("l.grams"), F.col("r.grams")), F.lit(0.0)).alias("t"), title.alias("h"), F.coalesce(x.jaccard(F.col("l.entities"), F.col("r.entities")), F.lit(0.0)).alias("e"), _field_overlap("l", "r").alias("f"))
     fl, fr = F.coalesce("l.family", F.lit("")), F.coalesce("r.family", F.lit(""))
     same = (fl != "") & (fl == fr)
@@ -91,7 +92,7 @@ def scored(pages: DataFrame, exact_title: bool = False) -> DataFrame:
     score = score + F.when(h >= 0.62, 0.06).when(cont & near & (h >= 0.15), 0.08).otherwise(0.0) + when(cont & near & ~att, 0.18)
     score = score - when(~near, F.least(F.lit(0.24), (F.col("gap") - 1) * 0.12)) - when((fl != "") & (fr != "") & (fl != fr), 0.22) - when(ends, 0.32) - when(att & ~same, 0.18)
     score = score - when((v <= 0.18) & (e <= 0.05) & (t <= 0.05) & ~(cont & near), 0.12) + F.coalesce("r.bias", F.lit(0.0))
-    out = p.select("batch_id", "prefix", F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), F.col("l.page_no").alias("left_page"), F.col("r.page_no").alias("right_page"), fl.alias("left_family"), fr.alias("right_family"), F.round(F.greatest(F.lit(0.02), F.least(F.lit(0.98), score)), 4).alias("score"), ends.alias("ends"))
+    out = p.select("batch_id", "prefix", F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), F.col("l.page_no").alias("left_page"), F.col("r.page_no").alias("right_page"), fl.alias("left_family"), fr.alias("right_family"), x.rounded(F.greatest(F.lit(0.02), F.least(F.lit(0.98), score))).alias("score"), ends.alias("ends"))
     return out.withColumn("strong_split", (F.col("score") <= SPLIT) | F.col("ends")).drop("ends").withColumn("merge", F.col("score") >= MERGE).withColumn("ambiguous", F.col("score").between(AMBIGUOUS, MERGE) & ~F.col("merge"))
 
 

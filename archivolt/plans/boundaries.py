@@ -8,7 +8,7 @@ from archivolt.functions import text as x
 from archivolt.functions.blocks import ratio_sql
 from archivolt.functions.text import document_family, title_hint
 from archivolt.operators import boundary
-from archivolt.plans.data import PAGES, pages, read
+from archivolt.plans.data import PAGES, numbered, read, tasks
 from archivolt.streaming import tasks as events
 
 EVENT = "CASE event_type WHEN 'purchase' THEN 'completion' WHEN 'error' THEN 'failure' WHEN 'signup' THEN 'pause' ELSE 'progress' END"
@@ -21,10 +21,11 @@ EXTRA = ("CASE WHEN id % 4 > 0 THEN concat('2024', id % 2) END AS date_norm", "C
 
 
 def _prepared(s, d):
-    """The pages of a batch are one sequence; families are told by titles and texts."""
-    p = pages(s, d).selectExpr("batch_id", "batch_id AS prefix", "page_no", "id", f"{PAGE} AS full_text", *(e.format(d="D") for e in EXTRA))
+    """The pages of a batch are one sequence; families are told by titles and texts. Texts are read before pages are numbered, in all tasks, and don't meet by batch."""
+    p = tasks(s, d).selectExpr("batch_id", "batch_id AS prefix", "id", f"{PAGE} AS full_text", *(e.format(d="D") for e in EXTRA))
     p = p.withColumn("title_hint", title_hint(F.col("full_text")))
-    return boundary.prepared(p.withColumn("family", document_family(F.col("title_hint"), F.col("full_text"))))
+    p = boundary.prepared(p.withColumn("family", document_family(F.col("title_hint"), F.col("full_text"))))
+    return numbered(p.withColumn("signature", F.left("signature", F.lit(boundary.COMPARED))).drop("full_text"))
 
 
 def scores(s, d):

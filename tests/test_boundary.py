@@ -2,9 +2,13 @@
 
 import random
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from archivolt.functions import text as x
 from archivolt.operators import boundary
+from archivolt.plans import boundaries
 
 
 def total(pages, cuts):
@@ -55,3 +59,16 @@ def test_groups(spark):
 def test_empty_table(spark):
     d = boundary.scored(rows(spark))
     assert d.count() == 0
+
+
+def test_rounding_goes_by_the_product(spark):
+    values = [0.45994999999999997, 0.9473499999999999, 0.44734999999999997, 0.58735, 0.00125, 0.03125, 0.0, 1.0]
+    got = [r.v for r in spark.createDataFrame([(v,) for v in values], "v double").select(x.rounded(F.col("v")).alias("v")).collect()]
+    assert got == [v[0] for v in duckdb.execute("SELECT round(unnest(?::DOUBLE[]), 4)", [values]).fetchall()]
+    assert got[:3] == [0.46, 0.9474, 0.4474]  # Spark's round gives 0.4599, 0.9473, 0.4473
+
+
+def test_texts_do_not_meet_by_batch(spark):
+    plan = boundaries.scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("row_number") :]
+    assert "full_text" not in window.split("\n")[0] and plan.rindex("AS signature") > plan.index("row_number")  # below the numbering
