@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions.blocks import gestalt
+from archivolt.functions.text import once
 from archivolt.operators.graph import _written as written
 from archivolt.operators.graph import components
 from archivolt.operators.listing import candidate_order
@@ -49,8 +50,8 @@ def title_keys(title: Column) -> Column:
     """
     n = F.length(title)
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: F.substring(title, i, F.lit(2)))
-    counted = F.transform(grams, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(grams, F.lit(1), i), lambda h: h == g)).cast("string")))
-    ranked = F.array_sort(F.transform(counted, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
+    count = lambda own: F.transform(own, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(own, F.lit(1), i), lambda h: h == g)).cast("string")))
+    ranked = F.array_sort(F.transform(once(grams, count), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
     most = n - 1 - F.greatest(F.lit(1), F.ceil(n * (2 * ALIKE - 1.2) - 1).cast("int")) + 1
     return F.transform(F.slice(ranked, F.lit(1), F.greatest(F.lit(1), most)), lambda x: x["g"])
 
@@ -89,16 +90,19 @@ def candidate_pairs(candidates: DataFrame) -> DataFrame:
     swap = F.col("o.idx") < F.col("r.idx")
     found = found.unionByName(held.select("batch_id", F.when(swap, F.col("o")).otherwise(F.col("r")).alias("l"), F.when(swap, F.col("r")).otherwise(F.col("o")).alias("r")))
 
-    titled = rows.filter(known("title_norm")).select("batch_id", "r", F.explode(title_keys(F.col("r.title_norm"))).alias("key"))
-    others = titled.select("batch_id", F.col("r").alias("o"), "key")
+    titled = rows.filter(known("title_norm")).withColumn("keys", title_keys(F.col("r.title_norm"))).select("batch_id", "r", "keys", F.explode("keys").alias("key"))
+    others = titled.select("batch_id", F.col("r").alias("o"), F.col("keys").alias("o_keys"), "key")
     share = lambda name: (F.col(f"r.{name}") == F.col(f"o.{name}")) & (F.coalesce(F.col(f"r.{name}"), F.lit("")) != "")
     sizes = lambda name, least: 2 * F.least(F.length(f"r.{name}"), F.length(f"o.{name}")) >= least * (F.length(f"r.{name}") + F.length(f"o.{name}")) - 1e-9
     same = F.coalesce(share("date_norm") | share("responsible_norm"), F.lit(False))
-    alike = titled.join(others, ["batch_id", "key"]).filter((F.col("r.idx") > F.col("o.idx")) & sizes("title_norm", ALIKE) & (same | F.coalesce(sizes("filename_norm", ALIKE_FILES), F.lit(False))))
+    # two meet at the first of the keys they share, so that no pair is made twice and none is looked for among all
+    first = F.get(F.array_intersect("keys", "o_keys"), F.lit(0)) == F.col("key")
+    alike = titled.join(others, ["batch_id", "key"]).filter((F.col("r.idx") > F.col("o.idx")) & sizes("title_norm", ALIKE) & (same | F.coalesce(sizes("filename_norm", ALIKE_FILES), F.lit(False))) & first)
     equal = F.col("r.title_norm") == F.col("o.title_norm")
-    alike = alike.filter(~(equal & same)).select("batch_id", F.col("o").alias("l"), "r").dropDuplicates(["batch_id", "l", "r"])
+    alike = alike.filter(~(equal & same)).select("batch_id", F.col("o").alias("l"), "r")
     alike = alike.filter(F.when(F.col("l.title_norm") == F.col("r.title_norm"), True).otherwise(gestalt(F.col("l.title_norm"), F.col("r.title_norm")) >= ALIKE))
-    return found.unionByName(alike).dropDuplicates(["batch_id", "l", "r"])
+    pairs = found.unionByName(alike).withColumn("__l", F.col("l.idx")).withColumn("__r", F.col("r.idx"))
+    return pairs.dropDuplicates(["batch_id", "__l", "__r"]).select("batch_id", "l", "r")
 
 
 def _same(name: str) -> Column:

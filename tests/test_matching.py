@@ -1,10 +1,13 @@
 """Candidate pairs against all pairs of a batch."""
 
 import random
+from unittest import mock
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from archivolt.functions import blocks
 from archivolt.functions.blocks import gestalt, ratio
 from archivolt.operators import matching as m
 
@@ -62,3 +65,14 @@ def test_title_keys(spark):
             pairs.append((a, "".join(b)))
     df = spark.createDataFrame(pairs, "a string, b string").select(F.size(F.array_intersect(m.title_keys(F.col("a")), m.title_keys(F.col("b")))).alias("n"))
     assert len(pairs) > 500 and df.filter("n = 0").count() == 0
+
+
+def test_keys_of_titles_are_made_once_and_pairs_meet_once(spark):
+    keys = m.title_keys(F.col("t"))
+    rows = spark.createDataFrame([("minutes of the council of the city",), ("aaaa",), ("x",)], "t string").select(keys.alias("k")).collect()
+    assert [len(set(r.k)) == len(r.k) for r in rows] == [True] * 3 and rows[2].k == ["x#0"]
+    seen = []
+    text = [("a", "abcdefgh", "abcdefgx")] * 50
+    with mock.patch.object(blocks, "ratio", side_effect=lambda a, b, c: seen.append(a) or 0.5):
+        assert [x for s in blocks._ratios(iter([(pd.Series([t[1] for t in text]), pd.Series([t[2] for t in text]))])) for x in s] == [0.5] * 50
+    assert len(seen) == 1  # before: 50
