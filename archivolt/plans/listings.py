@@ -189,7 +189,7 @@ def _split(text: str) -> list[str]:
 
 
 def _decided(s, d):
-    c = _candidates(s, d)
+    c = m.written(_candidates(s, d))  # read by every kind of key
     pairs = m.between(c, m.candidate_pairs(c))
     a, b = F.col("l.title_norm"), F.col("r.title_norm")
     return m.decided(pairs, F.when((a == b) & (a != ""), 1.0).otherwise(gestalt(a, b)), (F.col("l.filename_norm") == F.col("r.filename_norm")).cast("double"))
@@ -205,7 +205,9 @@ def decisions(s, d):
 
 
 def merged(s, d):
-    c, found = _candidates(s, d), _decided(s, d)
+    c = _candidates(s, d)
+    # links and questions are read off one table, so that no pair is decided twice
+    found = m.written(_decided(s, d).select(F.struct("l.id").alias("l"), F.struct("r.id").alias("r"), "decision", "ask", "accept"))
     answers = found.filter("ask").select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id")).selectExpr("left_id", "right_id", f"{SAME} AS same", f"{SURE} AS confidence")
     return m.merged(c, found, answers)
 
