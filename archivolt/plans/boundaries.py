@@ -8,6 +8,7 @@ from archivolt.functions import text as x
 from archivolt.functions.blocks import ratio_sql
 from archivolt.functions.text import document_family, title_hint
 from archivolt.operators import boundary
+from archivolt.operators.graph import _written as written
 from archivolt.plans.data import PAGES, numbered, read, tasks
 from archivolt.streaming import tasks as events
 
@@ -34,8 +35,8 @@ def scores(s, d):
 
 
 def document_groups(s, d):
-    p = _prepared(s, d)
-    decisions = boundary.decided(boundary.scored(p))
+    p = written(_prepared(s, d))  # read by scores and by segments
+    decisions = written(boundary.decided(boundary.scored(p)))
     return boundary.groups(boundary.segmented(p, decisions), decisions)
 
 
