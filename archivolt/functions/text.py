@@ -35,6 +35,16 @@ def rounded(c: Column, digits: int = 4) -> Column:
     return F.floor(c * float(10**digits) + 0.5) / float(10**digits)
 
 
+def rounded_by_decimal(c: Column, digits: int = 4, places: int = 17) -> Column:
+    """A number of 0 to 90 with so many digits, half up, by its decimal of 17 places, as the SQL casts it: the product with a power of ten is rounded first.
+
+    So noise of sums in the last places doesn't decide a half; Spark's own cast goes by the shortest decimal text.
+    """
+    whole = lambda v: F.floor(v) + (v - F.floor(v) >= 0.5).cast("long")
+    step = 10 ** (places - digits)
+    return F.call_function("div", once(c * float(10**places), whole) + F.lit(step // 2), F.lit(step)) / float(10**digits)
+
+
 def normalised(c: Column, pattern: str = SEPARATORS) -> Column:
     """C-02 and, with SEPARATORS_EVALUATION, C-03."""
     return F.lower(F.regexp_replace(coerced(c), pattern, ""))
@@ -220,12 +230,12 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def profile_distance(rows: tuple[Column, Column], cols: tuple[Column, Column], ink: tuple[Column, Column]) -> Column:
+def profile_distance(rows: tuple[Column, Column], cols: tuple[Column, Column], ink: tuple[Column, Column], digits: Callable[[Column], Column] = lambda c: F.round(c, 4)) -> Column:
     """C-47: mean of the row, column and ink gaps, 4 digits; the ink gap alone where a profile is missing."""
     gap = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / F.size(a)
     sizes = [F.size(x) > 0 for x in (*rows, *cols)]
     inks = F.abs(ink[0] - ink[1])
-    return F.when(sizes[0] & sizes[1] & sizes[2] & sizes[3], F.round((gap(*rows) + gap(*cols) + inks) / 3, 4)).otherwise(inks)
+    return F.when(sizes[0] & sizes[1] & sizes[2] & sizes[3], digits((gap(*rows) + gap(*cols) + inks) / 3)).otherwise(inks)
 
 
 def change_score(ph: Column, layout: Column, profile: Column, text: Column, threshold: int) -> Column:

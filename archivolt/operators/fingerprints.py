@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archivolt.functions.text import page_splits, profile_distance
+from archivolt.functions.text import page_splits, profile_distance, rounded_by_decimal
 
 # Sides of the image and of the low band of a perceptual hash, cells and bins of a layout, limits of ink, and what a complex page is.
 SIDE, LOW, GRID, BINS = 32, 8, 16, 16
@@ -91,12 +91,12 @@ def layout_distance(a: Column, b: Column) -> Column:
 
 
 def compared(marks: DataFrame, document: str, order: str, threshold: int) -> DataFrame:
-    """C-48 on C-49: each page with how far it is from the one before in its document, and whether a new document starts; the first page starts none."""
+    """C-48 on C-49: each page with how far it is from the one before in its document, and whether a new document starts; the first page starts none. Halves of profile distances are told by 17 places."""
     w = Window.partitionBy(document).orderBy(order)
     names = ("phash", "layout", "ink", "row_profile", "col_profile")
     rows = marks.select("*", *(F.lag(c).over(w).alias(f"__{c}") for c in names))
     pair = lambda c: (F.col(f"__{c}"), F.col(c))
     ph = F.bit_count(F.col("__phash").bitwiseXOR(F.col("phash"))).cast("int")
-    rows = rows.select(document, order, ph.alias("phash_distance"), layout_distance(*pair("layout")).alias("layout_distance"), profile_distance(pair("row_profile"), pair("col_profile"), pair("ink")).alias("profile_distance"))
+    rows = rows.select(document, order, ph.alias("phash_distance"), layout_distance(*pair("layout")).alias("layout_distance"), profile_distance(pair("row_profile"), pair("col_profile"), pair("ink"), rounded_by_decimal).alias("profile_distance"))
     split = page_splits(F.col("phash_distance"), F.col("layout_distance"), F.col("profile_distance"), F.lit(None).cast("double"), threshold)
     return rows.withColumn("starts", F.coalesce(split, F.lit(False)))
