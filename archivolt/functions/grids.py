@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fields import markdown_rows, table_text
-from .text import coerced
+from .text import coerced, once
 
 # The tokens of a page (scripts and styles whole, comments, tags, entities, text), and entities by name.
 TOKENS = r"""(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->|</?[a-z](?:"[^"]*"|'[^']*'|[^'">])*>|&(?:#[0-9]{1,7}|#x[0-9a-f]{1,6}|[a-z]{2,8});|[^<&]+|[<&]"""
@@ -69,7 +69,7 @@ def is_html_table(c: Column) -> Column:
 
 def with_content(rows: Column) -> Column:
     """Rows of a table that says something; else null."""
-    return F.when(F.exists(F.flatten(rows), lambda x: F.coalesce(coerced(x) != "", F.lit(False))), rows)
+    return once(rows, lambda r: F.when(F.exists(F.flatten(r), lambda x: F.coalesce(coerced(x) != "", F.lit(False))), r))
 
 
 def plain_rows(c: Column) -> Column:

@@ -1,13 +1,15 @@
-"""Regions of pages that say the same twice. What stays depends on the order: one grouped map a page, whose regions are few."""
+"""Regions of pages that say the same twice. What stays depends on the order: a page is one row with its few regions, and Python takes many pages a call."""
 
 from __future__ import annotations
 
-import pandas as pd
+from types import SimpleNamespace
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.functions.blocks import ratio
-from archivolt.functions.seals import better_seal
+from archivolt.functions.seals import best_seal
 from archivolt.functions.text import compact
 
 # Shared parts of the smaller of two tables, with the likeness of their texts that each asks for, and of a text in a table or of two seals.
@@ -45,9 +47,19 @@ def same_table(a, b) -> bool:
     return place >= NEAR_TABLE[0] and bool(a.said and b.said) and _like(a.said, b.said) >= NEAR_TABLE[1]
 
 
-def _kept(page: pd.DataFrame) -> pd.DataFrame:
+def _pages(regions: DataFrame, *own: Column | str) -> DataFrame:
+    """(page_id, all): the regions of each page in the order of their columns, sides that are null as none."""
+    sides = (F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in ("x1", "y1", "x2", "y2"))
+    return regions.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(*own, *sides))).alias("all"))
+
+
+def _regions(pages: pa.Array) -> list[list[SimpleNamespace]]:
+    return [[SimpleNamespace(nth=k, **r) for k, r in enumerate(page)] for page in pages.to_pylist()]
+
+
+def _kept(page: list[SimpleNamespace]) -> list[int]:
     kept, tables = [], []  # tables: [region, its place among kept]
-    for r in page.sort_values("region_id").itertuples():
+    for r in page:
         if r.type == "table":
             twin = next((t for t in tables if same_table(r, t[0])), None)
             if twin is None:
@@ -57,7 +69,11 @@ def _kept(page: pd.DataFrame) -> pd.DataFrame:
                 twin[0] = kept[twin[1]] = r
         elif not (r.type in PLAIN and r.bare and any(shared(r, t) >= COVERED and (not t.said or r.bare in t.said or t.said in r.bare) for t, _ in tables)):
             kept.append(r)
-    return pd.DataFrame({"page_id": [r.page_id for r in kept], "region_id": [r.region_id for r in kept], "place": range(len(kept))})
+    return [r.nth for r in kept]
+
+
+def _kept_of_pages(pages: pa.Array) -> pa.Array:
+    return pa.array(map(_kept, _regions(pages)), pa.list_(pa.int32()))
 
 
 def kept_regions(regions: DataFrame) -> DataFrame:
@@ -66,20 +82,23 @@ def kept_regions(regions: DataFrame) -> DataFrame:
     regions: page_id, region_id (their order), type, content, x1, y1, x2, y2, said (a table's text), score (C-53). A table
     that is one with an earlier one goes, or takes its place if it tells more; a text inside a table that says the same goes.
     """
-    own = regions.select("page_id", "region_id", "type", compact(F.col("content")).alias("bare"), *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")), F.coalesce("said", F.lit("")).alias("said"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    kinds = dict(regions.dtypes)
-    return own.groupBy("page_id").applyInPandas(_kept, f"page_id {kinds['page_id']}, region_id {kinds['region_id']}, place int")
+    pages = _pages(regions, "region_id", "type", compact(F.col("content")).alias("bare"), F.coalesce("said", F.lit("")).alias("said"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    pages = pages.withColumn("kept", F.arrow_udf(_kept_of_pages, "array<int>")("all"))
+    return pages.select("page_id", F.transform("all", lambda r: r["region_id"]).alias("ids"), F.posexplode("kept").alias("place", "nth")).select("page_id", F.get("ids", F.col("nth")).alias("region_id"), "place")
 
 
-def _targets(page: pd.DataFrame) -> pd.DataFrame:
-    there, out = [], []
-    for r in page.sort_values(["detected", "region_id"]).itertuples():
+def _targets(page: list[SimpleNamespace]) -> list[list[int]]:
+    there, out = [], {}
+    for r in page:
         twin = next((t for t in there if shared(r, t) >= SAME_SEAL), None) if r.detected else None
         if twin is None:
             there.append(r)
-        out.append((twin or r).region_id)
-    ordered = page.sort_values(["detected", "region_id"])
-    return pd.DataFrame({"page_id": ordered["page_id"], "region_id": ordered["region_id"], "target": out})
+        out.setdefault((twin or r).nth, []).append(r.nth)
+    return list(out.values())
+
+
+def _targets_of_pages(pages: pa.Array) -> pa.Array:
+    return pa.array(map(_targets, _regions(pages)), pa.list_(pa.list_(pa.int32())))
 
 
 def merged_seals(seals: DataFrame) -> DataFrame:
@@ -89,14 +108,8 @@ def merged_seals(seals: DataFrame) -> DataFrame:
     x1, y1, x2, y2. A detected seal goes to the first one that shares SAME_SEAL with it, detected ones before it included;
     of their texts the better one stays (C-52), in that order. Else it is a seal of its own.
     """
-    kinds = dict(seals.dtypes)
-    place = seals.select("page_id", "region_id", "detected", *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")))
-    found = place.groupBy("page_id").applyInPandas(_targets, f"page_id {kinds['page_id']}, region_id {kinds['region_id']}, target {kinds['region_id']}")
-    rows = seals.join(found, ["page_id", "region_id"]).groupBy("page_id", "target").agg(F.array_sort(F.collect_list(F.struct("detected", "region_id", F.coalesce("content", F.lit("")).alias("content")))).alias("all"))
-
-    def merge(own: Column, x: Column) -> Column:
-        best = better_seal(own, x["content"])
-        return F.when(best != "", best).otherwise(own)
-
-    content = F.aggregate(F.slice("all", F.lit(2), F.size("all")), F.get("all", F.lit(0))["content"], merge)
-    return rows.select("page_id", F.col("target").alias("region_id"), content.alias("content"))
+    pages = _pages(seals, "detected", "region_id", "content")
+    bare = F.transform("all", lambda r: F.struct(*(r[c].alias(c) for c in ("detected", "x1", "y1", "x2", "y2"))))
+    found = pages.withColumn("seals", F.arrow_udf(_targets_of_pages, "array<array<int>>")(bare)).select("page_id", "all", F.explode("seals").alias("of"))
+    own = found.select("page_id", F.transform("of", lambda k: F.get("all", k)).alias("own"))
+    return own.select("page_id", F.get("own", F.lit(0))["region_id"].alias("region_id"), best_seal(F.transform("own", lambda r: r["content"])).alias("content"))
