@@ -29,14 +29,16 @@ def _regions(s, d):
     return rows.select(F.col("id").alias("page_id"), F.col("k").alias("region_id"), *map(F.expr, REGION), cells.alias("cells"))
 
 
+def _told(s, d):
+    return _regions(s, d).withColumn("told", x.table_told(*map(F.col, ("cells", "html", "content"))))
+
+
 def tables(s, d):
-    own = ("cells", "html", "content")
-    return _regions(s, d).select("page_id", "region_id", x.table_said(*map(F.col, own)).alias("said"), F.round(x.table_score(*map(F.col, own)), 6).alias("score"))
+    return _told(s, d).select("page_id", "region_id", "told.said", F.round("told.score", 6).alias("score"))
 
 
 def kept(s, d):
-    own = tuple(map(F.col, ("cells", "html", "content")))
-    return r.kept_regions(_regions(s, d).select("*", x.table_said(*own).alias("said"), x.table_score(*own).alias("score")))
+    return r.kept_regions(_told(s, d).select("*", "told.said", "told.score"))
 
 
 def _seals(s, d):
