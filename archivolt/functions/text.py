@@ -196,10 +196,14 @@ def number_prefix(c: Column) -> Column:
 
 def dates(c: Column) -> Column:
     """C-23: distinct ISO dates in order; a day up to 31 is taken in any month."""
-    part = lambda k: F.regexp_extract_all(c, F.lit(DATE), F.lit(k))
-    all3 = F.arrays_zip(part(1).alias("y"), part(2).alias("m"), part(3).alias("d"))
-    valid = F.filter(all3, lambda x: x["y"].cast("int").between(1900, 2100) & x["m"].cast("int").between(1, 12) & x["d"].cast("int").between(1, 31))
-    return F.array_distinct(F.transform(valid, lambda x: F.concat_ws("-", x["y"], F.lpad(x["m"], 2, "0"), F.lpad(x["d"], 2, "0"))))
+
+    def found(text: Column) -> Column:
+        part = lambda k: F.regexp_extract_all(text, F.lit(DATE), F.lit(k))
+        all3 = F.arrays_zip(part(1).alias("y"), part(2).alias("m"), part(3).alias("d"))
+        valid = F.filter(all3, lambda x: x["y"].cast("int").between(1900, 2100) & x["m"].cast("int").between(1, 12) & x["d"].cast("int").between(1, 31))
+        return F.array_distinct(F.transform(valid, lambda x: F.concat_ws("-", x["y"], F.lpad(x["m"], 2, "0"), F.lpad(x["d"], 2, "0"))))
+
+    return once(c, found)
 
 
 def is_page_number(c: Column) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions.fields import archive_number
-from archivolt.functions.text import dates, is_page_number
+from archivolt.functions.text import dates, is_page_number, once
+from archivolt.operators.graph import _written as written
 
 from . import scored
 from .scored import TITLE_KINDS, clean_line, doc_number, search_text, text_lines
@@ -33,6 +34,8 @@ NUMBER_HEAD = r"^([\x{4e00}-\x{9fa5}A-Za-z]{2,20})"
 # The same patterns put together: the longest end of a name is tried first.
 ORGANISATION = rf"[{NAME}]{{2,60}}(?:{'|'.join(sorted(ORGANISATIONS, key=len, reverse=True))})"
 ACTING, ENDING, ANYWHERE = rf"({ORGANISATION})\s*(?:{ACTS})", rf"({ORGANISATION})$", f"({ORGANISATION})"
+#: What the name of any organisation or party ends with: a text without one holds no name.
+LAST = f"[{''.join(sorted({w[-1] for w in (*ORGANISATIONS, *PARTY_ENDS.split('|'))}))}]"
 PARTY_NAME = rf"{PARTY}\s*([{NAME}]+(?:{PARTY_ENDS}))"
 #: Top part of a page that can hold a title; groups that are compared; the least gap between two lines of a title and its share of the line above.
 TOP, GROUPS, GAP, GAP_SHARE = 0.55, 6, 18.0, 1.8
@@ -75,15 +78,15 @@ def organisation(c: Column) -> Column:
     """A name without marks of seals and what it did; empty if none of 4 to 40 characters is left."""
     bare = lambda x: F.regexp_replace(x, f"^{MARKS}|{MARKS}$", "")
     clean = bare(F.regexp_replace(F.regexp_replace(clean_line(c), SEALED, ""), f"(?:{ACTS}).*$", ""))
-    name = F.coalesce(F.nullif(bare(F.regexp_extract(clean, ANYWHERE, 1)), F.lit("")), clean)
-    return F.when(F.length(name).between(4, 40), name).otherwise("")
+    inner = lambda x: once(bare(F.regexp_extract(x, ANYWHERE, 1)), lambda n: F.when(n == "", x).otherwise(n))
+    return once(once(clean, inner), lambda name: F.when(F.length(name).between(4, 40), name).otherwise(""))
 
 
 def organisations(c: Column) -> Column:
     """The names in a text, each once: of a party to a contract, before an act, at the end, and anywhere."""
-    line = clean_line(c)
-    found = F.concat(F.array(F.regexp_extract(line, PARTY_NAME, 1)), *(F.regexp_extract_all(line, F.lit(p), F.lit(1)) for p in (ACTING, ENDING, ANYWHERE)))
-    return F.array_distinct(F.filter(F.transform(found, organisation), lambda x: x != ""))
+    found = lambda line: F.concat(F.array(F.regexp_extract(line, PARTY_NAME, 1)), *(F.regexp_extract_all(line, F.lit(p), F.lit(1)) for p in (ACTING, ENDING, ANYWHERE)))
+    names = F.array_distinct(F.filter(F.transform(once(clean_line(c), found), organisation), lambda x: x != ""))
+    return F.when(c.rlike(LAST), names).otherwise(F.array().cast("array<string>"))
 
 
 def responsible(items: DataFrame) -> DataFrame:
@@ -114,7 +117,7 @@ def all_items(items: DataFrame, texts: DataFrame) -> DataFrame:
 
 def title_of_lines(lines: Column) -> Column:
     """The first of ten lines that names a kind of document; else the longest of eight."""
-    named = F.filter(F.slice(lines, 1, 10), lambda x: (F.length(x) >= 6) & ~is_page_number(search_text(x)) & (doc_number(x) == "") & _is_title(x))
+    named = F.filter(F.slice(lines, 1, 10), lambda x: (F.length(x) >= 6) & _is_title(x) & ~is_page_number(search_text(x)) & (doc_number(x) == ""))
     longest = F.aggregate(F.slice(lines, 1, 8), F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
     return F.left(F.coalesce(F.get(named, F.lit(0)), longest), F.lit(120))
 
@@ -122,12 +125,14 @@ def title_of_lines(lines: Column) -> Column:
 def eight_fields(items: DataFrame, texts: DataFrame) -> DataFrame:
     """C-20: one row of eight fields for each of texts (id, filename, full_text, page_count); what is not found is ''.
 
-    items may lack documents, whose lines are used then, and may repeat an item, which counts once.
+    items may lack documents, whose lines are used then, and may repeat an item, which counts once. Items are written
+    once, and a text is cut into lines once.
     """
-    own = all_items(items, texts)
-    lines = text_lines(F.col("full_text"))
-    rest = scored.with_fall_backs(scored.scored_fields(own), texts.select("id", "full_text"))
-    rows = texts.join(rest, "id").join(titles(own), "id", "left").join(responsible(own), "id", "left")
+    own = written(all_items(items, texts))
+    found = scored.scored_fields(own).join(titles(own), "id", "full").join(responsible(own), "id", "full")
+    rows = texts.join(found, "id", "left").withColumn("lines", text_lines(F.col("full_text")))
+    other = scored.fall_backs(F.col("lines"), F.col("full_text"))
+    rows = rows.withColumns({c: F.coalesce(F.col(c), v, F.lit("")) for c, v in other.items()})
     party = F.coalesce("responsible", F.regexp_extract("doc_no", NUMBER_HEAD, 1))
     pages = F.coalesce(F.nullif(F.col("page_count").cast("long"), F.lit(0)).cast("string"), F.lit(""))
-    return rows.select("id", archive_number(F.col("filename")).alias("archive_no"), "doc_no", party.alias("responsible"), F.coalesce(F.nullif(F.col("title"), F.lit("")), title_of_lines(lines)).alias("title"), "date", pages.alias("pages"), "classification", F.lit("").alias("remarks"))
+    return rows.select("id", archive_number(F.col("filename")).alias("archive_no"), "doc_no", party.alias("responsible"), F.coalesce(F.nullif(F.col("title"), F.lit("")), title_of_lines(F.col("lines"))).alias("title"), "date", pages.alias("pages"), "classification", F.lit("").alias("remarks"))

@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.functions.fields import CLASSIFICATION, first_match
-from archivolt.functions.text import dates
+from archivolt.functions.text import dates, once
 
 # Document numbers in normalised brackets, kinds of titles, and words near a date of issue or of a period.
 DOC_NUMBERS = (
     r"([\x{4e00}-\x{9fa5}A-Za-z]{2,20}(?:字|发|函|办|通|报|党组|工)?(?:\[\d{4}\]|\(\d{4}\)|\d{4})\s*(?:第\s*)?\d+\s*号)",
     r"([\x{4e00}-\x{9fa5}A-Za-z]{2,20}(?:发|函|字|办)\s*(?:\[\d{4}\]|\(\d{4}\))\s*\d+\s*号)",
 )
+NUMBER_END = "号"
 TITLE_KINDS = ("doc_title", "title", "paragraph_title", "content_title", "abstract_title", "reference_title")
 ISSUED, PERIOD = ("印发", "成文", "日期"), ("起", "截至", "会议", "活动", "培训", "实施")
 PAGE_HEAD = r"^---\s*第\s*\d+\s*页\s*---$"
@@ -30,9 +31,13 @@ def clean_line(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), "　\xa0", "  "), r"\s+", " "), ENDS, "")
 
 
+def one_bracket(c: Column) -> Column:
+    return F.translate(c, "〔〕（）【】", "[]()[]")
+
+
 def search_text(c: Column) -> Column:
     """A clean line with one form of each bracket."""
-    return F.translate(clean_line(c), "〔〕（）【】", "[]()[]")
+    return one_bracket(clean_line(c))
 
 
 def text_lines(text: Column) -> Column:
@@ -42,7 +47,8 @@ def text_lines(text: Column) -> Column:
 
 def doc_number(c: Column) -> Column:
     """C-22: the document number of a line with its year in one form of brackets; empty without any."""
-    return F.translate(F.regexp_replace(first_match(search_text(c), DOC_NUMBERS, 1), r"\s+", ""), "[]()", "〔〕〔〕")
+    found = once(search_text(c), lambda t: once(first_match(t, DOC_NUMBERS, 1), lambda n: F.translate(F.regexp_replace(n, r"\s+", ""), "[]()", "〔〕〔〕")))
+    return F.when(F.contains(c, F.lit(NUMBER_END)), found).otherwise("")  # all patterns end so
 
 
 def distinct_items(items: DataFrame, step: float = 12.0) -> DataFrame:
@@ -75,11 +81,13 @@ def scored_fields(items: DataFrame) -> DataFrame:
     Of equal scores the first item wins, in the order of pages and places; for a date the last page and the lowest place.
     """
     y, page, n = F.col("y_ratio"), F.col("page_index"), F.length("text")
-    number = F.nullif(doc_number(F.col("text")), F.lit(""))
+    filled = lambda c: once(c, lambda x: F.nullif(x, F.lit("")))
+    number = filled(doc_number(F.col("text")))
     of_number = _points((page == 0, 8), (n <= 40, 2), (F.col("kind").isin(*TITLE_KINDS), 1)) + F.when(y < 0.35, 10).when(y < 0.5, 4).otherwise(-4)
-    level = F.nullif(F.regexp_extract(clean_line(F.col("text")), CLASSIFICATION, 0), F.lit(""))
+    level = filled(F.regexp_extract(clean_line(F.col("text")), CLASSIFICATION, 0))
     of_level = _points((page == 0, 4), ((y < 0.2) | (y > 0.75), 6), (n <= 12, 4))
-    found = dates(search_text(F.col("text")))
+    items = items.withColumns({"__number": number, "__level": level, "__dates": dates(search_text(F.col("text")))})
+    number, level, found = F.col("__number"), F.col("__level"), F.col("__dates")
     last = page == F.col("page_total") - 1
     of_date = _points((last, 4), (n <= 24, 2), (_has(F.col("text"), ISSUED), 4), (_has(F.col("text"), PERIOD), -4)) + F.when(y > 0.6, 10).when((page == 0) & (y < 0.35), 4).otherwise(0)
     date = F.max_by(F.get(found, F.lit(0)), F.when(F.size(found) > 0, F.struct(of_date.alias("s"), "page_index", "y1", (-F.col("x1")).alias("x"), (-F.col("seq")).alias("k"))))
@@ -87,12 +95,15 @@ def scored_fields(items: DataFrame) -> DataFrame:
     return items.groupBy("id").agg(_first(number, of_number, *place).alias("doc_no"), date.alias("date"), _first(level, of_level, *place).alias("classification"))
 
 
-def with_fall_backs(fields: DataFrame, texts: DataFrame) -> DataFrame:
-    """Fields that no item gives, from the text (id, full_text): a number in its first 12 lines, any date, a level in its first 600 characters."""
-    lines = text_lines(F.col("full_text"))
+def fall_backs(lines: Column, text: Column) -> dict[str, Column]:
+    """Of a text and its lines (text_lines): a number in its first 12 lines, any date, a level in its first 600 characters; null without any."""
     number = F.get(F.filter(F.transform(F.slice(lines, 1, 12), doc_number), lambda x: x != ""), F.lit(0))
-    date = F.get(dates(F.array_join(F.transform(lines, search_text), "\n")), F.lit(0))
-    level = F.nullif(F.regexp_extract(F.left(search_text(F.col("full_text")), F.lit(600)), CLASSIFICATION, 0), F.lit(""))
-    rows = texts.join(fields, "id", "left")
-    own = {"doc_no": number, "date": date, "classification": level}
-    return rows.select("id", *(F.coalesce(F.col(c), other, F.lit("")).alias(c) for c, other in own.items()))
+    date = F.get(dates(one_bracket(F.array_join(lines, "\n"))), F.lit(0))  # lines are clean
+    level = F.nullif(F.regexp_extract(F.left(search_text(text), F.lit(600)), CLASSIFICATION, 0), F.lit(""))
+    return {"doc_no": number, "date": date, "classification": level}
+
+
+def with_fall_backs(fields: DataFrame, texts: DataFrame) -> DataFrame:
+    """Fields of documents (id), and from the text (id, full_text) those that no item gives."""
+    rows = texts.join(fields, "id", "left").withColumn("lines", text_lines(F.col("full_text")))
+    return rows.select("id", *(F.coalesce(F.col(c), other, F.lit("")).alias(c) for c, other in fall_backs(F.col("lines"), F.col("full_text")).items()))

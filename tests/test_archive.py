@@ -1,5 +1,7 @@
 """Titles, responsible parties and the eight fields on worked examples."""
 
+from pyspark.sql import functions as F
+
 from archivolt.operators import archive, scored
 
 KIND = "id long, page_index int, page_total int, y_ratio double, x1 double, y1 double, x2 double, y2 double, height double, text string, kind string, source string, seq int"
@@ -46,6 +48,20 @@ def test_eight_fields(spark):
     assert got[3] == ("", "", "", "", "", "", "", "")
 
 
+def test_items_and_lines_are_made_once(spark):
+    df = items(spark, (1, "关于印发档案管理办法的通知", 100, 20, "doc_title", 0, 2))
+    texts = spark.createDataFrame([(1, "x.txt", "关于", 2), (2, "y.txt", None, 1)], "id long, filename string, full_text string, page_count int")
+    plan = archive.eight_fields(df, texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 1 and plan.count("split(coalesce(full_text") == 1  # only names are exploded; only lines are split
+
+
+def test_names_only_where_one_can_end(spark):
+    assert {w[-1] for w in archive.ORGANISATIONS} | {w[-1] for w in archive.PARTY_ENDS.split("|")} == set(archive.LAST[1:-1])
+    assert all(pattern.endswith(scored.NUMBER_END + ")") for pattern in scored.DOC_NUMBERS)
+    got = spark.createDataFrame([("x" * 30000,), (None,), ("没有名字",)], "t string").select(archive.organisations(F.col("t")).alias("o")).collect()
+    assert [r.o for r in got] == [[], [], []]
+
+
 def test_distinct_items(spark):
     df = items(spark, (1, "a b", 18, 1, "t", 0, 1), (1, "ab", 18, 1, "t", 0, 1), (1, "ab", 30, 1, "t", 0, 1), (1, "ab", 29, 1, "t", 0, 1), (1, "ab", 18, 1, "t", 1, 2))
     # 18 / 12 and 30 / 12 are halves: both round to 2
