@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from archivolt.operators import readings as r
@@ -14,16 +16,45 @@ SHARE = "round(length(regexp_replace({p}, '[^a-zA-Z]', ''{g})) / CAST(greatest(1
 NUMBER, TITLE = "CASE id % 5 WHEN 0 THEN ' A 1' WHEN 1 THEN 'A1' WHEN 2 THEN batch_id ELSE ' ' END", "CASE WHEN id % 3 = 0 THEN concat('t', lang) ELSE concat('t ', lang) END"
 
 
+# What of a page counts after each way of preparing it: its characters but spaces, these without digits, letters alone.
+COUNTED = ("solid", "solid - digits", "letters")
+
+
+_BYTE = np.arange(256)
+_LETTER, _DIGIT = (_BYTE | 32 >= ord("a")) & (_BYTE | 32 <= ord("z")) & (_BYTE < 128), (_BYTE >= ord("0")) & (_BYTE <= ord("9"))
+_SOLID = (_BYTE & 0xC0 != 0x80) & (_BYTE != ord(" ")) & (_BYTE != ord("\n"))  # first bytes of characters
+
+
+def characters(batches):
+    """How many letters and digits (ASCII) and characters but spaces and line breaks a text has; many times faster than replacing them by an expression."""
+    for batch in batches:
+        text = batch.column("full_text").fill_null("").cast(pa.large_binary())
+        offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        data, out = np.frombuffer(text.buffers()[2] or b"", np.uint8), np.zeros((3, len(text)), np.int32)
+        i = 0
+        while i < len(text):  # about a megabyte at a time
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 20), "right")) - 1)
+            at = offsets[i : j + 1] - offsets[i]
+            for k, kind in enumerate((_LETTER, _DIGIT, _SOLID)):
+                sums = np.r_[0, np.cumsum(kind[data[offsets[i] : offsets[j]]])]
+                out[k, i:j] = sums[at[1:]] - sums[at[:-1]]
+            i = j
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "batch_id", "lang")), *map(pa.array, out)], names=["id", "batch_id", "lang", "letters", "digits", "solid"])
+
+
 def _reader(pages):
     out = F.lit(None).cast("double")
-    for k, how in enumerate(PREPARED):
-        prepared = how.format(t="coalesce(full_text, '')", g="")
-        out = F.when(F.col("strategy") == r.STRATEGIES[k], F.expr(SHARE.format(p=prepared, g="", d="D"))).otherwise(out)
+    for k, counted in enumerate(COUNTED):
+        share = F.expr(f"round(letters / CAST(greatest(1, {counted}) AS DOUBLE) - id % 13 / 40.0D, 4)")
+        out = F.when(F.col("strategy") == r.STRATEGIES[k], share).otherwise(out)
     return pages.withColumn("confidence", out)
 
 
 def _read(s, d):
-    return r.read_until_sure(tasks(s, d).select("id", "batch_id", "lang", "full_text"), _reader)
+    """The readings of pages, without their texts: each text is gone through once, and what it has of each kind is what rounds write and read."""
+    names = "id long, batch_id string, lang string, letters int, digits int, solid int"
+    counted = tasks(s, d).select("id", "batch_id", "lang", "full_text").mapInArrow(characters, names)
+    return r.read_until_sure(counted, _reader)
 
 
 def reread(s, d):
@@ -32,7 +63,8 @@ def reread(s, d):
 
 def results(s, d):
     fields = F.create_map(F.lit("doc_no"), F.expr(NUMBER), F.lit("title"), F.expr(TITLE), F.lit("date"), F.lit("2020"), F.lit("other"), F.lit("x"))
-    pages = _read(s, d).select(F.expr("id div 4").alias("task_id"), (F.col("id") % 4 + 1).cast("int").alias("page_num"), F.col("full_text").alias("text"), "confidence", "retries", F.when(F.expr(ISSUE).isNotNull(), F.array(F.expr(ISSUE), F.lit(" "), F.expr(ISSUE))).alias("issues"), fields.alias("fields"))
+    texts = tasks(s, d).select("id", "full_text")
+    pages = _read(s, d).join(texts.hint("merge"), "id").select(F.expr("id div 4").alias("task_id"), (F.col("id") % 4 + 1).cast("int").alias("page_num"), F.col("full_text").alias("text"), "confidence", "retries", F.when(F.expr(ISSUE).isNotNull(), F.array(F.expr(ISSUE), F.lit(" "), F.expr(ISSUE))).alias("issues"), fields.alias("fields"))
     out = r.archived(pages)
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
     return out.select("task_id", F.col("page_count").cast("long").alias("page_count"), F.md5(F.col("full_text").cast("binary")).alias("full_text"), "average_confidence", "min_confidence", "max_confidence", *map(joined, ("retry_pages", "pages_with_issues", "issues")), "doc_no", "title", "date", F.col("conflict_count").cast("long").alias("conflict_count"), "human_review", "review_status", "review_reason", "archive_saved")
