@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, numbered, shingles, signed, table
+from .common import mix, numbered, shingles, signed, small_batches, table, tidy
 from .groups import Forest, block_pairs, candidate_clusters, components, set_overlaps
 
 N, THRESHOLD = 5, 0.8
@@ -92,9 +92,10 @@ def _classes(base: DataFrame, n: int, threshold: float, rows: int, recall: float
     base: rid, doc_id, t. A text is told apart by its 128-bit digest and numbered by the first row that has it.
     keep: the row of the group that stays, with the smallest doc_id; null ids come last, ties by rid.
     """
+    small_batches(base.sparkSession)
     bands = band_count(threshold, rows, recall)
     keyed = base.select("rid", "doc_id", F.unhex(F.md5(F.col("t").cast("binary"))).alias("digest"), "t")
-    signs = table(keyed.mapInArrow(_signer(n, bands, rows), f"rid long, doc_id {dict(base.dtypes)['doc_id']}, digest binary, bands array<long>"))
+    signs = table(keyed.mapInArrow(tidy(_signer(n, bands, rows)), f"rid long, doc_id {dict(base.dtypes)['doc_id']}, digest binary, bands array<long>"))
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "rid")
     classes = signs.filter("bands is not null").groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("weight"), F.first("bands").alias("bands"))
     classes = table(classes.withColumn("node", F.col("first.rid")))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import small_batches, tidy
+
 TIERS = (128, 256, 512, 1024)
 #: Tokens that wait in a task's pool before it is packed, and windows' tokens of a step group.
 POOL, STEP = 1 << 17, 8192
@@ -159,7 +161,8 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, pool: int = POOL, voca
     Windows are exactly full, but for the last of each map task. Rows that repeat a doc_id are packed as
     documents of their own. An empty table gives no rows; other columns are not read.
     """
-    return docs.select("doc_id", "text").mapInArrow(_packing(tuple(sorted(tiers)), pool, vocabulary), SCHEMA)
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(tidy(_packing(tuple(sorted(tiers)), pool, vocabulary)), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc_of_id, slices, span_hashes, words
+from .common import bounded_sample, crc_of_id, give_back, slices, small_batches, span_hashes, tidy, words
 
 #: Bounds of the fit: rows of each label, and characters that are read of such a text. All texts are scored whole.
 PER_LABEL, MOST_CHARS = 1000, 8000
@@ -297,11 +297,15 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tu
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
     got, share = sample(docs, labels, per_label)
-    return Model([r.t for r in got], [r.toxic for r in got], share)
+    model = Model([r.t for r in got], [r.toxic for r in got], share)
+    del got
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with a column toxic_score (double; _2 added to its name as often as docs has it) appended; one row per row, null and empty texts and repeated or null ids included."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"_{k}" for k in range(len(docs.columns))]
     rows = docs.toDF(*names).withColumn("low", F.lower(F.coalesce(names[docs.columns.index("text")], F.lit(""))))
@@ -314,7 +318,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     last = "toxic_score"
     while last in docs.columns:
         last += "_2"
-    return rows.mapInArrow(run, f"{kinds}, score double").toDF(*docs.columns, last)
+    return rows.mapInArrow(tidy(run), f"{kinds}, score double").toDF(*docs.columns, last)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
