@@ -250,18 +250,27 @@ class Model:
         self._calibrate(np.maximum.reduceat(rank, starts).astype(float)[judges], y[row[starts]][judges])
 
     def _calibrate(self, s, y):
-        """Logistic regression of the label on the largest logit, with a little ridge; labels weigh as in all labelled rows."""
+        """Logistic regression of the label on the largest logit, with a little ridge; labels weigh as in all labelled rows.
+
+        Newton's steps are halved until they lower the loss; else they go astray where the labels lie far apart.
+        """
+        middle = float(s.mean())
+        s, sign = s - middle, np.where(y == 1, -1.0, 1.0)
         a, b = 1.0, 0.0
         weight = np.where(y == 1, self.prior / max(y.mean(), 1e-9), (1 - self.prior) / max(1 - y.mean(), 1e-9))
+        loss = lambda a, b: float((weight * np.logaddexp(0, sign * (a * s + b))).sum() + 0.05 * (a - 1) ** 2)
         for _ in range(50):
-            p = _sigmoid(a * s + b)
+            p = _sigmoid(np.clip(a * s + b, -500, 500))
             w = weight * (p * (1 - p) + 1e-6)
             off = weight * (p - y)
             grad = np.array([(off * s).sum() + 0.1 * (a - 1), off.sum()])
             hess = np.array([[(w * s * s).sum() + 0.1, (w * s).sum()], [(w * s).sum(), w.sum()]])
-            move = np.linalg.solve(hess, grad)
-            a, b = a - np.clip(move[0], -1, 1), b - np.clip(move[1], -1, 1)
-        self.scale, self.shift = max(float(a), 1e-3), float(b)
+            move, now = np.linalg.solve(hess, grad), loss(a, b)
+            while abs(move).max() > 1e-9 and loss(a - move[0], b - move[1]) > now:
+                move = move / 2
+            a, b = a - move[0], b - move[1]
+        self.scale = max(float(a), 1e-3)
+        self.shift = float(b) - self.scale * middle
 
     def score(self, column: pa.Array) -> np.ndarray:
         """Scores of texts (lower-cased); without words or training: the sample's share of toxic rows, below one half."""

@@ -181,3 +181,15 @@ def test_toxicity_sample_is_bounded(spark):
     labels = spark.createDataFrame([(k % 50, k % 2) for k in range(100)], "doc_id long, toxic int")
     got, share = tox.sample(docs, labels, per_label=5)
     assert len(got) == 10 and {len(r.t) for r in got} == {tox.MOST_CHARS} and 0 < share < 1
+
+
+def test_calibration_of_labels_that_lie_far_apart():
+    """Undamped steps ended at a shift of -12 here, below which no row was toxic."""
+    rng = np.random.default_rng(3)
+    s = np.r_[np.clip(rng.normal(1.5, 3, 580), -6, 7.3), np.clip(rng.normal(8.5, 0.5, 87), 7.1, 9.3)]
+    y = np.r_[np.zeros(580, np.int64), np.ones(87, np.int64)]
+    model = tox.Model.__new__(tox.Model)
+    model.prior = 0.1
+    model._calibrate(s, y)
+    found = model.scale * s + model.shift >= 0
+    assert found[y == 1].mean() > 0.9 and found[y == 0].mean() < 0.02
