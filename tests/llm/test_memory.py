@@ -49,3 +49,9 @@ def test_freed_memory_is_given_back_at_the_end(monkeypatch):
     given = []
     monkeypatch.setattr(common, "give_back", lambda: given.append(1))
     assert list(common.tidy(lambda batches: (x + 1 for x in batches))(iter([1, 2]))) == [2, 3] and given == [1]
+
+
+def test_tasks_of_candidates(spark):
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [line_dedup._shares(spark, n) for n in (0, 1, 4097)] == [1, 1, min(2, most)]
+    assert line_dedup._shares(spark, 1 << 26) == 1 << 10
