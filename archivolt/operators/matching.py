@@ -4,6 +4,9 @@ A rule says yes, or asks, only for two that are near in the batch's order, near
 document number, a boundary group or a title with its date or party, or have titles that are alike. Pairs that may be asked are
 made in full. What shares a number, a group, or a title and date is one by the rule itself, so each meets only the first and the
 last of its key: yes-links connect.
+
+Rows of a batch meet by sorted keys (hint "merge"): a written table of them is so small by its files' bytes that Spark would
+send its rows, many times as many bytes, through the driver to all tasks.
 """
 
 from __future__ import annotations
@@ -78,7 +81,7 @@ def candidate_pairs(candidates: DataFrame) -> DataFrame:
         _within(rows, "series", known("series_key", "sequence"), "sequence", SERIES_DISTANCE, "series_key"),
     ]
     left, right = (reduce(DataFrame.unionByName, side) for side in zip(*near))
-    found = left.join(right, ["batch_id", "key"]).filter(F.col("r.idx") > F.col("o.idx")).select("batch_id", F.col("o").alias("l"), "r")
+    found = left.join(right.hint("merge"), ["batch_id", "key"]).filter(F.col("r.idx") > F.col("o.idx")).select("batch_id", F.col("o").alias("l"), "r")
 
     key = lambda kind, *parts: F.when(known(*parts), F.concat_ws("\x1f", F.lit(kind), *(F.col(f"r.{p}") for p in parts)))
     keys = F.array_compact(F.array(key("group", "boundary_group"), key("doc", "doc_no_norm"), key("date", "title_norm", "date_norm"), key("party", "title_norm", "responsible_norm")))
@@ -86,7 +89,7 @@ def candidate_pairs(candidates: DataFrame) -> DataFrame:
     # two numbers refuse what a title and date would link, so titles are held by rows without a number
     holds = F.col("key").rlike("^(?:group|doc)\x1f") | ~known("doc_no_norm")
     ends = written(held.filter(holds).groupBy("batch_id", "key").agg(F.min_by("r", "r.idx").alias("a"), F.max_by("r", "r.idx").alias("b")))
-    held = held.join(ends, ["batch_id", "key"]).select("batch_id", "r", F.explode(F.array("a", "b")).alias("o")).filter(F.col("o.id") != F.col("r.id"))
+    held = held.join(ends.hint("merge"), ["batch_id", "key"]).select("batch_id", "r", F.explode(F.array("a", "b")).alias("o")).filter(F.col("o.id") != F.col("r.id"))
     swap = F.col("o.idx") < F.col("r.idx")
     found = found.unionByName(held.select("batch_id", F.when(swap, F.col("o")).otherwise(F.col("r")).alias("l"), F.when(swap, F.col("r")).otherwise(F.col("o")).alias("r")))
 
@@ -97,7 +100,7 @@ def candidate_pairs(candidates: DataFrame) -> DataFrame:
     same = F.coalesce(share("date_norm") | share("responsible_norm"), F.lit(False))
     # two meet at the first of the keys they share, so that no pair is made twice and none is looked for among all
     first = F.get(F.array_intersect("keys", "o_keys"), F.lit(0)) == F.col("key")
-    alike = titled.join(others, ["batch_id", "key"]).filter((F.col("r.idx") > F.col("o.idx")) & sizes("title_norm", ALIKE) & (same | F.coalesce(sizes("filename_norm", ALIKE_FILES), F.lit(False))) & first)
+    alike = titled.join(others.hint("merge"), ["batch_id", "key"]).filter((F.col("r.idx") > F.col("o.idx")) & sizes("title_norm", ALIKE) & (same | F.coalesce(sizes("filename_norm", ALIKE_FILES), F.lit(False))) & first)
     equal = F.col("r.title_norm") == F.col("o.title_norm")
     alike = alike.filter(~(equal & same)).select("batch_id", F.col("o").alias("l"), "r")
     alike = alike.filter(F.when(F.col("l.title_norm") == F.col("r.title_norm"), True).otherwise(gestalt(F.col("l.title_norm"), F.col("r.title_norm")) >= ALIKE))
@@ -127,7 +130,7 @@ def between(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
     w = Window.partitionBy("batch_id", "visual_prefix").orderBy("visual_page_no")
     ranks = candidates.filter(_known("visual_prefix", "visual_page_no")).select("batch_id", "id", F.dense_rank().over(w).alias("rank"))
     left, right = ranks.select("batch_id", F.col("id").alias("l_id"), F.col("rank").alias("l_rank")), ranks.select("batch_id", F.col("id").alias("r_id"), F.col("rank").alias("r_rank"))
-    rows = pairs.withColumn("l_id", F.col("l.id")).withColumn("r_id", F.col("r.id")).join(left, ["batch_id", "l_id"], "left").join(right, ["batch_id", "r_id"], "left")
+    rows = pairs.withColumn("l_id", F.col("l.id")).withColumn("r_id", F.col("r.id")).join(left.hint("merge"), ["batch_id", "l_id"], "left").join(right.hint("merge"), ["batch_id", "r_id"], "left")
     found = _same("visual_prefix") & (F.abs(F.col("l_rank") - F.col("r_rank")) > 1)
     return rows.withColumn("between", F.coalesce(found, F.lit(False))).drop("l_id", "r_id", "l_rank", "r_rank")
 
@@ -176,8 +179,8 @@ def merged(candidates: DataFrame, decisions: DataFrame, answers: DataFrame | Non
     links = decisions.filter("decision = 'yes'").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
     if answers is not None:
         asked = decisions.filter("ask").select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "accept")
-        said = asked.join(answers, ["left_id", "right_id"]).filter(F.col("same") & (F.col("confidence") >= F.col("accept")))
+        said = asked.join(answers.hint("merge"), ["left_id", "right_id"]).filter(F.col("same") & (F.col("confidence") >= F.col("accept")))
         links = links.unionByName(said.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
     found = components(candidates.select("id"), links).withColumnRenamed("component", "document")
     sizes = found.groupBy("document").agg(F.count("*").alias("members"))
-    return candidates.select("batch_id", "id").join(found, "id").join(sizes, "document").select("batch_id", "id", "document", "members")
+    return candidates.select("batch_id", "id").join(found.hint("merge"), "id").join(sizes.hint("merge"), "document").select("batch_id", "id", "document", "members")

@@ -76,3 +76,16 @@ def test_keys_of_titles_are_made_once_and_pairs_meet_once(spark):
     with mock.patch.object(blocks, "ratio", side_effect=lambda a, b, c: seen.append(a) or 0.5):
         assert [x for s in blocks._ratios(iter([(pd.Series([t[1] for t in text]), pd.Series([t[2] for t in text]))])) for x in s] == [0.5] * 50
     assert len(seen) == 1  # before: 50
+
+
+def _written(spark, rows, kind, home):
+    """A table as read back: its columns repeat, so its files are far smaller than its rows."""
+    spark.createDataFrame(rows, kind).write.mode("overwrite").parquet(str(home))
+    return spark.read.schema(kind).parquet(str(home))
+
+
+def test_pairs_do_not_pass_the_driver(spark, tmp_path):
+    rows = [(f"b{k % 9}", k, k, None, None, f"title {k % 5}", "f", "d", "r", "s", k, "v", k, None, None, None) for k in range(90)]
+    c = _written(spark, [(*r, r[1]) for r in rows], f"{KIND}, idx long", tmp_path / "rows")
+    for found in (m.candidate_pairs(c), m.between(c, m.candidate_pairs(c))):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()  # before: rows of keys, ends and ranks
