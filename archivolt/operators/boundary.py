@@ -168,7 +168,7 @@ def segmented(pages: DataFrame, decisions: DataFrame) -> DataFrame:
 
     One call per sequence, with a step a page and LONGEST segments a step.
     """
-    rows = pages.join(decisions.select("batch_id", "prefix", F.col("right_id").alias("id"), "score", "strong_split"), ["batch_id", "prefix", "id"], "left")
+    rows = pages.join(decisions.select("batch_id", "prefix", F.col("right_id").alias("id"), "score", "strong_split").hint("merge"), ["batch_id", "prefix", "id"], "left")
     rows = rows.select("batch_id", "prefix", "id", "page_no", F.coalesce("family", F.lit("")).alias("family"), "entities", "attachment", "closed", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("strong_split", F.lit(False)).alias("strong_split"))
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -180,7 +180,7 @@ def segmented(pages: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def groups(segments: DataFrame, decisions: DataFrame) -> DataFrame:
     """G-05, A-21, A-29, W-04: one row per segment: bounds, pages, mean inner score (1.0 for one page), running number."""
-    inner = segments.alias("s").join(decisions.alias("d"), (F.col("s.id") == F.col("d.right_id")) & (F.col("s.batch_id") == F.col("d.batch_id")), "left")
+    inner = segments.alias("s").join(decisions.alias("d").hint("merge"), (F.col("s.id") == F.col("d.right_id")) & (F.col("s.batch_id") == F.col("d.batch_id")), "left")
     first = F.row_number().over(Window.partitionBy("batch_id", "prefix", "segment").orderBy("page_no", "id")) == 1
     rows = inner.select("s.*", "d.score").withColumn("score", F.when(~first, F.col("score")))
     out = rows.groupBy("batch_id", "prefix", "segment").agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"), F.count("*").alias("pages"), F.round(F.coalesce(F.avg("score"), F.lit(1.0)), 4).alias("confidence"))
