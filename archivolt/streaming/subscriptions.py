@@ -25,8 +25,10 @@ def notified(updates: DataFrame, subscriptions: DataFrame) -> DataFrame:
     Three joins by key in place of all pairs: named tasks, named batches, and catch-alls, which hear of every update. What is
     said twice goes before the joins, and each join leaves out what another one gives, so that the result, which is as
     large as subscriptions times their updates, is never shuffled. Batches and catch-alls are few keys: their updates are
-    dealt to SHARES, and each share meets a copy of the subscriptions.
+    dealt to SHARES, and each share meets a copy of the subscriptions. Tasks are told by their number, as few bytes meet
+    where many rows come out, so that Spark would leave all of them to a task or two.
     """
+    tasks = max(int(updates.sparkSession.conf.get("spark.sql.shuffle.partitions")), SHARES)
     ids, own = F.coalesce("task_ids", F.array().cast("array<bigint>")), F.coalesce("batch_id", F.lit(""))
     subs, updates = subscriptions.select("subscriber", ids.alias("ids"), own.alias("own")), updates.select("task_id", "batch_id").distinct()
     every = subs.filter("size(ids) = 0 AND own = ''").select(F.col("subscriber").alias("__all")).distinct()
@@ -37,8 +39,9 @@ def notified(updates: DataFrame, subscriptions: DataFrame) -> DataFrame:
     by_task = updates.join(of_task, "task_id").join(batches, F.expr("batch_id = __b AND subscriber <=> __s"), "left_anti")
     dealt = updates.withColumn("__share", F.pmod(F.xxhash64("task_id", "batch_id"), F.lit(SHARES)))
     met = lambda rows: rows.withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
-    by_batch = dealt.join(met(of_batch), ["batch_id", "__share"])
-    all_ = dealt.join(met(every.withColumnRenamed("__all", "subscriber")), "__share")
+    meet = lambda rows, *key: dealt.repartition(tasks, *key).hint("shuffle_hash").join(met(rows).repartition(tasks, *key), list(key))
+    by_batch = meet(of_batch, "batch_id", "__share")
+    all_ = meet(every.withColumnRenamed("__all", "subscriber"), "__share")
     columns = ["subscriber", "task_id", "batch_id"]
     return by_task.select(*columns).unionByName(by_batch.select(*columns)).unionByName(all_.select(*columns))
 

@@ -22,3 +22,12 @@ def test_each_update_once(spark):
 def test_the_result_is_not_shuffled(spark):
     plan = u.notified(*_tables(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Union")  # before: an aggregation over all rows
+
+
+def test_a_batch_is_told_by_many_tasks(spark):
+    updates = spark.range(3000).selectExpr("id AS task_id", "concat('a', id % 1) AS batch_id")
+    subs = spark.range(40).selectExpr("id AS subscriber", "CAST(NULL AS array<bigint>) AS task_ids", "CASE WHEN id < 30 THEN concat('a', id % 1) END AS batch_id")
+    rows = u.notified(updates, subs).groupBy(F.spark_partition_id().alias("p"), (F.col("subscriber") < 30).alias("of_batch")).agg(F.count("*").alias("n")).collect()
+    for of_batch, total in ((True, 90_000), (False, 30_000)):
+        told = [r.n for r in rows if r.of_batch == of_batch]
+        assert sum(told) == total and len(told) > u.SHARES // 4 and max(told) < total // 4  # before: as few as Spark makes by bytes
